@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terrace.llm.exact_dedup import exact_dedup
 from terrace.llm.mixing import mix_plan
+from terrace.llm.token_binary import token_binary
+
+#: Ends each document of op8.
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +27,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup}
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token shards of all documents."""
+    return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op8_token_binary)}
 
 ORACLES = {
     "op2_exact_dedup": """
