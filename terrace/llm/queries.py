@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrace.llm.exact_dedup import exact_dedup
 from terrace.llm.mixing import mix_plan
 from terrace.llm.token_binary import token_binary
+from terrace.llm.warc import archived_pages
 
 #: Ends each document of op8.
 END_ID = 2
@@ -27,12 +28,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from Zstandard archives of all pages."""
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token shards of all documents."""
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op8_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary)}
 
 ORACLES = {
     "op2_exact_dedup": """
