@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrace.llm.exact_dedup import exact_dedup
 from terrace.llm.mixing import mix_plan
 from terrace.llm.token_binary import token_binary
+from terrace.llm.token_counts import token_counts
 from terrace.llm.warc import archived_pages
 
 #: Ends each document of op8.
@@ -38,7 +39,12 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of unigram tokens."""
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary, op10_token_counts)}
 
 ORACLES = {
     "op2_exact_dedup": """
