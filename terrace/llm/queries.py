@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrace.llm.exact_dedup import exact_dedup
 from terrace.llm.mixing import mix_plan
+from terrace.llm.pii import pseudonymised
 from terrace.llm.token_binary import token_binary
 from terrace.llm.token_counts import token_counts
 from terrace.llm.warc import archived_pages
 
 #: Ends each document of op8.
 END_ID = 2
+#: Key of op9.
+PSEUDONYM_KEY = "terrace"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +42,17 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for personal values, and their numbers by kind. A deployment sets its own key."""
+    return pseudonymised(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of unigram tokens."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary, op9_pii, op10_token_counts)}
 
 ORACLES = {
     "op2_exact_dedup": """
