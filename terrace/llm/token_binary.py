@@ -17,13 +17,16 @@ their own, in the order of their text; an empty table gives no shard and an empt
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,51 +40,98 @@ HELD = 95
 HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQ4s")
 FLUSH = 128 * BLOCK
-#: A worker keeps the ids of so many words.
-WORDS = 400_000
-
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A worker keeps the ids of at most twice so many parts of words, and texts of about so many bytes are encoded at a time.
+WORDS = 500_000
+BATCH_BYTES = 1 << 24
+
+#: White space other than space and newline; a text with it, or with two of any in a row, is encoded whole.
+_UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A word of Latin letters and the ASCII signs after it, without apostrophes; the pre-tokenizer parts them.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict = {}
 
 
 class Encoder:
     """Ids of texts from a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer always starts a token at a space between two non-spaces, so a text is cut there and each
-    different piece is encoded once by the library. Python's white space includes all of the library's.
+    Its pre-tokenizer starts a token at a space, and at and after a newline, that stands between two characters which
+    are no white space. So a text is cut there, the different pieces of a batch are cut into word and signs, and each
+    part that isn't known yet is encoded by the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    def learn(self, parts: set[str]) -> None:
+        """Makes the ids of parts known; parts that long weren't asked for are forgotten."""
+        if len(self.known) > WORDS:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for x in parts.difference(self.known):
+            if x in self.older:
+                self.known[x] = self.older[x]
+            else:
+                fresh.append(x)
+        if fresh:
+            for x, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                self.known[x] = array("I", got.ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of each text's."""
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        whole = {i: ids for i, ids in zip(np.flatnonzero(uneven.to_numpy(zero_copy_only=False)), self._whole(texts.filter(uneven)), strict=True)}
+        even = pc.if_else(uneven, "", texts)
+        # The first piece bears a carriage return, those at a newline the newline; others lack their space.
+        pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", even, ""), "\n", " \n"), " ")
+        words = pieces.flatten().dictionary_encode()
+        cut = [self._parts(x) for x in words.dictionary.to_pylist()]
+        self.learn({x for parts in cut for x in parts})
+        known = self.known
+        coded = [b"".join([known[x] for x in parts]) for parts in cut]
+
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(coded), "<u4")
+        at = words.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[np.asarray(pieces.offsets)]
+        counts = np.diff(bounds)
+        if whole:
+            counts[list(whole)] = [len(x) for x in whole.values()]
+            ids = np.concatenate([x for i in range(len(texts)) for x in (whole.get(i, ids[bounds[i] : bounds[i + 1]]),)])
+        return ids, counts
+
+    def _whole(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for got in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False) if len(texts) else ():
+            yield np.array(got.ids, "<u4")
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        plain = "  " not in text and " \n" not in text and "\n " not in text and not _OTHER_SPACE.search(text)
-        return text.split(" ") if plain and text[:1] != " " and text[-1:] != " " else _SPLIT.split(text)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            first, *rest = self.pieces(text)
-            if len(self.known) > WORDS:
-                self.known.clear()
-            missing = [x for x in {first, *(" " + x for x in set(rest))} if x not in self.known]
-            if missing:
-                for x, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                    self.known[x] = np.array(got.ids, "<u4").tobytes()
-            known = self.known
-            yield np.frombuffer(known[first] + b"".join([known[" " + x] for x in rest]), "<u4")
+    def _parts(piece: str) -> list[str]:
+        lead, body = (piece[:1], piece[1:]) if piece[:1] in ("\r", "\n") else ("", f" {piece}")
+        word = _WORD.fullmatch(body)
+        parts = ([word[1], word[2]] if word[2] else [body]) if word else [body] if body else []
+        return ["\n", *parts] if lead == "\n" else parts
 
 
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about BATCH_BYTES of text."""
+    sizes = np.cumsum(pc.binary_length(batch["_text"]).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of u32 below 2**width to rows of bytes."""
     bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(*values.shape, 4), axis=-1, bitorder="little")[..., :width]
@@ -148,11 +198,12 @@ class ShardWriter:
         self.starts, self.counts, self.ids = [], [], []
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.counts.append(len(ids))
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        n = sum(map(len, ids))
+        self.counts.append(n)
         self.ids.append(doc_id)
-        self.waiting.append(ids)
-        self.held += len(ids)
+        self.waiting += ids
+        self.held += n
         if self.held >= FLUSH:
             self.flush(self.held // BLOCK * BLOCK)
 
@@ -208,6 +259,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         context = TaskContext.get()
         shard = context.partitionId()
         path, encode = f"{folder}/shard-{shard:06d}.tpf", encoder(tokenizer).encode
+        end = np.array([end_id], "<u4")
         batches = (b for b in batches if b.num_rows)
         batch = next(batches, None)
         if batch is None:
@@ -215,8 +267,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         with writing(path, context.taskAttemptId()) as out:
             writer = ShardWriter(out)
             while batch is not None:
-                for doc_id, ids in zip(batch["_id"].to_pylist(), encode(batch["_text"].to_pylist()), strict=True):
-                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                for part in slices(batch):
+                    ids, counts = encode(part["_text"])
+                    ends = np.cumsum(counts)
+                    for doc_id, first, last in zip(part["_id"].to_pylist(), ends - counts, ends, strict=True):
+                        writer.add(doc_id, ids[first:last], end)
                 batch = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": len(writer.counts), "tokens": sum(writer.counts)}], schema)

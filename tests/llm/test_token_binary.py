@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -13,10 +14,21 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab é'\n\t\x1c  .!1<|endoftext|>", max_size=60))
-def test_pieces_give_the_ids_of_the_whole_text(text):
-    assert next(tb.encoder(PATH).encode([text])).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab é'×\n\t\x1c\u2003  .!1<|endoftext|>", max_size=40), max_size=4))
+def test_pieces_give_the_ids_of_the_whole_text(texts):
+    ids, counts = tb.encoder(PATH).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for n, e in zip(counts, ends, strict=True)] == [WHOLE.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_forgotten_parts_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(tb, "WORDS", 5)
+    encoder = tb.Encoder(PATH)
+    for k in range(30):
+        text = " ".join(f"word{(k * 7 + i) % 40}." for i in range(6))
+        assert encoder.encode(pa.array([text]))[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) + len(encoder.older) < 60
 
 
 @settings(max_examples=100, deadline=None)
