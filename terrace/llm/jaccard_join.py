@@ -358,3 +358,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_class = classes.join(joined, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     named = ids.join(of_class, ["k1", "k2", "n"], "left")
     return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but for near copies: of each component the document with the smallest id stays, of repeated rows one. Rows without an id stay."""
+    found = cut(jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("_own"), "component_id"))
+    gone = found.filter("_own <> component_id").select("_own").distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("_own"), "left_anti")
+    again = cut(found.filter("_own = component_id").groupBy("_own").count().filter("count > 1").select("_own"))
+    if again.isEmpty():
+        return kept
+    # Repeated rows are equal in their id; the rest of the least row of these stays.
+    twice = kept.join(again, F.col(id_col) == F.col("_own"), "left_semi")
+    one = twice.groupBy(F.col(id_col).alias("_own")).agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    once = kept.join(again, F.col(id_col) == F.col("_own"), "left_anti")
+    return once.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

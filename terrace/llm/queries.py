@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrace.llm.common import crc32_mod
+from terrace.llm.decontamination import contaminated
 from terrace.llm.exact_dedup import exact_dedup
+from terrace.llm.jaccard_join import jaccard_components
+from terrace.llm.language import language_id
 from terrace.llm.mixing import mix_plan
 from terrace.llm.pii import pseudonymised
+from terrace.llm.quality import quality_scores
 from terrace.llm.token_binary import token_binary
 from terrace.llm.token_counts import token_counts
 from terrace.llm.warc import archived_pages
@@ -32,6 +38,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; a third of the documents is held out of learning."""
+    return language_id(_table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 3) == 1)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, verbatim or with other numbers, names or units, with the items."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and its component of near copies."""
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; a quarter of the documents is held out of learning."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc32_mod(F.col("doc_id"), 4) == 2)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from Zstandard archives of all pages."""
     return archived_pages(_table(spark, sf_dir, "pages"))
@@ -52,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op7_warc, op8_token_binary, op9_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_language, op4_decontamination, op5_jaccard_join, op6_quality, op7_warc, op8_token_binary, op9_pii, op10_token_counts)}
 
 ORACLES = {
     "op2_exact_dedup": """
