@@ -47,10 +47,15 @@ BETWEEN = r"[^\p{L}\p{M}\p{N}\uE001-\uE003]++"
 VALUED = r"[\uE001-\uE003][^\uE001-\uE003 ]*+|[\p{L}\p{M}\p{N}]++"
 
 
+def unmarked(text: Column) -> Column:
+    """The text without placeholders of its own."""
+    marked = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in (NUMBER, NAME, UNIT)])
+    return F.when(marked, F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)
+
+
 def template(text: Column) -> Column:
     """The template's words."""
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
-    named = F.regexp_replace(plain, NAMES, f" {NAME} ")
+    named = F.regexp_replace(unmarked(text), NAMES, f" {NAME} ")
     numbered = F.regexp_replace(named, NUMBERS, f" {NUMBER} {UNIT} ")
     # The text gets a separator at both ends; the empty words before and after are cut off.
     words = F.split(F.concat(F.lit(" "), F.lower(numbered), F.lit(" ")), BETWEEN)
@@ -59,8 +64,7 @@ def template(text: Column) -> Column:
 
 def valued(text: Column) -> Column:
     """The same words, with the values after their placeholders."""
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
-    named = F.regexp_replace(plain, NAMES, f" {NAME}$0 ")
+    named = F.regexp_replace(unmarked(text), NAMES, f" {NAME}$0 ")
     return F.regexp_extract_all(F.lower(F.regexp_replace(named, NUMBERS, f" {NUMBER}$1 {UNIT}$2 ")), F.lit(VALUED), F.lit(0))
 
 
@@ -73,11 +77,13 @@ def hashed(words: list[Column]) -> Column:
     return F.xxhash64(*words)
 
 
-def windows(words: Column, width: int) -> Column:
-    """An array of structs of so many words in a row."""
-    enough = F.size(words) >= width
-    n = F.greatest(F.lit(0), F.size(words) - (width - 1))
-    return F.when(enough, F.arrays_zip(*[F.slice(words, F.lit(k + 1), n).alias(f"w{k}") for k in range(width)])).otherwise(None)
+def windows(rows: DataFrame, words: str, width: int) -> DataFrame:
+    """Adds _place (from 0) and _hash for each window of so many words in a row.
+
+    Only places are generated; the words are read from the array where it stands.
+    """
+    places = rows.select("*", F.posexplode_outer(words).alias("_place", "_first")).filter(F.col("_place") <= F.size(words) - width)
+    return places.withColumn("_hash", hashed([F.col("_first"), *(F.get(words, F.col("_place") + k) for k in range(1, width))])).drop("_first")
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -95,8 +101,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFram
 
 def sharing(rows: DataFrame, hashes: DataFrame, width: int) -> DataFrame:
     """The rows (_id, _text) that have a window of this width among the hashes, each once."""
-    found = rows.select("_id", "_text", F.explode(windows(template(F.col("_text")), width)).alias("_w"))
-    found = found.select("_id", "_text", hashed([F.col(f"_w.w{k}") for k in range(width)]).alias("_hash"))
+    found = windows(rows.withColumn("_words", template(F.col("_text"))), "_words", width)
     return found.join(F.broadcast(hashes), "_hash", "left_semi").groupBy("_id", "_text").agg(F.count("*").alias("_n")).drop("_n")
 
 
@@ -115,13 +120,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
     suspects = reduce(DataFrame.unionByName, passes)
     suspects = cut(suspects.distinct() if len(passes) > 1 else suspects)
 
-    words = suspects.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words"))
+    words = suspects.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
     items = items.select("_item", "_at", "_width", "_hash", "_values")
     lines = []
     for width in sorted(widths):
-        t = F.transform("_words", bare)
-        own = words.select("_id", "_text", "_words", F.posexplode(windows(t, width)).alias("_p", "_w"))
-        own = own.select("_id", "_text", (F.col("_p") + 1).alias("_place"), hashed([F.col(f"_w.w{k}") for k in range(width)]).alias("_hash"), F.slice("_words", F.col("_p") + 1, F.lit(width)).alias("_own"))
+        own = windows(words, "_bare", width)
+        own = own.select("_id", "_text", "_place", "_hash", F.slice("_words", F.col("_place") + 1, F.lit(width)).alias("_own"))
         lines.append(own.join(small(items.filter(F.col("_width") == width), BLOCK), "_hash"))
     laid = reduce(DataFrame.unionByName, lines)
     # Hashes agree; the templates themselves must too.
