@@ -4,10 +4,11 @@ A document's set holds its distinct shingles of five words. Two documents link w
 0.8 or more; the result is each document's connected component. The join is exact and has these steps.
 
 1. Equal sets are one class, represented by its document with the smallest id. A sketch of fixed size counts shingles.
-2. Sets that are similar enough share one of the first n - ceil(0.8 n) + 1 shingles in any order common to all sets;
-   ordered by the sketch's counts, rare ones first, few of these are shared by chance. Classes that share such a shingle
-   form candidate blocks (connected components over the shared shingles): every link lies within a block. A shingle that
-   the sketch counts often is split over salts, whose parts are tied together by one edge each.
+2. Sets that are similar enough share one of the first n - ceil(0.8 n) + 1 shingles in any order common to all sets.
+   Three in ten shingles, chosen by hash, are sent to be counted and come first, rare ones before others: so a set whose
+   shingles are mostly its own is in no block, and a passage that others share seldom makes one. Classes that share a
+   prefix shingle form candidate blocks (connected components over the shared shingles): every link lies within a block.
+   A very common shingle is split over salts, whose parts are tied together by one edge each.
 3. In a block, classes are the leaves of a signature tree: sorted by size, then by least hashed shingle, and grouped
    upwards by FAN. A node holds the OR of its documents' token bitmaps, their range of sizes and the most bits that any
    of them lost to collisions. The tree is traversed against itself; a pair of nodes is dropped where sizes differ by too
@@ -43,6 +44,8 @@ NEED = 80
 SKETCH_BITS, PIECE_BITS = 20, 14
 #: A shingle counted more often than this above the mean is split over salts of about so many documents.
 HOT = 2048
+#: Shingles with 64-bit hashes below this are counted exactly, three in ten; a prefix is about two in ten.
+SAMPLED = 3 * (1 << 64) // 10
 #: A block is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
@@ -135,14 +138,18 @@ def sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Edges (a, b) between the first class hashes k1 that share a shingle of their prefixes."""
+    """Edges (a, b) between the first class hashes k1 that share a shingle of their prefixes.
+
+    All sets send their shingles with hashes below SAMPLED, which are at least a prefix (or up to a prefix, where these are
+    fewer). The order common to all sets is: those by how many sets have them, then the rest by hash.
+    """
     context = docs.sparkSession.sparkContext
     shared, mean = context.broadcast(counts.astype(np.int32)), float(counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
         for batch in batches:
-            tokens, owners, salts = [], [], []
+            tokens, owners, slacks, salts, often = [], [], [], [], []
             for text in batch["_text"].to_pylist():
                 values = shingles(text)
                 n, key = len(values), set_key(values)
@@ -150,19 +157,33 @@ def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
-                often = count[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.lexsort((values, often))[: n - -(-NEED * n // 100) + 1]
-                parts = 1 + np.maximum(0, often[first] - mean).astype(np.int64) // HOT
-                tokens.append(values[first].view(np.int64))
-                owners.append(np.full(len(first), key[0]))
-                salts.append(np.where(parts > 1, 1 + (key[1] % parts), 0))
+                prefix, sampled = n - -(-NEED * n // 100) + 1, int(np.searchsorted(values, np.uint64(SAMPLED)))
+                sent = values[: max(prefix, sampled)]
+                many = count[(sent >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                parts = 1 + np.maximum(0, many - mean).astype(np.int64) // HOT
+                tokens.append(sent.view(np.int64))
+                owners.append(np.full(len(sent), key[0]))
+                slacks.append(np.full(len(sent), prefix - sampled, np.int32))
+                salts.append(np.where(parts > 1, 1 + (key[1] % parts), 0).astype(np.int32))
+                often.append(np.where(parts > 1, many, 0).astype(np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(salts).astype(np.int32))], ["token", "k1", "salt"])
-
-    postings = docs.select("_text").mapInArrow(run, "token long, k1 long, salt int")
-    group = Window.partitionBy("token", "salt")
-    shared_tokens = postings.withColumn("low", F.min("k1").over(group)).withColumn("high", F.max("k1").over(group)).filter("low < high OR salt > 0")
-    edges = cut(shared_tokens.select(F.when(F.col("salt") > 0, F.col("token")).alias("token"), "salt", "k1", "low").distinct())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, slacks, salts, often)], ["token", "k1", "slack", "salt", "often"])
+
+    postings = docs.select("_text").mapInArrow(run, "token long, k1 long, slack int, salt int, often int")
+    group, own = Window.partitionBy("token", "salt"), Window.partitionBy("k1")
+
+    def met(df: DataFrame) -> DataFrame:
+        """Rows whose shingle another set has too; of a salted one, all."""
+        return df.withColumn("low", F.min("k1").over(group)).withColumn("high", F.max("k1").over(group)).filter("low < high OR salt > 0")
+
+    # How many have a salted shingle is told by the sketch, else by the rows themselves; either way it depends on the shingle alone.
+    place = F.when(F.col("salt") > 0, F.col("often").cast("long") + (1 << 40)).otherwise(F.col("sets"))
+    common = met(postings.withColumn("sets", F.count("*").over(group))).select("token", "salt", "k1", "slack", place.alias("place"))
+    common = common.repartition("k1").dropDuplicates(["k1", "token"]).withColumn("rest", (F.col("token") < 0) | (F.col("token") >= SAMPLED))
+    # A set's prefix begins with the sampled shingles that no other set has; what is left of it is filled in order.
+    left = F.col("slack") + F.sum((~F.col("rest")).cast("long")).over(own)
+    chosen = common.withColumn("left", left).withColumn("rank", F.row_number().over(own.orderBy("rest", "place", "token"))).filter("rest OR rank <= left")
+    edges = cut(met(chosen.select("token", "salt", "k1")).select(F.when(F.col("salt") > 0, F.col("token")).alias("token"), "salt", "k1", "low").distinct())
     # The parts of a salted shingle are tied together over their least members.
     heads = edges.filter("salt > 0").select("token", "low").distinct()
     ties = heads.withColumn("head", F.min("low").over(Window.partitionBy("token"))).select(F.col("low").alias("a"), F.col("head").alias("b"))
