@@ -49,6 +49,8 @@ SAMPLED = 3 * (1 << 64) // 10
 #: A block is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
+#: What a worker holds at a time: hashes of words, rows of a batch, pairs of nodes that are looked into.
+KNOWN, ROWS, PAIRS = 100_000, 256, 4096
 
 #: Odd multipliers, one for each word of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -69,7 +71,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_known) > 500_000:
+    if len(_known) > KNOWN:
         _known.clear()
     hashes = []
     for w in words:
@@ -85,6 +87,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
     digest = xxhash.xxh3_128_intdigest(values.tobytes())
@@ -98,7 +106,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, text in zip(batch["_id"].to_pylist(), batch["_text"].to_pylist(), strict=True):
                 values = shingles(text)
@@ -148,7 +156,7 @@ def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
             tokens, owners, slacks, salts, often = [], [], [], [], []
             for text in batch["_text"].to_pylist():
                 values = shingles(text)
@@ -292,12 +300,20 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, root: lis
         return x
 
     out = []
-    level_a, level_b = len(a.levels) - 1, len(b.levels) - 1
-    pairs = np.array([[0, 0]])
-    while True:
+    # Depth first, few pairs of nodes at a time: (level in a, level in b, pairs).
+    waiting = [(len(a.levels) - 1, len(b.levels) - 1, np.array([[0, 0]]))]
+    while waiting:
+        level_a, level_b, pairs = waiting.pop()
         pairs = pairs[possible(a.levels[level_a], pairs[:, 0], b.levels[level_b], pairs[:, 1])]
-        if not len(pairs) or level_a == level_b == 0:
-            break
+        if not len(pairs):
+            continue
+        if level_a == level_b == 0:
+            for i, j in pairs.tolist():
+                x, y = int(a.order[i]), int(b.order[j]) + shift
+                if (right is not None or i < j) and find(x) != find(y) and linked(a.sets[i], b.sets[j]):
+                    out.append((x, y))
+                    root[max(find(x), find(y))] = min(find(x), find(y))
+            continue
         down_a, down_b = level_a >= level_b and level_a > 0, level_b >= level_a and level_b > 0
         i, j = pairs[:, 0], pairs[:, 1]
         if down_a:
@@ -310,13 +326,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, root: lis
         if right is None:
             keep &= i <= j
         pairs = np.stack([i[keep], j[keep]], axis=1)
-    for i, j in pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))] if len(pairs) else ():
-        if right is None and i >= j:
-            continue
-        x, y = int(a.order[i]), int(b.order[j]) + shift
-        if find(x) != find(y) and linked(a.sets[i], b.sets[j]):
-            out.append((x, y))
-            root[max(find(x), find(y))] = min(find(x), find(y))
+        waiting += [(level_a, level_b, pairs[k : k + PAIRS]) for k in range(0, len(pairs), PAIRS)]
     return out
 
 
@@ -338,7 +348,7 @@ def block_links(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch[c].to_pylist() for c in ("block", "p", "q", "part", "node", "_text")]
             out = []
             for block, p, q, part, node, text in zip(*columns, strict=True):
