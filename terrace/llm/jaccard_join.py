@@ -199,7 +199,11 @@ def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the nodes of edges (a, b); long. Rounds of hooking to the least neighbour and halving paths."""
+    """node, component (its least node) of the nodes of edges (a, b); long.
+
+    In each round a node's lesser neighbours are tied to the least of them, and every tie jumps on to where its end is
+    tied, so that paths halve; it ends when nothing changes, whatever the number of partitions.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's edges as stars, which are fewer and shorter than its paths."""
@@ -224,18 +228,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     stars = cut(edges.select("a", "b").mapInArrow(merge, "a long, b long"))
     while True:
-        # Each node points to the least node it is tied to; what it was tied to is tied to that node in turn.
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        tied = stars.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hooks = least.select("a", F.col("m").alias("b"))
-        new = cut(tied.unionByName(hooks).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(merge, "a long, b long").distinct())
-        # Done when every node has one edge and its end has none.
-        ends = new.select(F.col("b").alias("a")).distinct()
-        done = new.join(ends, "a", "left_semi").isEmpty() and new.groupBy("a").count().filter("count > 1").isEmpty()
-        stars = new
-        if done:
+        parents = cut(stars.groupBy("a").agg(F.min("b").alias("p")))
+        rows = stars.repartition("a").dropDuplicates(["a", "b"]).withColumn("p", F.min("b").over(Window.partitionBy("a")))
+        tie = lambda x, changed: F.struct(F.col(x).alias("a"), F.col("p").alias("b"), F.lit(changed).alias("changed"))
+        ties = F.when(F.col("b") == F.col("p"), F.array(tie("a", False))).otherwise(F.array(tie("a", True), tie("b", True)))
+        tied = rows.select(F.inline(ties))
+        ends = parents.select(F.col("a").alias("end"), F.col("p").alias("next"))
+        jumped = tied.join(ends, F.col("b") == F.col("end"), "left")
+        stars = cut(jumped.select("a", F.coalesce("next", "b").alias("b"), (F.col("changed") | F.col("next").isNotNull()).alias("changed")))
+        if stars.filter("changed").isEmpty():
             break
+        stars = stars.select("a", "b")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 

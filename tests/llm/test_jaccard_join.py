@@ -118,3 +118,19 @@ def test_components_of_long_paths(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in jj.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert got == {k: 0 for k in range(401)} | {k: 1000 for k in (1000, 1001, 1002, 5000)}
+
+
+def test_components_of_long_chains_over_many_partitions(spark):
+    """Sorted and shuffled chains, stars and a ring, in more partitions than edges share."""
+    rng = random.Random(9)
+    names = rng.sample(range(-(10**6), 10**6), 900)
+    chain = sorted(names[:300])
+    edges = list(zip(chain, chain[1:])) + list(zip(names[300:600], names[301:600])) + [(names[600], x) for x in names[601:800]]
+    edges += list(zip(names[800:], [*names[801:], names[800]]))
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        found = {r.node: r.component for r in jj.components(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for part in (chain, names[300:600], names[600:800], names[800:]):
+        assert {found[x] for x in part} == {min(part)}
