@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from terrace.plans import catalogue, changes, names, places, reads, trees  # noqa: F401  they register their queries
+from terrace.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
