@@ -49,10 +49,10 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 def tile(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     """Column and row of the map tile."""
     n = 1 << zoom
-    x, y = mercator(lon, lat)
-    edge = math.pi * WEB_EARTH
+    held = F.greatest(F.lit(-MOST_LATITUDE), F.least(F.lit(MOST_LATITUDE), lat))
+    x, y = (lon + 180) / 360, (F.lit(1.0) - F.log(F.tan(F.lit(math.pi / 4) + F.radians(held) / 2)) / F.lit(math.pi)) / 2
     place = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v * n))).cast("long")
-    return place((x + F.lit(edge)) / F.lit(2 * edge)), place((F.lit(edge) - y) / F.lit(2 * edge))
+    return place(x), place(y)
 
 
 def detail(zoom: Column, overview: Column, low: Column, medium: Column, full: Column) -> Column:

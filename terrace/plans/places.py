@@ -56,11 +56,11 @@ def m3_box_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POINTS} SELECT id, round(radians(lon) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) AS y FROM points"""
+    f"""WITH {POINTS} SELECT id, round(radians(lon) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 3) + 0.0 AS y FROM points"""
 )
 def s15_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    return points(spark, sf_dir).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return points(spark, sf_dir).select("id", F.round(x, 3).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
 
 
 @query(
