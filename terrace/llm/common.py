@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A table that is broadcast has been counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: Rows that a Python worker takes out of an Arrow batch at a time.
+PIECE_ROWS = 256
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -72,3 +76,9 @@ def part_offsets(parts: DataFrame, value: Column, part: str = "_part", offset: s
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(k, PIECE_ROWS)

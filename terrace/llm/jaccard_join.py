@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import cut, text_of
+from terrace.llm.common import cut, pieces, text_of
 
 WORDS = 5
 #: The similarity is at least NEED / 100.
@@ -49,8 +49,8 @@ SAMPLED = 3 * (1 << 64) // 10
 #: A block is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
-#: What a worker holds at a time: hashes of words, rows of a batch, pairs of nodes that are looked into.
-KNOWN, ROWS, PAIRS = 100_000, 256, 4096
+#: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
+KNOWN, PAIRS = 100_000, 4096
 
 #: Odd multipliers, one for each word of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -87,12 +87,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
-
-
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
     digest = xxhash.xxh3_128_intdigest(values.tobytes())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import cut
+from terrace.llm.common import cut, pieces
 
 UNKNOWN = "und"
 #: Labelled texts of each language that are learned from, in expectation.
@@ -126,7 +126,7 @@ def sample(docs: DataFrame, counts: dict[str, int], per_language: int) -> DataFr
     chosen = docs.filter(F.pmod(F.xxhash64(F.lit("language"), "_id"), F.lit(1 << 20)) < rates[F.col("_lang")] * (1 << 20)).select("_lang", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist(), strict=True):
                 x = features(text)
                 if x is not None:
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
-            for batch in batches:
+            for batch in pieces(batches):
                 if batch.num_rows:
                     x = np.frombuffer(b"".join(batch["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
                     total = total + of_part(batch["_lang"].to_pylist(), x)
@@ -206,7 +206,7 @@ def predictions(rows: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [features(text) if text else None for text in batch["_text"].to_pylist()]
             known = [i for i, x in enumerate(found) if x is not None]
             out = [(UNKNOWN, 0.0)] * batch.num_rows

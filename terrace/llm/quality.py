@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import cut, text_of
+from terrace.llm.common import PIECE_ROWS, cut, pieces, text_of
 
 FOURIER = 256
 RIDGE = 1e-3
@@ -88,7 +88,7 @@ def measured(rows: DataFrame) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_stats array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             stats = [statistics(text) for text in batch["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(stats, pa.list_(pa.float64()))], [*(f.name for f in kept), "_stats"])
 
@@ -152,7 +152,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's sums by row: the features' products, and last the products with the label and the square of the label."""
         total = np.zeros((FOURIER + 1, FOURIER + 2))
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 z = model.fourier(np.array(batch["_stats"].to_pylist()))
                 y = np.array(batch["_label"].to_pylist())
@@ -211,8 +211,12 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of docs that score at least the threshold, measured again in place, so that no text is shuffled."""
     _, model = quality_model(docs, labels, None, id_col, text_col, label_col)
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(text) for text in texts])) >= threshold if len(texts) else np.empty(0, bool))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        out = np.empty(len(texts), bool)
+        for k in range(0, len(texts), PIECE_ROWS):
+            stats = [statistics(text) for text in texts.slice(k, PIECE_ROWS).to_pylist()]
+            out[k : k + PIECE_ROWS] = model.score(np.array(stats)) >= threshold
+        return pa.array(out)
 
     return docs.filter(good(text_of(text_col)))

@@ -41,7 +41,7 @@ HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQ4s")
 FLUSH = 128 * BLOCK
 #: A worker keeps the ids of at most twice so many parts of words, and texts of about so many bytes are encoded at a time.
-WORDS = 300_000
+WORDS = 100_000
 BATCH_BYTES = 1 << 22
 
 #: White space other than space and newline; a text with it, or with two of any in a row, is encoded whole.
