@@ -50,7 +50,7 @@ SAMPLED = 3 * (1 << 64) // 10
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
 #: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
-KNOWN, PAIRS = 100_000, 4096
+KNOWN, PAIRS = 50_000, 4096
 
 #: Odd multipliers, one for each word of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -78,6 +78,11 @@ class Encoder:
             for x, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
                 self.known[x] = array("I", got.ids).tobytes()
 
+    def forget(self) -> None:
+        """Frees what was learned; a worker outlives its task."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's."""
         uneven = pc.match_substring_regex(texts, _UNEVEN)
@@ -274,6 +279,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                         writer.add(doc_id, ids[first:last], end)
                 batch = next(batches, None)
             writer.close()
+        encoder(tokenizer).forget()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": len(writer.counts), "tokens": sum(writer.counts)}], schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
