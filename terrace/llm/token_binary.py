@@ -41,8 +41,8 @@ HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQ4s")
 FLUSH = 128 * BLOCK
 #: A worker keeps the ids of at most twice so many parts of words, and texts of about so many bytes are encoded at a time.
-WORDS = 100_000
-BATCH_BYTES = 1 << 22
+WORDS = 500_000
+BATCH_BYTES = 1 << 23
 
 #: White space other than space and newline; a text with it, or with two of any in a row, is encoded whole.
 _UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -78,11 +78,6 @@ class Encoder:
             for x, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
                 self.known[x] = array("I", got.ids).tobytes()
 
-    def forget(self) -> None:
-        """Frees what was learned; a worker outlives its task."""
-        self.known, self.older = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's."""
         uneven = pc.match_substring_regex(texts, _UNEVEN)
@@ -279,7 +274,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                         writer.add(doc_id, ids[first:last], end)
                 batch = next(batches, None)
             writer.close()
-        encoder(tokenizer).forget()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": len(writer.counts), "tokens": sum(writer.counts)}], schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
