@@ -8,8 +8,10 @@ places in both), and along one such line each value of the item must always stan
 So a question with other numbers or names is found, but not a text that only has a like pattern. A document is
 contaminated by an item if such lines cover at least LEAST of the item's windows, or all where it has fewer.
 
-Windows with fewer than LITERAL ordinary words say too little and are not used; an item without any other window is not
-looked for. An item of fewer than eight words has one window, the whole item.
+Windows with fewer than LITERAL ordinary words say too little for a template and are not used. With the option verbatim,
+which the query and the pipeline set, an item without any other window is looked for word for word: its windows of eight
+lower-cased words, numbers and names as they are, without any test of what they say. Without the option it is not looked
+for. An item of fewer than eight words has one window, the whole item.
 
 Main path: DataFrame functions only. The text is read once, its windows are neither shuffled nor sent anywhere: they are
 probed where they stand against a broadcast set of the benchmark's 64-bit window hashes. That set is cut in blocks of a
@@ -22,6 +24,7 @@ empty table on either side gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +71,12 @@ def valued(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(named, NUMBERS, f" {NUMBER}$1 {UNIT}$2 ")), F.lit(VALUED), F.lit(0))
 
 
+def plain(text: Column) -> Column:
+    """The lower-cased words as they stand."""
+    words = F.split(F.concat(F.lit(" "), F.lower(unmarked(text)), F.lit(" ")), BETWEEN)
+    return F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+
+
 def bare(word: Column) -> Column:
     first = F.substring(word, 1, 1)
     return F.when(first.isin(NUMBER, NAME, UNIT), first).otherwise(word)
@@ -86,64 +95,108 @@ def windows(rows: DataFrame, words: str, width: int) -> DataFrame:
     return places.withColumn("_hash", hashed([F.col("_first"), *(F.get(words, F.col("_place") + k) for k in range(1, width))])).drop("_first")
 
 
-def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """_item, _at, _width, _hash, _values (an array of valued words): all windows that say enough."""
-    items = benchmark.select(F.col(item_col).alias("_item"), valued(text_of(text_col)).alias("_words")).filter("size(_words) > 0")
-    items = items.withColumn("_width", F.least(F.size("_words"), F.lit(WIDTH)))
+def laid_out(items: DataFrame) -> DataFrame:
+    """_item, _at, _width, _values (an array of words): all windows of rows of _item and _words."""
+    items = items.filter("size(_words) > 0").withColumn("_width", F.least(F.size("_words"), F.lit(WIDTH)))
     places = items.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_words") - F.col("_width") + 1)))
-    cutout = places.select("_item", "_at", "_width", F.slice("_words", F.col("_at"), F.col("_width")).alias("_values"))
-    literal = F.size(F.filter("_values", lambda w: ~F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)))
+    return places.select("_item", "_at", "_width", F.slice("_words", F.col("_at"), F.col("_width")).alias("_values"))
+
+
+def with_hash(cutout: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """Adds _bare, of() each of the _values, and its _hash."""
     by_width = F.lit(None).cast("long")
-    for width in range(LITERAL, WIDTH + 1):
-        by_width = F.when(F.col("_width") == width, hashed([bare(F.get("_values", F.lit(k))) for k in range(width)])).otherwise(by_width)
-    return cutout.filter(literal >= LITERAL).withColumn("_hash", by_width)
+    for width in range(1, WIDTH + 1):
+        by_width = F.when(F.col("_width") == width, hashed([of(F.get("_values", F.lit(k))) for k in range(width)])).otherwise(by_width)
+    return cutout.withColumn("_bare", F.transform("_values", of)).withColumn("_hash", by_width)
+
 
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """_item, _at, _width, _values (an array of valued words), _bare, _hash: all windows that say enough."""
+    cutout = laid_out(benchmark.select(F.col(item_col).alias("_item"), valued(text_of(text_col)).alias("_words")))
+    literal = F.size(F.filter("_values", lambda w: ~F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)))
+    return with_hash(cutout.filter(literal >= LITERAL), bare)
+
+
+def plain_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """The same of plain words: all windows."""
+    return with_hash(laid_out(benchmark.select(F.col(item_col).alias("_item"), plain(text_of(text_col)).alias("_words"))), lambda w: w)
 
-def sharing(rows: DataFrame, hashes: DataFrame, width: int) -> DataFrame:
+
+def sharing(rows: DataFrame, hashes: DataFrame, width: int, words: Callable[[Column], Column]) -> DataFrame:
     """The rows (_id, _text) that have a window of this width among the hashes, each once."""
-    found = windows(rows.withColumn("_words", template(F.col("_text"))), "_words", width)
+    found = windows(rows.withColumn("_words", words(F.col("_text"))), "_words", width)
     return found.join(F.broadcast(hashes), "_hash", "left_semi").groupBy("_id", "_text").agg(F.count("*").alias("_n")).drop("_n")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, block: int) -> DataFrame:
-    """_id, _item, _windows (of the item, found along consistent lines), _of (the item's windows)."""
-    items = cut(item_windows(benchmark, item_col, item_text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+def suspects(rows: DataFrame, items: DataFrame, words: Callable[[Column], Column], block: int) -> tuple[DataFrame | None, list[int]]:
+    """The rows that share a window with an item, and the widths of the items' windows; None if there is no window."""
     widths = {r["_width"]: r["n"] for r in items.groupBy("_width").agg(F.countDistinct("_hash").alias("n")).collect()}
     passes = []
     for width, n in sorted(widths.items()):
         blocks = -(-n // block)
         for k in range(blocks):
-            passes.append(sharing(rows, items.filter((F.col("_width") == width) & (F.pmod("_hash", F.lit(blocks)) == k)).select("_hash").distinct(), width))
+            hashes = items.filter((F.col("_width") == width) & (F.pmod("_hash", F.lit(blocks)) == k)).select("_hash").distinct()
+            passes.append(sharing(rows, hashes, width, words))
     if not passes:
-        return rows.limit(0).select("_id", F.lit(None).alias("_item"), F.lit(0).alias("_windows"), F.lit(0).alias("_of"))
-    suspects = reduce(DataFrame.unionByName, passes)
-    suspects = cut(suspects.distinct() if len(passes) > 1 else suspects)
+        return None, []
+    found = reduce(DataFrame.unionByName, passes)
+    return cut(found.distinct() if len(passes) > 1 else found), sorted(widths)
 
-    words = suspects.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
-    items = items.select("_item", "_at", "_width", "_hash", "_values")
+
+def laid(words: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
+    """Windows of rows (_id, _text, _words, _bare) at the items' windows: _id, _text, _place, _own, _item, _at, _values."""
     lines = []
-    for width in sorted(widths):
+    for width in widths:
         own = windows(words, "_bare", width)
-        own = own.select("_id", "_text", "_place", "_hash", F.slice("_words", F.col("_place") + 1, F.lit(width)).alias("_own"))
+        own = own.select("_id", "_text", "_place", "_hash", *[F.slice(x, F.col("_place") + 1, F.lit(width)).alias(y) for x, y in (("_words", "_own"), ("_bare", "_own_bare"))])
         lines.append(own.join(small(items.filter(F.col("_width") == width), BLOCK), "_hash"))
-    laid = reduce(DataFrame.unionByName, lines)
-    # Hashes agree; the templates themselves must too.
-    laid = laid.filter(F.transform("_own", bare) == F.transform("_values", bare))
+    # Hashes agree; the words themselves must too.
+    return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare") == F.col("_bare"))
+
+
+def with_total(found: DataFrame, items: DataFrame) -> DataFrame:
+    of = items.groupBy("_item").agg(F.countDistinct("_at").alias("_of")).withColumnRenamed("_item", "_i")
+    return found.join(of, F.col("_item").eqNullSafe(F.col("_i"))).drop("_i")
+
+
+def nothing(rows: DataFrame) -> DataFrame:
+    return rows.limit(0).select("_id", F.lit(None).alias("_item"), F.lit(0).alias("_windows"), F.lit(0).alias("_of"))
+
+
+def matches(rows: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """_id, _item, _windows (of the item, found along consistent lines), _of (the item's windows)."""
+    found, widths = suspects(rows, items, template, block)
+    if found is None:
+        return nothing(rows)
+    words = found.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
     pairs = F.filter(F.arrays_zip(F.col("_values").alias("of"), F.col("_own").alias("is")), lambda p: F.substring(p["of"], 1, 1).isin(NUMBER, NAME, UNIT))
-    line = laid.select("_id", "_text", "_item", (F.col("_place") - F.col("_at")).alias("_shift"), "_at", pairs.alias("_pairs"))
+    line = laid(words, items, widths).select("_id", "_text", "_item", (F.col("_place") - F.col("_at")).alias("_shift"), "_at", pairs.alias("_pairs"))
     # Along a line each slot value of the item has one value of the document. A line is at most as long as its item.
     line = line.groupBy("_id", "_text", "_item", "_shift").agg(F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"), F.collect_set("_at").alias("_ats"))
     consistent = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["of"]))) == F.size("_pairs")
     kept = line.filter(consistent).select("_id", "_item", F.explode("_ats").alias("_at"))
-    found = kept.groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows"))
-    of = items.groupBy("_item").agg(F.countDistinct("_at").alias("_of")).withColumnRenamed("_item", "_i")
-    return found.join(of, F.col("_item").eqNullSafe(F.col("_i"))).drop("_i")
+    return with_total(kept.groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows")), items)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def verbatim_matches(rows: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """The same of windows of plain words."""
+    found, widths = suspects(rows, items, plain, block)
+    if found is None:
+        return nothing(rows)
+    words = found.select("_id", F.lit(0).alias("_text"), plain(F.col("_text")).alias("_bare")).withColumn("_words", F.col("_bare"))
+    return with_total(laid(words, items, widths).groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows")), items)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, block: int = BLOCK, verbatim: bool = False) -> DataFrame:
     """One row per contaminated document: id, item_ids (sorted), n_windows (of all these items)."""
-    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, block).filter(F.col("_windows") >= F.least(F.lit(least), F.col("_of")))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    items = cut(item_windows(benchmark, item_col, item_text_col))
+    enough = F.col("_windows") >= F.least(F.lit(least), F.col("_of"))
+    found = matches(rows, items, block).filter(enough)
+    if verbatim:
+        others = items.select(F.col("_item").alias("_i")).distinct()
+        exact = cut(plain_windows(benchmark, item_col, item_text_col).join(others, F.col("_item").eqNullSafe(F.col("_i")), "left_anti"))
+        found = found.unionByName(verbatim_matches(rows, exact, block).filter(enough)).groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
     return found.groupBy("_id").agg(F.sort_array(F.collect_set("_item")).alias("item_ids"), F.sum("_windows").alias("n_windows")).withColumnRenamed("_id", id_col)
 
 

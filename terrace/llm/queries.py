@@ -45,7 +45,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, verbatim or with other numbers, names or units, with the items."""
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), verbatim=True)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

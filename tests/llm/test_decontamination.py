@@ -98,3 +98,9 @@ def test_templates_and_values_agree(spark):
     for r in rows:
         assert r.a == r.b
     assert rows[2].v == ["\ue0017", "\ue003"]
+
+
+def test_items_without_a_template_window_are_found_verbatim(spark):
+    items = [(1, "Compute 12 + 35 * 7 = ?"), (2, "3 kg, 4 kg, 5 kg, 6 kg and 7 kg"), (3, "quick zebras"), (4, "? ?")]
+    docs = [(1, "Now compute 12 + 35 * 7 = ? at once"), (2, "Now compute 12 + 36 * 7 = ?"), (3, "it weighed 3 kg, 4 kg, 5 kg, 6 kg and 7 kg."), (4, "so Quick\nzebras ran"), (5, "quick brown zebras?")]
+    assert run(spark, docs, items, verbatim=True) == {1: ([1], 1), 3: ([2], 4), 4: ([3], 1)}
