@@ -5,7 +5,9 @@ be a unit; each is replaced by a typed placeholder, the rest is lower-cased, and
 eight template words of all documents are hash-joined to those of the benchmark. A document that shares a window is
 looked at again with the values in its slots: its windows are laid along an item's (the same distance between their
 places in both), and along one such line each value of the item must always stand for the same value of the document.
-So a question with other numbers or names is found, but not a text that only has a like pattern. A document is
+So a question with other numbers or names is found, but not a text that only has a like pattern. With the option verbatim
+windows that have the item's own values count whatever the line's other windows hold, and of those others the ones count
+that agree with the commonest value for each of the item's; without it one other value discards its line. A document is
 contaminated by an item if such lines cover at least LEAST of the item's windows, or all where it has fewer.
 
 Windows with fewer than LITERAL ordinary words say too little for a template and are not used. With the option verbatim,
@@ -163,18 +165,35 @@ def nothing(rows: DataFrame) -> DataFrame:
     return rows.limit(0).select("_id", F.lit(None).alias("_item"), F.lit(0).alias("_windows"), F.lit(0).alias("_of"))
 
 
-def matches(rows: DataFrame, items: DataFrame, block: int) -> DataFrame:
-    """_id, _item, _windows (of the item, found along consistent lines), _of (the item's windows)."""
+def most_of(slots: Column) -> Column:
+    """The pairs (of, is) that are the most frequent of their value of the item; of equally frequent ones the greatest."""
+    counted = F.transform(F.array_distinct(slots), lambda p: F.struct(p["of"].alias("of"), F.size(F.filter(slots, lambda q: q == p)).alias("n"), p["is"].alias("is")))
+    best = F.filter(counted, lambda p: ~F.exists(counted, lambda q: (q["of"] == p["of"]) & ((q["n"] > p["n"]) | ((q["n"] == p["n"]) & (q["is"] > p["is"])))))
+    return F.transform(best, lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is")))
+
+
+def matches(rows: DataFrame, items: DataFrame, block: int, verbatim: bool) -> DataFrame:
+    """_id, _item, _windows (of the item, found along consistent lines or, if verbatim, as they are), _of (the item's windows)."""
     found, widths = suspects(rows, items, template, block)
     if found is None:
         return nothing(rows)
     words = found.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
     pairs = F.filter(F.arrays_zip(F.col("_values").alias("of"), F.col("_own").alias("is")), lambda p: F.substring(p["of"], 1, 1).isin(NUMBER, NAME, UNIT))
-    line = laid(words, items, widths).select("_id", "_text", "_item", (F.col("_place") - F.col("_at")).alias("_shift"), "_at", pairs.alias("_pairs"))
+    line = laid(words, items, widths).select("_id", "_text", "_item", (F.col("_place") - F.col("_at")).alias("_shift"), "_at", (F.col("_own") == F.col("_values")).alias("_same"), pairs.alias("_pairs"))
     # Along a line each slot value of the item has one value of the document. A line is at most as long as its item.
-    line = line.groupBy("_id", "_text", "_item", "_shift").agg(F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"), F.collect_set("_at").alias("_ats"))
-    consistent = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["of"]))) == F.size("_pairs")
-    kept = line.filter(consistent).select("_id", "_item", F.explode("_ats").alias("_at"))
+    consistent = lambda slots: F.size(F.array_distinct(F.transform(slots, lambda p: p["of"]))) == F.size(slots)
+    keys = "_id", "_text", "_item", "_shift"
+    if verbatim:
+        # Windows with the item's own values count by themselves; of the others those that have the line's commonest values.
+        same = line.filter("_same").select("_id", "_item", "_at")
+        changed = line.filter("NOT _same").groupBy(*keys).agg(F.collect_list(F.struct("_at", "_pairs")).alias("_changed"))
+        changed = changed.withColumn("_slots", F.flatten(F.transform("_changed", lambda c: c["_pairs"])))
+        changed = changed.withColumn("_most", F.when(consistent(F.array_distinct("_slots")), F.array_distinct("_slots")).otherwise(most_of(F.col("_slots"))))
+        agreeing = changed.select("_id", "_item", "_most", F.explode("_changed").alias("_c")).filter(F.size(F.array_except("_c._pairs", "_most")) == 0)
+        kept = same.unionByName(agreeing.select("_id", "_item", F.col("_c._at").alias("_at")))
+    else:
+        line = line.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"), F.collect_set("_at").alias("_ats"))
+        kept = line.filter(consistent(F.col("_pairs"))).select("_id", "_item", F.explode("_ats").alias("_at"))
     return with_total(kept.groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows")), items)
 
 
@@ -192,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     items = cut(item_windows(benchmark, item_col, item_text_col))
     enough = F.col("_windows") >= F.least(F.lit(least), F.col("_of"))
-    found = matches(rows, items, block).filter(enough)
+    found = matches(rows, items, block, verbatim).filter(enough)
     if verbatim:
         others = items.select(F.col("_item").alias("_i")).distinct()
         exact = cut(plain_windows(benchmark, item_col, item_text_col).join(others, F.col("_item").eqNullSafe(F.col("_i")), "left_anti"))

@@ -104,3 +104,13 @@ def test_items_without_a_template_window_are_found_verbatim(spark):
     items = [(1, "Compute 12 + 35 * 7 = ?"), (2, "3 kg, 4 kg, 5 kg, 6 kg and 7 kg"), (3, "quick zebras"), (4, "? ?")]
     docs = [(1, "Now compute 12 + 35 * 7 = ? at once"), (2, "Now compute 12 + 36 * 7 = ?"), (3, "it weighed 3 kg, 4 kg, 5 kg, 6 kg and 7 kg."), (4, "so Quick\nzebras ran"), (5, "quick brown zebras?")]
     assert run(spark, docs, items, verbatim=True) == {1: ([1], 1), 3: ([2], 4), 4: ([3], 1)}
+
+
+def test_one_edit_does_not_hide_a_copy(spark):
+    a = "the machine makes 4 small wheels in 9 minutes and then 4 more wheels before it must rest"
+    long = " ".join(f"on day number the machine made 4 {x} wheels and they were sold" for x in ("small", "large", "round", "heavy"))
+    other = long.replace("4", "5").replace("5 round", "6 round")
+    docs = [(1, a.replace("4", "6", 1)), (2, other), (3, "so it was that " + QUESTION.replace("12", "7", 1).replace("Alice", "Zoe", 1))]
+    found = run(spark, docs, [(3, a), (4, long), (5, QUESTION)], verbatim=True)
+    assert {k: v[0] for k, v in found.items()} == {1: [3], 2: [4], 3: [5]}
+    assert run(spark, [(1, "one 3 of the 4 or 5 of my 6 is")], [(2, "one 1 of the 1 or 1 of my 1 is")], verbatim=True) == {}
