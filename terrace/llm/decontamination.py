@@ -11,9 +11,10 @@ that agree with the commonest value for each of the item's; without it one other
 contaminated by an item if such lines cover at least LEAST of the item's windows, or all where it has fewer.
 
 Windows with fewer than LITERAL ordinary words say too little for a template and are not used. With the option verbatim,
-which the query and the pipeline set, an item without any other window is looked for word for word: its windows of eight
-lower-cased words, numbers and names as they are, without any test of what they say. Without the option it is not looked
-for. An item of fewer than eight words has one window, the whole item.
+which the query and the pipeline set, every item is also looked for word for word: its windows of eight lower-cased words,
+numbers and names as they are, without any test of what they say. So a copy is found whatever its case, line breaks or
+place in a sentence, on which names depend. Without the option an item without template windows is not looked for. An item
+of fewer than eight words has one window, the whole item.
 
 Main path: DataFrame functions only. The text is read once, its windows are neither shuffled nor sent anywhere: they are
 probed where they stand against a broadcast set of the benchmark's 64-bit window hashes. That set is cut in blocks of a
@@ -152,8 +153,8 @@ def laid(words: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
         own = windows(words, "_bare", width)
         own = own.select("_id", "_text", "_place", "_hash", *[F.slice(x, F.col("_place") + 1, F.lit(width)).alias(y) for x, y in (("_words", "_own"), ("_bare", "_own_bare"))])
         lines.append(own.join(small(items.filter(F.col("_width") == width), BLOCK), "_hash"))
-    # Hashes agree; the words themselves must too.
-    return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare") == F.col("_bare"))
+    # Hashes agree; the words themselves must too. An equation would become a key of the join, and its table a large one.
+    return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare").between(F.col("_bare"), F.col("_bare")))
 
 
 def with_total(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,7 +169,8 @@ def nothing(rows: DataFrame) -> DataFrame:
 def most_of(slots: Column) -> Column:
     """The pairs (of, is) that are the most frequent of their value of the item; of equally frequent ones the greatest."""
     counted = F.transform(F.array_distinct(slots), lambda p: F.struct(p["of"].alias("of"), F.size(F.filter(slots, lambda q: q == p)).alias("n"), p["is"].alias("is")))
-    best = F.filter(counted, lambda p: ~F.exists(counted, lambda q: (q["of"] == p["of"]) & ((q["n"] > p["n"]) | ((q["n"] == p["n"]) & (q["is"] > p["is"])))))
+    # Sorted, the last one of each value is its best.
+    best = F.transform(F.array(F.array_sort(counted)), lambda c: F.filter(c, lambda p, i: ~p["of"].eqNullSafe(F.get(c, i + 1)["of"])))[0]
     return F.transform(best, lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is")))
 
 
@@ -184,6 +186,7 @@ def matches(rows: DataFrame, items: DataFrame, block: int, verbatim: bool) -> Da
     consistent = lambda slots: F.size(F.array_distinct(F.transform(slots, lambda p: p["of"]))) == F.size(slots)
     keys = "_id", "_text", "_item", "_shift"
     if verbatim:
+        line = cut(line)
         # Windows with the item's own values count by themselves; of the others those that have the line's commonest values.
         same = line.filter("_same").select("_id", "_item", "_at")
         changed = line.filter("NOT _same").groupBy(*keys).agg(F.collect_list(F.struct("_at", "_pairs")).alias("_changed"))
@@ -213,9 +216,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     enough = F.col("_windows") >= F.least(F.lit(least), F.col("_of"))
     found = matches(rows, items, block, verbatim).filter(enough)
     if verbatim:
-        others = items.select(F.col("_item").alias("_i")).distinct()
-        exact = cut(plain_windows(benchmark, item_col, item_text_col).join(others, F.col("_item").eqNullSafe(F.col("_i")), "left_anti"))
-        found = found.unionByName(verbatim_matches(rows, exact, block).filter(enough)).groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
+        exact = cut(plain_windows(benchmark, item_col, item_text_col))
+        found = found.unionByName(cut(verbatim_matches(rows, exact, block).filter(enough))).groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
     return found.groupBy("_id").agg(F.sort_array(F.collect_set("_item")).alias("item_ids"), F.sum("_windows").alias("n_windows")).withColumnRenamed("_id", id_col)
 
 

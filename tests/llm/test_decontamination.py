@@ -114,3 +114,11 @@ def test_one_edit_does_not_hide_a_copy(spark):
     found = run(spark, docs, [(3, a), (4, long), (5, QUESTION)], verbatim=True)
     assert {k: v[0] for k, v in found.items()} == {1: [3], 2: [4], 3: [5]}
     assert run(spark, [(1, "one 3 of the 4 or 5 of my 6 is")], [(2, "one 1 of the 1 or 1 of my 1 is")], verbatim=True) == {}
+
+
+def test_copies_are_found_whatever_their_case_breaks_and_place(spark):
+    river = "Which river flows through the old capital of the northern kingdom"
+    dense = "Anna Bell met Carl Dahl near Old York while Emma Ford drove Gus Hart from Lake Irving to Port James with Kate Lund"
+    docs = [(1, f"and he then asked {river} once"), (2, dense.lower()), (3, QUESTION.title()), (4, QUESTION.replace(" ", "\n")), (5, "he then asked which river it was")]
+    found = run(spark, docs, [(1, river), (2, dense), (3, QUESTION)], verbatim=True)
+    assert {k: v[0] for k, v in found.items()} == {1: [1], 2: [2], 3: [3], 4: [3]}
