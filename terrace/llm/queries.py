@@ -74,7 +74,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's number of unigram tokens."""
+    """Every document's number of tokens by a BPE file's pieces read as a unigram vocabulary: not the BPE file's counts."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

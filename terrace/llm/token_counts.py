@@ -1,6 +1,8 @@
 """Token counts of a unigram vocabulary, by a Viterbi search that keeps counts only.
 
-Pieces and scores come from a public SentencePiece file. The text is cut before every space (a space is the mark "▁";
+Pieces and scores come from a SentencePiece file, which should be a unigram one. A BPE file's scores are minus merge ranks:
+read as unigram scores they give counts that are no published tokenizer's (op10 has only such a file; see the README).
+The text is cut before every space (a space is the mark "▁";
 one is put before the text), and each part is segmented by itself: an Aho-Corasick automaton enumerates all vocabulary
 matches, and dynamic programming over the part's characters carries the best score and the number of pieces.
 
