@@ -20,7 +20,16 @@ EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b F
 )
 def g13_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers that some order lines tie together."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
+    return _tied(table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0"))
+
+
+@query()
+def g13_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all order lines; without SQL, a test compares with brute force."""
+    return _tied(table(spark, sf_dir, "lineitem"))
+
+
+def _tied(lines: DataFrame) -> DataFrame:
     edges = lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).distinct()
     nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     return graph.components(nodes, edges)

@@ -111,3 +111,19 @@ def test_names(spark):
     assert value(text.normalised(F.lit(" Île-de-Frânce "))) == "ile-de-france"
     score = value(text.relevance(F.lit("Bavaria"), F.lit("Germany > Bavaria"), F.lit(1), "bavaria"))
     assert score == 1000 + 300 + 200 + 100 + 90 + 26
+
+
+def test_components_of_all_order_lines(spark):
+    edges = duckdb.sql(f"SELECT DISTINCT l_partkey, l_suppkey + 1000000000 FROM '{FOLDER}/lineitem.parquet'").fetchall()
+    tied = {n: n for e in edges for n in e}
+
+    def end(n):
+        while tied[n] != n:
+            n = tied[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((end(a), end(b)))
+        tied[high] = low
+    got = {r.id: r.component for r in QUERIES["g13_all_components"](spark, FOLDER).collect()}
+    assert got == {n: end(n) for n in tied}
