@@ -19,6 +19,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -66,12 +67,21 @@ def letters() -> np.ndarray:
     return _tables["letters"]
 
 
+@cache
+def category(code: int) -> str:
+    return unicodedata.category(chr(code))[0]
+
+
 def features(text: str) -> np.ndarray | None:
     """A vector of length 1; None without letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     known = letters()
-    is_letter = known[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
-    if not is_letter.any():
+    is_letter = known[np.minimum(codes, 0xFFFF)]
+    far = codes > 0xFFFF
+    if far.any():
+        is_letter[far] = [category(c) in "LM" for c in codes[far].tolist()]
+    # Marks without any letter are no text of a language.
+    if not is_letter.any() or not any(category(c) == "L" for c in codes[is_letter].tolist()):
         return None
     codes = np.concatenate([[np.uint32(0)], np.where(is_letter, codes, np.uint32(0)), [np.uint32(0)]])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]

@@ -82,3 +82,10 @@ def test_a_language_outside_the_table_is_a_family():
     (lang, score), (other, _) = model.predict(np.array([[1.0, 0.0], [-1.0, 1.0]]))
     assert (lang, other) == ("xx", "es")
     assert score > 0.9
+
+
+def test_symbols_and_marks_alone_are_no_letters():
+    from terrace.llm.language import features
+
+    assert features("\U0001f600 \U0001f680") is None and features("́ ̂") is None
+    assert features("\U00010330\U00010331") is not None and features("é \U0001f600") is not None
