@@ -40,9 +40,10 @@ HELD = 95
 HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQ4s")
 FLUSH = 128 * BLOCK
-#: A worker keeps the ids of at most twice so many parts of words, and texts of about so many bytes are encoded at a time.
-WORDS = 500_000
-BATCH_BYTES = 1 << 23
+#: A worker keeps the ids of at most twice so many parts of words of at most so many characters, from task to task.
+WORDS, LONGEST = 500_000, 64
+#: Texts of about so many bytes are encoded at a time.
+BATCH_BYTES = 1 << 22
 
 #: White space other than space and newline; a text with it, or with two of any in a row, is encoded whole.
 _UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -59,15 +60,22 @@ class Encoder:
     part that isn't known yet is encoded by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), WORDS if words is None else words
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.older, self.long = {}, {}, []
 
     def learn(self, parts: set[str]) -> None:
-        """Makes the ids of parts known; parts that long weren't asked for are forgotten."""
-        if len(self.known) > WORDS:
+        """Makes the ids of parts known; parts that long weren't asked for are forgotten, and long parts at once."""
+        for x in self.long:
+            self.known.pop(x, None)
+        if len(self.known) > self.words:
             self.known, self.older = {}, self.known
+        self.long = [x for x in parts if len(x) > LONGEST]
         fresh = []
         for x in parts.difference(self.known):
             if x in self.older:
@@ -116,11 +124,12 @@ class Encoder:
         return ["\n", *parts] if lead == "\n" else parts
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int | None = None) -> Encoder:
     """One per Python worker and file."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         _encoders[path] = Encoder(path)
+    _encoders[path].words = WORDS if words is None else words
     return _encoders[path]
 
 
@@ -251,34 +260,49 @@ def read_documents(file) -> Iterator[tuple[int | None, np.ndarray]]:
             waiting, k = waiting[n:], k + 1
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards and returns their manifest, a row each: shard, path, documents, tokens."""
+def stored_order(docs: DataFrame) -> list[Column]:
+    """The order in which rows stand in the Parquet files that they are read from; the names of Spark's files ascend."""
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None, words: int | None = None) -> DataFrame:
+    """Writes the shards and returns their manifest, a row each: shard, path, documents, tokens.
+
+    order: of the documents, ascending ids if not given. words: how many parts of words a worker keeps at least before it
+    forgets some; if given, all are forgotten when a task ends, so that the memory is free for what runs next.
+    """
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        path, encode = f"{folder}/shard-{shard:06d}.tpf", encoder(tokenizer).encode
+        path, own = f"{folder}/shard-{shard:06d}.tpf", encoder(tokenizer, words)
         end = np.array([end_id], "<u4")
         batches = (b for b in batches if b.num_rows)
         batch = next(batches, None)
         if batch is None:
             return
-        with writing(path, context.taskAttemptId()) as out:
-            writer = ShardWriter(out)
-            while batch is not None:
-                for part in slices(batch):
-                    ids, counts = encode(part["_text"])
-                    ends = np.cumsum(counts)
-                    for doc_id, first, last in zip(part["_id"].to_pylist(), ends - counts, ends, strict=True):
-                        writer.add(doc_id, ids[first:last], end)
-                batch = next(batches, None)
-            writer.close()
+        try:
+            with writing(path, context.taskAttemptId()) as out:
+                writer = ShardWriter(out)
+                while batch is not None:
+                    for part in slices(batch):
+                        ids, counts = own.encode(part["_text"])
+                        ends = np.cumsum(counts)
+                        for doc_id, first, last in zip(part["_id"].to_pylist(), ends - counts, ends, strict=True):
+                            writer.add(doc_id, ids[first:last], end)
+                    batch = next(batches, None)
+                writer.close()
+        finally:
+            if words is not None:
+                own.forget()
+                pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "documents": len(writer.counts), "tokens": sum(writer.counts)}], schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    order: list[Column] = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_text")
+    places = [c.alias(f"_place{k}") for k, c in enumerate(order or [])]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *places)
+    keys: list[Column] = [*(F.col(f"_place{k}") for k in range(len(places))), F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "_text").select("_id", "_text")
     return cut(ordered.mapInArrow(write, "shard long, path string, documents long, tokens long"))
 
 
@@ -303,7 +327,7 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(totals), "shard").select(F.col("_id").alias(id_col), (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_binary(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes documents as shards to a folder that driver and executors share, and reads them back."""
+def token_binary(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Writes documents as shards to a folder that driver and executors share, and reads them back; options: of write_shards."""
     folder = folder or shared_folder(docs.sparkSession, "tokens")
-    return read_shards(write_shards(docs, folder, tokenizer, end_id, id_col, text_col), id_col)
+    return read_shards(write_shards(docs, folder, tokenizer, end_id, id_col, text_col, **options), id_col)

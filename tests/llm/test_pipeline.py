@@ -1,11 +1,15 @@
+import glob
 import random
 import re
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
+from pyspark.sql import Row as spark_row
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from terrace.llm.mixing import mix_plan
 from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_quality import text_of
 from tests.llm import test_decontamination
@@ -63,11 +67,18 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start, expected = 0, []
-    for r in sorted(mixed, key=lambda r: (r.doc_id, r.text)):
+    # The shards are in the order of the mix, which stands in the files.
+    files = sorted(glob.glob(f"{tmp_path}/3/part-*.parquet"))
+    written = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert sorted(r["doc_id"] for r in written) == sorted(r.doc_id for r in mixed)
+    positions = {r.doc_id: r.position for r in mix_plan(spark.read.parquet(f"{tmp_path}/2")).collect()}
+    firsts = list(dict.fromkeys(r["doc_id"] for r in written))
+    assert firsts == sorted(firsts, key=positions.get)
+    for r in (spark_row(**r) for r in written):
         found = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, corpus_pipeline.END_ID]
         expected.append((r.doc_id, start, len(found), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in found))))
         start += len(found)
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens) == expected
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens), key=lambda r: r[1]) == expected
 
 
 def test_run_returns_the_last_stage(spark, tmp_path):
