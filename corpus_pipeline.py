@@ -2,8 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last, which writes the token
 shards and returns their index. run() writes each stage's rows as Parquet in the shared folder and reads them again.
-Training positions of the mix decide which documents are taken and how often; the shards are in order of ids, copies of
-a document one after the other.
+The mix is written in order of its training positions, and the shards hold the documents in the order written.
 """
 
 from __future__ import annotations
@@ -18,10 +17,12 @@ from terrace.llm.decontamination import decontaminated
 from terrace.llm.jaccard_join import one_of_each
 from terrace.llm.mixing import mixed_documents
 from terrace.llm.quality import good_documents
-from terrace.llm.token_binary import token_binary
+from terrace.llm.token_binary import stored_order, token_binary
 
 #: Ends each document in the token shards.
 END_ID = 2
+#: Parts of words that a worker keeps; the stages before have their part of its memory too.
+WORDS = 50_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The index of the token shards, read back."""
-    return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    """The index of the token shards, read back. docs are read from Parquet; their order there is the shards' order."""
+    return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, order=stored_order(docs), words=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
