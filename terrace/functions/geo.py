@@ -35,9 +35,10 @@ def in_box(lon: Column, lat: Column, west: Column, south: Column, east: Column,
     return across & lat.between(south, north)
 
 
-def in_view(lon: Column, west: Column, east: Column) -> Column:
-    """Longitudes modulo 360; a view as wide as the world sees all."""
-    return (east - west >= 360) | (F.pmod(lon - west, F.lit(360.0)) <= east - west)
+def in_view(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Longitudes modulo 360; west > east is a view over the antimeridian, and one as wide as the world sees all longitudes."""
+    width = F.when(west <= east, east - west).otherwise(east + 360 - west)
+    return lat.between(south, north) & ((width >= 360) | (F.pmod(F.pmod(lon - west, F.lit(360.0)) + 360, F.lit(360.0)) <= width))
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -66,7 +67,12 @@ def mean_longitude(lon: Column) -> Column:
 
 
 def parsed_point(text: Column) -> Column:
-    """Struct lon, lat of `Point(lon lat)`; null if it isn't one or is out of range."""
+    """Struct lon, lat of `Point(lon lat)`; null if it isn't one."""
     number = r"(-?[0-9]+(?:\.[0-9]+)?)"
-    part = lambda k: F.nullif(F.regexp_extract(text, rf"(?i)^\s*point\s*\(\s*{number}\s+{number}\s*\)\s*$", k), F.lit("")).cast("double")
-    return F.when(part(1).between(-180, 180) & part(2).between(-90, 90), F.struct(part(1).alias("lon"), part(2).alias("lat")))
+    part = lambda k: F.nullif(F.regexp_extract(text, rf"(?i)point\s*\(\s*{number}\s+{number}\s*\)", k), F.lit("")).cast("double")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("lon"), part(2).alias("lat")))
+
+
+def entity_id(uri: Column) -> Column:
+    """What stands after the last slash of an entity's address."""
+    return F.substring_index(uri, "/", -1)

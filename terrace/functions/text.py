@@ -12,7 +12,12 @@ _MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD"
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
 
 #: Administrative nouns that end a name.
-SUFFIXES = ("province", "region", "district", "county", "state", "oblast", "krai", "prefecture", "governorate", "department", "republic", "territory", "municipality", "division", "canton", "emirate", "parish", "island", "islands", "city", "area")
+SUFFIXES = (
+    "province", "state", "prefecture", "oblast", "county", "district", "department", "region", "territory", "governorate", "municipality",
+    "division", "parish", "canton", "voivodeship", "krai", "republic", "autonomous", "community", "emirate", "principality",
+)
+#: What a search hit's score is made of.
+EXACT, BEGINS, FUZZY, IN_PATH, IN_NAME, ALL_TERMS = 1000, 500, 400, 300, 200, 100
 
 
 def plain(text: Column) -> Column:
@@ -46,26 +51,43 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(0.0))
 
 
+def without_note(text: Column) -> Column:
+    """What is before the first parenthesis."""
+    return F.trim(F.substring_index(text, "(", 1))
+
+
+def variants(name: Column) -> Column:
+    """The normalised name, and without its suffix if it has one."""
+    n = normalised(name)
+    return F.array_distinct(F.filter(F.array(n, F.trim(without_suffix(n))), lambda x: x != ""))
+
+
 def is_prefix_match(a: Column, b: Column) -> Column:
-    """One begins the other, part by part between hyphens: the shorter has 4 characters and 0.6 of the longer."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    left, right = F.split(a, "-"), F.split(b, "-")
+    """One begins the other; the shorter has 4 characters and 0.6 of the longer. With as many hyphens in both, part by part."""
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    left, right = F.split(short, "-"), F.split(long, "-")
     pairs = F.zip_with(left, right, lambda x, y: F.startswith(x, y) | F.startswith(y, x))
-    return (short >= 4) & (short >= 0.6 * long) & (F.size(left) == F.size(right)) & F.forall(pairs, lambda p: F.coalesce(p, F.lit(False)))
+    whole = F.when((F.size(left) > 1) & (F.size(left) == F.size(right)), F.forall(pairs, lambda p: F.coalesce(p, F.lit(False)))).otherwise(F.startswith(long, short))
+    return (F.length(short) >= 4) & (F.length(short) / F.length(long) >= 0.6) & whole
+
+
+def child_score(wanted: Column, name: Column) -> Column:
+    """700 for the exact name, 650 for a variant or the beginning of it, else null. wanted: variants of what is looked for."""
+    n = normalised(name)
+    return (
+        F.when(F.array_contains(wanted, n), 700)
+        .when(F.arrays_overlap(wanted, variants(name)) | F.exists(wanted, lambda w: is_prefix_match(w, n)), 650)
+    )
 
 
-def relevance(name: Column, path: Column, depth: Column, query: str) -> Column:
-    """Score of a search hit: the kind of match of the name, whether the path holds the query, how shallow and how short it is."""
-    term, n = normalised(F.lit(query)), normalised(name)
-    fuzzy = similarity(trigrams(n), trigrams(term))
-    kind = F.when(n == term, F.lit(1000.0)).when(F.startswith(n, term), F.lit(500.0)).otherwise(fuzzy * 400)
-    terms = F.split(term, r"\s+")
-    lower = normalised(path)
+def relevance(name: Column, path: Column, depth: Column, query: str, fuzzy: bool = True) -> Column:
+    """Score of a search hit: how the name matches, whether the path holds the query, how shallow and how short it is. The parts add up."""
+    term, n, p = normalised(F.lit(query)), normalised(name), normalised(path)
+    points = lambda c, k: F.when(c, k).otherwise(0)
+    close = similarity(trigrams(n), trigrams(term)) * FUZZY if fuzzy else F.lit(0.0)
     return (
-        kind
-        + F.when(F.contains(lower, term), 300).otherwise(0)
-        + F.when(F.contains(n, term), 200).otherwise(0)
-        + F.when(F.forall(terms, lambda t: F.contains(lower, t)), 100).otherwise(0)
-        + F.when(depth <= 10, (F.lit(10) - depth) * 10).otherwise(0)
-        + F.when(F.length(name) < 20, (F.lit(20) - F.length(name)) * 2).otherwise(0)
-    )
+        points(n == term, EXACT) + points(F.startswith(n, term), BEGINS) + close + points(F.contains(p, term), IN_PATH) + points(F.contains(n, term), IN_NAME)
+        + points(F.forall(F.split(term, r"\s+"), lambda t: F.contains(p, t)), ALL_TERMS)
+        + points(depth <= 10, (F.lit(10) - depth) * 10) + points(F.length(name) < 20, (F.lit(20) - F.length(name)) * 2)
+    )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.geo import haversine
-from terrace.operators.ranking import first_per
+from terrace.operators.ranking import first_per, ranked
+from terrace.operators.steps import cut
 
 #: Metres from which a point has moved, and moved far.
 MOVED, FAR = 10.0, 1000.0
@@ -57,12 +61,148 @@ def latest(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return first_per(versions, keys, order)
 
 
-def missing(stored: DataFrame, seen: DataFrame, key: str, least_share: float = 0.9) -> DataFrame:
-    """Stored keys that a run didn't see; none where it saw less than a share of them, as then the run is to blame."""
+#: A run must have seen this share of what is active before its silence counts, and admitted this share before it sweeps.
+LEAST_SEEN, LEAST_ADMITTED = 0.9, 0.5
+
+
+def missing_skip_reason(authoritative: Column, cancelled: Column, errors: Column, seen: Column, previous: Column) -> Column:
+    """Why absences must not be flagged; null where they may."""
+    return (
+        F.when(~authoritative, "ranked source").when(cancelled, "cancelled").when(errors > 0, "errors")
+        .when(previous == 0, F.lit(None).cast("string")).when(seen / previous < LEAST_SEEN, "low coverage")
+    )
+
+
+def sweep_skip_reason(cancelled: Column, errors: Column, admitted: Column, previous: Column) -> Column:
+    """Why rows outside a run's admitted set must not be refused; null where they may."""
+    return (
+        F.when(cancelled, "cancelled").when(errors > 0, "errors").when(admitted == 0, "nothing admitted")
+        .when(previous == 0, F.lit(None).cast("string")).when(admitted / previous < LEAST_ADMITTED, "low share")
+    )
+
+
+def missing(stored: DataFrame, seen: DataFrame, key: str, authoritative: bool = True, cancelled: bool = False, errors: int = 0) -> DataFrame:
+    """Stored (active) keys that a run didn't see; none where a rule says that the run, not the source, is to blame."""
     known = stored.select(key).join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
-    share = known.agg(F.avg(F.when(F.col("_seen"), 1.0).otherwise(0.0)).alias("_share"))
-    return known.filter("_seen IS NULL").crossJoin(F.broadcast(share)).filter(F.col("_share") >= least_share).select(key)
+    counts = known.agg(F.count("_seen").alias("_found"), F.count("*").alias("_all"))
+    reason = missing_skip_reason(F.lit(authoritative), F.lit(cancelled), F.lit(errors), F.col("_found"), F.col("_all"))
+    return known.filter("_seen IS NULL").crossJoin(F.broadcast(counts)).filter(reason.isNull()).select(key)
+
+
+def split_changes(differences: Column, claimed: Column, held: Column, created: Column) -> dict[str, Column]:
+    """What becomes of the differences (structs f, s) between a snapshot and a stored row.
+
+    Claimed fields are conflicts, the others of a held row wait, the rest is applied. The significance is the most of all three.
+    """
+    protected = lambda d: F.array_contains(claimed, d["f"])
+    names = lambda a: F.when(created, "").otherwise(F.array_join(F.transform(a, lambda d: d["f"]), ","))
+    conflicts, rest = F.filter(differences, protected), F.filter(differences, lambda d: ~protected(d))
+    applied, waiting = F.when(held, F.slice(rest, 1, 0)).otherwise(rest), F.when(held, rest).otherwise(F.slice(rest, 1, 0))
+    most = F.array_max(F.transform(differences, lambda d: d["s"]))
+    return {
+        "change": F.when(created, "created").when(F.size(applied) > 0, "updated").otherwise("unchanged"),
+        "significance": F.when(created | (F.size(differences) == 0), F.lit(None).cast("string")).when(most == MAJOR, "major").otherwise("minor"),
+        "applied": names(applied), "conflicts": names(conflicts), "waiting": names(waiting),
+    }
+
+
+def same_point(ref_a: Column, lon_a: Column, lat_a: Column, ref_b: Column, lon_b: Column, lat_b: Column) -> Column:
+    """Equal references and at most ten metres apart; without a reference exactly the same place."""
+    close = haversine(lon_a, lat_a, lon_b, lat_b) <= MOVED
+    return ref_a.eqNullSafe(ref_b) & F.when(ref_b.isNull(), (lon_a == lon_b) & (lat_a == lat_b)).otherwise(close)
+
+
+def paired_places(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """object_id, ordinal, place, metres: which stored place an incoming one is.
+
+    incoming: object_id, ordinal, ref, lon, lat; stored: object_id, place, ref, lon, lat, missing, claimed (of its location).
+    Each incoming place takes its best row (offered before missing, near before far), and of those that take one row the
+    first in order has it; so it is greedy, as the order is the source's.
+    """
+    a, b = incoming.alias("i"), stored.alias("s")
+    col = lambda t, c: F.col(f"{t}.{c}")
+    point = lambda t: [col(t, c) for c in ("ref", "lon", "lat")]
+    match = same_point(*point("s"), *point("i")) | col("s", "claimed")
+    rows = a.join(b, (col("i", "object_id") == col("s", "object_id")) & col("i", "ref").eqNullSafe(col("s", "ref"))).filter(match)
+    metres = haversine(col("s", "lon"), col("s", "lat"), col("i", "lon"), col("i", "lat"))
+    rows = rows.select(col("i", "object_id").alias("object_id"), "ordinal", "place", col("s", "missing").alias("missing"), metres.alias("metres"))
+    best = first_per(rows, ["object_id", "ordinal"], [F.asc("missing"), F.asc("metres"), F.asc("place")])
+    return first_per(best, ["object_id", "place"], [F.asc("ordinal")]).select("object_id", "ordinal", "place", "metres")
+
+
+def arms(incoming: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """object_id, ordinal, place, arm: keep, return (was missing), insert (is new), withdraw (offered, but not paired)."""
+    of = pairs.select("object_id", "ordinal", "place")
+    came = incoming.select("object_id", "ordinal").join(of, ["object_id", "ordinal"], "left").join(stored.select("object_id", "place", "missing"), ["object_id", "place"], "left")
+    came = came.select("object_id", "ordinal", "place", F.when(F.col("place").isNull(), "insert").when(F.col("missing"), "return").otherwise("keep").alias("arm"))
+    gone = stored.filter("NOT missing").join(of, ["object_id", "place"], "left_anti")
+    return came.unionByName(gone.select("object_id", F.lit(None).cast("long").alias("ordinal"), "place", F.lit("withdraw").alias("arm")))
+
+
+def deferred(withdrawn: DataFrame, arrived: DataFrame) -> DataFrame:
+    """object_id, old_id, new_id: withdrawn places wait for arrivals, the n-th of a reference for its n-th, what is left by position. Both: object_id, id, ref."""
+
+    def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return ranked(df, keys, [F.asc("id")]).select("object_id", F.col("id").alias(name), *([F.col("ref").alias(f"ref_{name}")] if "ref" in keys else []), F.col("rn").alias(f"rn_{name}"))
+
+    a, b = numbered(withdrawn, ["object_id", "ref"], "old_id"), numbered(arrived, ["object_id", "ref"], "new_id")
+    joined = a.alias("a").join(b.alias("b"), (F.col("a.object_id") == F.col("b.object_id")) & F.col("ref_old_id").eqNullSafe(F.col("ref_new_id")) & (F.col("rn_old_id") == F.col("rn_new_id")))
+    by_ref = cut(joined.select(F.col("a.object_id").alias("object_id"), "old_id", "new_id"))
+    rest = lambda df, name: df.join(by_ref.select("object_id", F.col(name).alias("id")), ["object_id", "id"], "left_anti")
+    c, d = numbered(rest(withdrawn, "old_id"), ["object_id"], "old_id"), numbered(rest(arrived, "new_id"), ["object_id"], "new_id")
+    left = c.join(d.withColumnRenamed("rn_new_id", "rn_old_id"), ["object_id", "rn_old_id"]).select("object_id", "old_id", "new_id")
+    return by_ref.unionByName(left)
+
+
+def admissions(stored: DataFrame, refusals: DataFrame, admitted: DataFrame, sweep: bool, reason: str) -> DataFrame:
+    """id, action (refuse, restore, sweep), reason: what a run does to rows that neither a hand made nor a claim protects.
+
+    stored: id, admission, is_manual, claimed; refusals: id, reason; admitted: id. A named refusal comes first.
+    """
+    open_rows = stored.filter(~F.col("is_manual") & ~F.coalesce(F.array_contains("claimed", "admission"), F.lit(False)))
+    rows = open_rows.join(refusals.select("id", F.col("reason").alias("_why")), "id", "left").join(admitted.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left")
+    out = F.col("_in").isNull() & (F.col("admission") == "admitted") & F.lit(sweep)
+    action = F.when(F.col("_why").isNotNull(), "refuse").when(F.col("_in").isNotNull() & (F.col("admission") == "refused"), "restore").when(out, "sweep")
+    return rows.select("id", action.alias("action"), F.when(F.col("_why").isNotNull(), F.col("_why")).when(out, reason).alias("reason")).filter("action IS NOT NULL")
+
+
+def merged_maps(stored: Column, incoming: Column, claimed: Column) -> Column:
+    """The incoming map, with the stored values of claimed keys that the stored one has."""
+    own = lambda k, v: F.array_contains(claimed, k)
+    return F.map_concat(F.map_filter(incoming, lambda k, v: ~(own(k, v) & F.map_contains_key(stored, k))), F.map_filter(stored, own))
+
+
+def same_json(left: Column, right: Column) -> Column:
+    """Deep equality of JSON texts: keys in any order, arrays in theirs; missing, null and the empty text are the same."""
+
+    def canonical(value):
+        if isinstance(value, dict):
+            return {k: canonical(v) for k, v in value.items() if v is not None and v != ""}
+        if isinstance(value, list):
+            return [canonical(None if v == "" else v) for v in value]
+        return (type(value) is bool, value)
+
+    def read(text: str | None):
+        value = json.loads(text) if text else None
+        return canonical(None if value == "" else value)
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([read(x) == read(y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(left, right)
 
 
 def hysteresis(was: Column, value: Column, enter: float, leave: float) -> Column:
     return F.when(F.coalesce(was, F.lit(False)), value >= leave).otherwise(value >= enter)
+
+
+def false_withdrawals(places: DataFrame, visited: DataFrame, metres: float) -> DataFrame:
+    """ghost, survivor, safe: missing places with an offered one of the same object and reference so near, the least id of several.
+
+    places: object_id, place, ref, lon, lat, missing; visited: ids of places on which a visit hangs.
+    """
+    side = lambda missing, name: places.filter(F.col("missing") == missing).select("object_id", "ref", F.col("place").alias(name), F.col("lon").alias(f"lon_{name}"), F.col("lat").alias(f"lat_{name}"))
+    pairs = side(True, "ghost").join(side(False, "survivor"), ["object_id", "ref"])
+    near = haversine(F.col("lon_ghost"), F.col("lat_ghost"), F.col("lon_survivor"), F.col("lat_survivor")) <= metres
+    found = pairs.filter(near).groupBy("ghost").agg(F.min("survivor").alias("survivor"))
+    return found.join(visited.select(F.col("visited").alias("ghost")).distinct().withColumn("_v", F.lit(True)), "ghost", "left").select("ghost", "survivor", F.col("_v").isNull().alias("safe"))

@@ -29,23 +29,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ties.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
-def bounded_closure(edges: DataFrame, start: DataFrame, hops: int = 3, growth: int = 3, floor: int = 300, most: int = 2000) -> DataFrame:
-    """id, hop: what start (id) reaches along edges (a to b); a hop that offers too many new nodes is refused, and ends it."""
-    seen, total = cut(start.select("id", F.lit(0).alias("hop")).distinct()), start.distinct().count()
+def bounded_closure(edges: DataFrame, roots: DataFrame, hops: int = 3, growth: int = 3, floor: int = 300, most: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """What each root (id) reaches along edges (a to b): root, id, hop; and the hops that were refused: root, hop, offered.
+
+    A root's hop is refused, and ends its walk, if it offers more than `growth` times what the root has (`floor` at least), or
+    with it the root would have more than `most`. All roots walk together, each by its own counts.
+    """
+    start = roots.select(F.col("id").alias("root"), "id").distinct()
+    seen, refused, front = cut(start.withColumn("hop", F.lit(0))), None, start
     for hop in range(1, hops + 1):
-        front = seen.filter(F.col("hop") == hop - 1).select(F.col("id").alias("a"))
-        offered = cut(edges.join(front, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
-        n = offered.count()
-        if not n or n > max(total, floor) * growth or total + n > most:
+        offered = front.join(edges, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
+        offered = cut(offered)
+        sizes = offered.groupBy("root").agg(F.count("*").alias("offered")).join(seen.groupBy("root").agg(F.count("*").alias("size")), "root")
+        bad = (F.col("offered") > F.greatest(F.col("size"), F.lit(floor)) * growth) | (F.col("size") + F.col("offered") > most)
+        over = sizes.filter(bad).select("root", F.lit(hop).alias("hop"), "offered")
+        refused = over if refused is None else refused.unionByName(over)
+        front = cut(offered.join(over, "root", "left_anti"))
+        if front.isEmpty():
             break
-        seen, total = seen.unionByName(offered.withColumn("hop", F.lit(hop))), total + n
-    return seen
+        seen = cut(seen.unionByName(front.withColumn("hop", F.lit(hop))))
+    return seen, cut(refused)
 
 
 def fragments(members: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Exclaves: parts of a group that aren't its largest, with the group that borders them most.
 
-    members: id, group_id; adjacency: a, b. Returns group_id, component, size, share, neighbour (null for islands).
+    members: id, group_id; adjacency: a, b. Returns group_id, component, size, share, neighbour; islands, which border no other group, are left out.
     """
     of = members.select(F.col("id").alias("a"), F.col("group_id").alias("group_a"))
     both = adjacency.select("a", "b").unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -57,4 +66,4 @@ def fragments(members: DataFrame, adjacency: DataFrame) -> DataFrame:
     small = sizes.withColumn("share", F.col("size") / F.sum("size").over(own)).withColumn("_rn", F.row_number().over(order)).filter("_rn > 1").drop("_rn")
     votes = known.filter("group_a <> group_b").join(parts.select(F.col("id").alias("a"), "component"), "a").groupBy("component", "group_b").agg(F.count("*").alias("votes"))
     best = votes.groupBy("component").agg(F.min_by("group_b", F.struct((-F.col("votes")).alias("v"), "group_b")).alias("neighbour"))
-    return small.join(best, "component", "left").select("group_id", "component", "size", "share", "neighbour")
+    return small.join(best, "component").select("group_id", "component", "size", "share", "neighbour")

@@ -138,3 +138,32 @@ def from_levels(rows: DataFrame, levels: list[str], separator: str = " > ") -> D
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def countries(tree: DataFrame) -> DataFrame:
+    """country: children of roots, and roots that have none."""
+    roots = tree.filter("parent_id IS NULL").select("id")
+    below = tree.join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", "parent_id")
+    return below.select(F.col("id").alias("country")).unionByName(roots.join(below.select(F.col("parent_id").alias("id")), "id", "left_anti").select(F.col("id").alias("country")))
+
+
+def gap_suggestions(gaps: DataFrame, tree: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """id, action, region: what a gap (id, parent_id) could join. members: division, region.
+
+    A sibling's region takes it (the least); else a region is to be made beside that of the nearest ancestor's sibling.
+    """
+    held = tree.filter("parent_id IS NOT NULL").select(F.col("id").alias("division"), F.col("parent_id").alias("parent")).join(members, "division")
+    # The least region under a parent, and the least but for one child's own, so that no pair of siblings is made.
+    by_child = held.groupBy("parent", "division").agg(F.min("region").alias("region"))
+    two = first_per(by_child, ["parent"], [F.asc("region"), F.asc("division")], 2)
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """region: the least among the other children of parent. rows: parent, division, …"""
+        return rows.join(two.select("parent", F.col("division").alias("_d"), "region"), "parent").filter("_d <> division")
+
+    near = beside(gaps.select("id", F.col("id").alias("division"), F.col("parent_id").alias("parent"))).groupBy("id").agg(F.min("region").alias("region"))
+    rest = gaps.join(near, "id", "left_anti")
+    up = rest.select("id", F.col("parent_id").alias("node")).join(links, "node").select("id", F.col("ancestor").alias("division"), "distance")
+    up = up.join(tree.select(F.col("id").alias("division"), F.col("parent_id").alias("parent")), "division").filter("parent IS NOT NULL")
+    far = beside(up).groupBy("id").agg(F.min(F.struct("distance", "region")).alias("r")).select("id", "r.region")
+    return near.select("id", F.lit("add_member").alias("action"), "region").unionByName(far.select("id", F.lit("create_region").alias("action"), "region"))

@@ -96,7 +96,7 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
             rows = [(k, x, y) for k, group in frame.groupby(key, dropna=False) for x, y in chain(list(zip(group.lon, group.lat, strict=True)))]
             yield pd.DataFrame(rows, columns=[key, "lon", "lat"])
 
-    def whole(k, frame: pd.DataFrame) -> pd.DataFrame:
+    def whole(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ring = chain(list(zip(frame.lon, frame.lat, strict=True)))
         area = abs(math.fsum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
         return pd.DataFrame({key: [k[0]], "ring": [[list(p) for p in ring]], "area": [area]})

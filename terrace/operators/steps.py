@@ -11,11 +11,18 @@ BROADCAST_ROWS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the folder that spark.checkpoint.dir names; where it is unset, in one of our own."""
+    """The same rows, kept in the folder that spark.checkpoint.dir names; where it is unset and Spark is local, in one of our own."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='terrace-')}")
-    return df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='terrace-')}"
+        context.setCheckpointDir(folder)
+    # New names for the columns: what Spark knows of the old ones can't be carried into a union.
+    kept = df.checkpoint(eager=True)
+    return kept.select(*[F.col(f"`{c}`").alias(c) for c in kept.columns])
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

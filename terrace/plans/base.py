@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrace.sources.tables import LINE_ID, SHAPES
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +41,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+OBJECTS = """objects AS (SELECT p_partkey AS id, p_name AS name, p_brand AS category, p_type AS kind, p_size AS size, p_retailprice AS price,
+    p_partkey * 37 % 3600 / 10 - 180 AS lon, p_partkey * 91 % 1700 / 10 - 85 AS lat FROM part)"""
+PLACES = f"""places AS (SELECT {LINE_ID} AS id, l_partkey AS object_id, (l_orderkey * 53 + l_linenumber * 7) % 3600 / 10 - 180 AS lon,
+    (l_orderkey * 29 + l_suppkey * 11) % 1700 / 10 - 85 AS lat, l_returnflag <> 'R' AS offered, l_returnflag AS flag FROM lineitem)"""
+
+
+def _edge_rows() -> str:
+    rows = [(part, ring, modulus, k, *a, *b) for part, ring, modulus, points in SHAPES for k, (a, b) in enumerate(zip(points, points[1:], strict=False))]
+    return ", ".join(map(str, rows))
+
+
+#: The edges of terrace.sources.tables.parts_of_nations.
+EDGES = f"""edges AS (SELECT (n_nationkey + 100000000)::BIGINT AS region_id, part, ring, k, n_nationkey * 14 - 180.0::DOUBLE + dx1 AS x1, n_nationkey * 7 % 120 - 60.0::DOUBLE + dy1 AS y1,
+    n_nationkey * 14 - 180.0::DOUBLE + dx2 AS x2, n_nationkey * 7 % 120 - 60.0::DOUBLE + dy2 AS y2
+    FROM nation, (VALUES {_edge_rows()}) AS shape(part, ring, modulus, k, dx1, dy1, dx2, dy2) WHERE n_nationkey % modulus = 0)"""
+#: Even-odd crossings of a ray to the east, without points on the border.
+AROUND = """sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
+    AND NOT bool_or((x2 - x1) * (lat - y1) = (lon - x1) * (y2 - y1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))"""
+DIRECT = f"""{PLACES}, {EDGES}, direct AS (SELECT DISTINCT id AS place, region_id FROM (
+    SELECT id, region_id, part FROM places JOIN edges ON true WHERE offered GROUP BY id, lon, lat, region_id, part HAVING {AROUND}))"""

@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions.geo import parsed_point
+from terrace.functions.geo import entity_id, parsed_point
 from terrace.operators import graph
 from terrace.plans.base import query
 from terrace.sources.tables import table
 
-EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_orderkey % 40 = 0)"
-
-
-@query(
-    f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), ids AS (SELECT DISTINCT a AS id FROM both_ways),
-    reach AS (SELECT id, id AS other FROM ids UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
-    SELECT id, min(other) AS component FROM reach GROUP BY id"""
-)
-def g13_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers that some order lines tie together."""
-    return _tied(table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0"))
-
-
 @query()
 def g13_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of all order lines; without SQL, a test compares with brute force."""
@@ -44,8 +31,10 @@ def g8_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.filter("links >= 22").select("work", F.when((F.col("holders") > 2) & (F.col("work") % 10 != 0), "shared").otherwise("placed").alias("tier"))
 
 
-@query("SELECT n_nationkey::BIGINT AS id, (n_nationkey * 14 - 180)::DOUBLE AS lon, (n_nationkey * 7 % 120)::DOUBLE AS lat FROM nation WHERE n_nationkey * 7 % 120 <= 90")
+@query("SELECT n_nationkey::BIGINT AS id, 'Q' || n_nationkey AS entity, CASE WHEN n_nationkey % 4 <> 3 THEN (n_nationkey * 14 - 180)::DOUBLE END AS lon, CASE WHEN n_nationkey % 4 <> 3 THEN (n_nationkey * 7 % 120)::DOUBLE END AS lat FROM nation")
 def io6_parsed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities out of addresses, and points out of texts; null where a text is none."""
     key = F.col("n_nationkey")
-    rows = table(spark, sf_dir, "nation").select(key.cast("long").alias("id"), F.format_string("Point(%d %d)", key * 14 - 180, key * 7 % 120).alias("wkt"))
-    return rows.select("id", parsed_point(F.col("wkt")).alias("p")).filter("p IS NOT NULL").select("id", "p.lon", "p.lat")
+    wkt = F.when(key % 4 != 3, F.format_string("Point(%d %d)", key * 14 - 180, key * 7 % 120)).otherwise("Polygon((0 0))")
+    rows = table(spark, sf_dir, "nation").select(key.cast("long").alias("id"), F.concat(F.lit("http://example.org/entity/Q"), key.cast("string")).alias("uri"), wkt.alias("wkt"))
+    return rows.select("id", entity_id(F.col("uri")).alias("entity"), parsed_point(F.col("wkt")).alias("p")).select("id", "entity", "p.lon", "p.lat")

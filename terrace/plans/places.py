@@ -77,9 +77,15 @@ def x21_mean_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy("brand").agg(F.round(geo.mean_longitude(F.col("lon")), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
-@query(f"WITH {POINTS} SELECT id FROM points WHERE (((lon - 170) % 360) + 360) % 360 <= 60")
+VIEWS = "(VALUES (1, 170.0, -60.0, 230.0, 60.0), (2, 150.0, -85.0, -140.0, 20.0), (3, -200.0, 0.0, 200.0, 90.0), (4, -20.0, -10.0, 40.0, 50.0)) v(view, west, south, east, north)"
+
+
+@query(f"WITH {POINTS} SELECT view, id FROM points, {VIEWS} WHERE lat BETWEEN south AND north AND ((CASE WHEN west <= east THEN east - west ELSE east + 360 - west END) >= 360 OR (((lon - west) % 360) + 360) % 360 <= (CASE WHEN west <= east THEN east - west ELSE east + 360 - west END))")
 def x29_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).filter(geo.in_view(F.col("lon"), F.lit(170.0), F.lit(230.0))).select("id")
+    """Points on each of some views: beyond 180 degrees, over the antimeridian, wider than the world, and a plain one."""
+    views = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("view", "west", "south", "east", "north"), v, strict=True)]) for v in ((1, 170.0, -60.0, 230.0, 60.0), (2, 150.0, -85.0, -140.0, 20.0), (3, -200.0, 0.0, 200.0, 90.0), (4, -20.0, -10.0, 40.0, 50.0))])
+    rows = points(spark, sf_dir).select("id", "lon", "lat", F.explode(views).alias("v"))
+    return rows.filter(geo.in_view(F.col("lon"), F.col("lat"), *[F.col(f"v.{e}") for e in ("west", "south", "east", "north")])).select("v.view", "id")
 
 
 @query()

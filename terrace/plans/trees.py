@@ -57,8 +57,9 @@ def r6_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {DIVISIONS}, {CLOSURE.format(tree='divisions')} SELECT DISTINCT o_orderkey AS object_id, ancestor AS region_id FROM orders JOIN closure ON node = o_custkey")
 def r7_propagated_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object has one place in the tree and the closure each pair once, so nothing repeats."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), F.col("o_custkey").alias("node"))
-    return orders.join(h.closure(divisions(spark, sf_dir)), "node").select("object_id", F.col("ancestor").alias("region_id")).distinct()
+    return orders.join(h.closure(divisions(spark, sf_dir)), "node").select("object_id", F.col("ancestor").alias("region_id"))
 
 
 @query(WITH + f"SELECT DISTINCT node FROM closure WHERE ancestor IN (SELECT id FROM tree WHERE {COVERED})")
@@ -167,3 +168,20 @@ def io2_tree_from_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = nation.join(region, nation.n_regionkey == region.r_regionkey).join(customer, nation.n_nationkey == customer.c_nationkey, "left")
     return h.from_levels(rows, ["r_name", "n_name", "c_mktsegment"])
+
+
+CHAINS = """chains AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 1 THEN NULL WHEN c_custkey % 5 = 0 THEN c_custkey // 5 ELSE c_custkey - 1 END AS parent_id, 'n' || (c_custkey // 4) AS name FROM customer)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CHAINS}, alone AS (SELECT parent_id FROM chains WHERE parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) = 1),
+    gone AS (SELECT c.id, c.parent_id FROM chains c JOIN chains p ON p.id = c.parent_id AND p.name = c.name WHERE c.parent_id IN (FROM alone)),
+    heir AS (SELECT id, parent_id AS heir FROM gone UNION ALL SELECT h.id, g.parent_id FROM heir h JOIN gone g ON g.id = h.heir),
+    last AS (SELECT id, heir FROM heir WHERE heir NOT IN (SELECT id FROM gone))
+    SELECT c.id, coalesce(heir, parent_id) AS parent_id, name FROM chains c LEFT JOIN last l ON l.id = c.parent_id WHERE c.id NOT IN (SELECT id FROM gone)"""
+)
+def io3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only children with their parent's name are folded into it, along whole chains."""
+    k = F.col("c_custkey")
+    parent = F.when(k <= 1, None).when(k % 5 == 0, F.floor(k / 5).cast("long")).otherwise(k - 1)
+    return h.collapsed(table(spark, sf_dir, "customer").select(k.alias("id"), parent.alias("parent_id"), F.concat(F.lit("n"), F.floor(k / 4).cast("string")).alias("name")))

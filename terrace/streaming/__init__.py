@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured streaming jobs."""
