@@ -16,12 +16,13 @@ numbers and names as they are, without any test of what they say. So a copy is f
 place in a sentence, on which names depend. Without the option an item without template windows is not looked for. An item
 of fewer than eight words has one window, the whole item.
 
-Main path: DataFrame functions only. The text is read once, its windows are neither shuffled nor sent anywhere: they are
-probed where they stand against a broadcast set of the benchmark's 64-bit window hashes. That set is cut in blocks of a
-fixed size; each block is a pass of its own over the documents.
+Main path: DataFrame functions only. Windows of documents are neither shuffled nor sent anywhere: they are probed where
+they stand against a broadcast set of the benchmark's 64-bit window hashes, of all widths in one scan. Of an item's windows
+those are probed that the fewest items have, and no more than any match needs; the documents found so are looked at with
+all windows. The set is cut in blocks of a fixed size; each block is a pass of its own over the documents.
 
 Defined cases: a null or empty text or item has no windows; rows with one id count as one document, those without an id as
-one too, with a null id; copies of an item are all named; the private-use characters U+E001 to U+E003 separate words; an
+one too, with a null id; copies of an item are all named; items of one id and different texts are looked for each by itself; the private-use characters U+E001 to U+E003 separate words; an
 empty table on either side gives an empty result; other columns are not read.
 """
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import cut, small, text_of
@@ -98,74 +99,85 @@ def windows(rows: DataFrame, words: str, width: int) -> DataFrame:
     return places.withColumn("_hash", hashed([F.col("_first"), *(F.get(words, F.col("_place") + k) for k in range(1, width))])).drop("_first")
 
 
-def laid_out(items: DataFrame) -> DataFrame:
-    """_item, _at, _width, _values (an array of words): all windows of rows of _item and _words."""
+def laid_out(items: DataFrame, usable: Callable[[Column], Column]) -> DataFrame:
+    """All usable windows of rows of _item and _words: _item, _copy (a hash of the words), _of (how many windows), _at, _width, _values (an array of words)."""
     items = items.filter("size(_words) > 0").withColumn("_width", F.least(F.size("_words"), F.lit(WIDTH)))
-    places = items.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_words") - F.col("_width") + 1)))
-    return places.select("_item", "_at", "_width", F.slice("_words", F.col("_at"), F.col("_width")).alias("_values"))
+    cut_out = F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_width") + 1), lambda k: F.struct(k.alias("_at"), F.slice("_words", k, F.col("_width")).alias("_values")))
+    cut_out = items.select("_item", F.xxhash64("_words").alias("_copy"), "_width", F.filter(cut_out, lambda w: usable(w["_values"])).alias("_cut"))
+    return cut_out.select("_item", "_copy", F.size("_cut").alias("_of"), "_width", F.inline("_cut"))
 
 
 def with_hash(cutout: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
-    """Adds _bare, of() each of the _values, and its _hash."""
+    """Adds _bare, of() each of the _values, its _hash, and _rank: the window's place among its item's, those first that few items have."""
     by_width = F.lit(None).cast("long")
     for width in range(1, WIDTH + 1):
         by_width = F.when(F.col("_width") == width, hashed([of(F.get("_values", F.lit(k))) for k in range(width)])).otherwise(by_width)
-    return cutout.withColumn("_bare", F.transform("_values", of)).withColumn("_hash", by_width)
+    rows = cutout.withColumn("_bare", F.transform("_values", of)).withColumn("_hash", by_width)
+    often = rows.groupBy("_hash").agg(F.count("*").alias("_often"))
+    return rows.join(often, "_hash").withColumn("_rank", F.row_number().over(Window.partitionBy("_item", "_copy").orderBy("_often", "_hash", "_at"))).drop("_often")
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """_item, _at, _width, _values (an array of valued words), _bare, _hash: all windows that say enough."""
-    cutout = laid_out(benchmark.select(F.col(item_col).alias("_item"), valued(text_of(text_col)).alias("_words")))
-    literal = F.size(F.filter("_values", lambda w: ~F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)))
-    return with_hash(cutout.filter(literal >= LITERAL), bare)
+    """_item, _copy, _of, _width, _at, _values (an array of valued words), _bare, _hash, _rank: all windows that say enough."""
+    rows = benchmark.select(F.col(item_col).alias("_item"), valued(text_of(text_col)).alias("_words")).distinct()
+    literal = lambda values: F.size(F.filter(values, lambda w: ~F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)))
+    return with_hash(laid_out(rows, lambda values: literal(values) >= LITERAL), bare)
 
 
 def plain_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """The same of plain words: all windows."""
-    return with_hash(laid_out(benchmark.select(F.col(item_col).alias("_item"), plain(text_of(text_col)).alias("_words"))), lambda w: w)
+    rows = benchmark.select(F.col(item_col).alias("_item"), plain(text_of(text_col)).alias("_words")).distinct()
+    return with_hash(laid_out(rows, lambda values: F.lit(True)), lambda w: w)
 
 
-def sharing(rows: DataFrame, hashes: DataFrame, width: int, words: Callable[[Column], Column]) -> DataFrame:
-    """The rows (_id, _text) that have a window of this width among the hashes, each once."""
-    found = windows(rows.withColumn("_words", words(F.col("_text"))), "_words", width)
+def sharing(rows: DataFrame, hashes: DataFrame, widths: list[int], words: Callable[[Column], Column]) -> DataFrame:
+    """The rows (_id, _text) that have a window among the hashes, each once. One scan looks at the windows of all widths."""
+    places = rows.withColumn("_words", words(F.col("_text"))).select("*", F.posexplode_outer("_words").alias("_place", "_first"))
+    ahead = [F.col("_first"), *(F.get("_words", F.col("_place") + k) for k in range(1, max(widths)))]
+    of_width = [F.when(F.col("_place") <= F.size("_words") - w, hashed(ahead[:w])) for w in widths]
+    if len(widths) == 1:
+        found = places.withColumn("_hash", of_width[0]).filter("_hash IS NOT NULL")
+    else:
+        found = places.select("_id", "_text", F.explode(F.array_compact(F.array(*of_width))).alias("_hash"))
     return found.join(F.broadcast(hashes), "_hash", "left_semi").groupBy("_id", "_text").agg(F.count("*").alias("_n")).drop("_n")
 
 
-def suspects(rows: DataFrame, items: DataFrame, words: Callable[[Column], Column], block: int) -> tuple[DataFrame | None, list[int]]:
-    """The rows that share a window with an item, and the widths of the items' windows; None if there is no window."""
-    widths = {r["_width"]: r["n"] for r in items.groupBy("_width").agg(F.countDistinct("_hash").alias("n")).collect()}
-    passes = []
-    for width, n in sorted(widths.items()):
-        blocks = -(-n // block)
-        for k in range(blocks):
-            hashes = items.filter((F.col("_width") == width) & (F.pmod("_hash", F.lit(blocks)) == k)).select("_hash").distinct()
-            passes.append(sharing(rows, hashes, width, words))
-    if not passes:
+def suspects(rows: DataFrame, items: DataFrame, words: Callable[[Column], Column], block: int, least: int) -> tuple[DataFrame | None, list[int]]:
+    """The rows that may hold an item, and the widths of the items' windows; None if there is no window.
+
+    A row with `least` of an item's windows (all, where it has fewer) has one of any `_of - least + 1` of them; those are
+    looked for that the fewest items have, so that phrases common to many questions make no suspects.
+    """
+    telling = cut(items.filter(F.col("_rank") <= F.greatest(F.lit(1), F.col("_of") - least + 1)).select("_width", "_hash").distinct())
+    counts = {r["_width"]: r["n"] for r in telling.groupBy("_width").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None, []
+    blocks = -(-sum(counts.values()) // block)
+    passes = [sharing(rows, telling.filter(F.pmod("_hash", F.lit(blocks)) == k).select("_hash"), sorted(counts), words) for k in range(blocks)]
     found = reduce(DataFrame.unionByName, passes)
-    return cut(found.distinct() if len(passes) > 1 else found), sorted(widths)
+    return cut(found.distinct() if blocks > 1 else found), sorted(counts)
 
 
 def laid(words: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
-    """Windows of rows (_id, _text, _words, _bare) at the items' windows: _id, _text, _place, _own, _item, _at, _values."""
+    """Windows of rows (_id, _text, _words, _bare) at the items' windows: _id, _text, _place, _own, and the items' columns."""
     lines = []
     for width in widths:
         own = windows(words, "_bare", width)
         own = own.select("_id", "_text", "_place", "_hash", *[F.slice(x, F.col("_place") + 1, F.lit(width)).alias(y) for x, y in (("_words", "_own"), ("_bare", "_own_bare"))])
-        lines.append(own.join(small(items.filter(F.col("_width") == width), BLOCK), "_hash"))
+        lines.append(own.join(small(items.filter(F.col("_width") == width)), "_hash"))
     # Hashes agree; the words themselves must too. An equation would become a key of the join, and its table a large one.
     return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare").between(F.col("_bare"), F.col("_bare")))
 
 
-def with_total(found: DataFrame, items: DataFrame) -> DataFrame:
-    of = items.groupBy("_item").agg(F.countDistinct("_at").alias("_of")).withColumnRenamed("_item", "_i")
-    return found.join(of, F.col("_item").eqNullSafe(F.col("_i"))).drop("_i")
-
-
 def nothing(rows: DataFrame) -> DataFrame:
     return rows.limit(0).select("_id", F.lit(None).alias("_item"), F.lit(0).alias("_windows"), F.lit(0).alias("_of"))
 
 
+def counted(hits: DataFrame) -> DataFrame:
+    """_id, _item, _windows (how many of the item's windows were found), _of (how many it has); rows: _id, _item, _copy, _of, _at."""
+    return hits.groupBy("_id", "_item", "_copy", "_of").agg(F.countDistinct("_at").alias("_windows")).select("_id", "_item", "_windows", "_of")
+
+
 def most_of(slots: Column) -> Column:
     """The pairs (of, is) that are the most frequent of their value of the item; of equally frequent ones the greatest."""
     counted = F.transform(F.array_distinct(slots), lambda p: F.struct(p["of"].alias("of"), F.size(F.filter(slots, lambda q: q == p)).alias("n"), p["is"].alias("is")))
@@ -174,39 +186,40 @@ def most_of(slots: Column) -> Column:
     return F.transform(best, lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is")))
 
 
-def matches(rows: DataFrame, items: DataFrame, block: int, verbatim: bool) -> DataFrame:
+def matches(rows: DataFrame, items: DataFrame, block: int, least: int, verbatim: bool) -> DataFrame:
     """_id, _item, _windows (of the item, found along consistent lines or, if verbatim, as they are), _of (the item's windows)."""
-    found, widths = suspects(rows, items, template, block)
+    found, widths = suspects(rows, items, template, block, least)
     if found is None:
         return nothing(rows)
     words = found.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
     pairs = F.filter(F.arrays_zip(F.col("_values").alias("of"), F.col("_own").alias("is")), lambda p: F.substring(p["of"], 1, 1).isin(NUMBER, NAME, UNIT))
-    line = laid(words, items, widths).select("_id", "_text", "_item", (F.col("_place") - F.col("_at")).alias("_shift"), "_at", (F.col("_own") == F.col("_values")).alias("_same"), pairs.alias("_pairs"))
+    item = "_item", "_copy", "_of"
+    line = laid(words, items, widths).select("_id", "_text", *item, (F.col("_place") - F.col("_at")).alias("_shift"), "_at", (F.col("_own") == F.col("_values")).alias("_same"), pairs.alias("_pairs"))
     # Along a line each slot value of the item has one value of the document. A line is at most as long as its item.
     consistent = lambda slots: F.size(F.array_distinct(F.transform(slots, lambda p: p["of"]))) == F.size(slots)
-    keys = "_id", "_text", "_item", "_shift"
+    keys = "_id", "_text", *item, "_shift"
     if verbatim:
         line = cut(line)
         # Windows with the item's own values count by themselves; of the others those that have the line's commonest values.
-        same = line.filter("_same").select("_id", "_item", "_at")
+        same = line.filter("_same").select("_id", *item, "_at")
         changed = line.filter("NOT _same").groupBy(*keys).agg(F.collect_list(F.struct("_at", "_pairs")).alias("_changed"))
         changed = changed.withColumn("_slots", F.flatten(F.transform("_changed", lambda c: c["_pairs"])))
         changed = changed.withColumn("_most", F.when(consistent(F.array_distinct("_slots")), F.array_distinct("_slots")).otherwise(most_of(F.col("_slots"))))
-        agreeing = changed.select("_id", "_item", "_most", F.explode("_changed").alias("_c")).filter(F.size(F.array_except("_c._pairs", "_most")) == 0)
-        kept = same.unionByName(agreeing.select("_id", "_item", F.col("_c._at").alias("_at")))
+        agreeing = changed.select("_id", *item, "_most", F.explode("_changed").alias("_c")).filter(F.size(F.array_except("_c._pairs", "_most")) == 0)
+        kept = same.unionByName(agreeing.select("_id", *item, F.col("_c._at").alias("_at")))
     else:
         line = line.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"), F.collect_set("_at").alias("_ats"))
-        kept = line.filter(consistent(F.col("_pairs"))).select("_id", "_item", F.explode("_ats").alias("_at"))
-    return with_total(kept.groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows")), items)
+        kept = line.filter(consistent(F.col("_pairs"))).select("_id", *item, F.explode("_ats").alias("_at"))
+    return counted(kept)
 
 
-def verbatim_matches(rows: DataFrame, items: DataFrame, block: int) -> DataFrame:
+def verbatim_matches(rows: DataFrame, items: DataFrame, block: int, least: int) -> DataFrame:
     """The same of windows of plain words."""
-    found, widths = suspects(rows, items, plain, block)
+    found, widths = suspects(rows, items, plain, block, least)
     if found is None:
         return nothing(rows)
     words = found.select("_id", F.lit(0).alias("_text"), plain(F.col("_text")).alias("_bare")).withColumn("_words", F.col("_bare"))
-    return with_total(laid(words, items, widths).groupBy("_id", "_item").agg(F.countDistinct("_at").alias("_windows")), items)
+    return counted(laid(words, items, widths))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, block: int = BLOCK, verbatim: bool = False) -> DataFrame:
@@ -214,14 +227,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     items = cut(item_windows(benchmark, item_col, item_text_col))
     enough = F.col("_windows") >= F.least(F.lit(least), F.col("_of"))
-    found = matches(rows, items, block, verbatim).filter(enough)
+    found = matches(rows, items, block, least, verbatim).filter(enough)
     if verbatim:
         exact = cut(plain_windows(benchmark, item_col, item_text_col))
-        found = found.unionByName(cut(verbatim_matches(rows, exact, block).filter(enough))).groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
+        found = found.unionByName(cut(verbatim_matches(rows, exact, block, least).filter(enough)))
+    found = found.groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
     return found.groupBy("_id").agg(F.sort_array(F.collect_set("_item")).alias("item_ids"), F.sum("_windows").alias("n_windows")).withColumnRenamed("_id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that no item contaminates."""
     bad = cut(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")))
-    return docs.join(small(bad), docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_key"))
+    return rows.join(small(bad), F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
