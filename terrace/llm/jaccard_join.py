@@ -14,14 +14,16 @@ A document's set holds its distinct shingles of five words. Two documents link w
    of them lost to collisions. The tree is traversed against itself; a pair of nodes is dropped where sizes differ by too
    much, or where the common bits and lost bits can't hold the least overlap needed. Pairs of documents that are left
    are verified on their sets, unless verified links already join them.
-   A block larger than a task should hold is dealt into parts, and each pair of parts is a task of its own.
+   A block larger than a task should hold is dealt into parts. Its parts are first joined with a few of its classes, the
+   pivots; what links to one of these is connected with all else that does. Only the rest must meet every part: a group of
+   near copies has next to no rest, so its work grows with its size and not with the square.
 4. Verified links that join components (never all pairs) are merged over the parts.
 
 Sets are compared by 64-bit hashes of their shingles, classes by 128 bits over their sets.
 
 Defined cases: fewer than five words make one shingle, the whole sequence; without words or text the set is empty and
-links with nothing; a row without an id gets the component of the rows with its set, or null where none of these has an
-id; an id stands for one text, and repeated rows get one component; an empty table gives an empty result; other columns
+links with nothing; a row without an id takes part like any other and gets the component of what it links to, or null where
+none of it has an id; an id stands for one text, and repeated rows get one component; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -48,6 +50,8 @@ HOT = 2048
 SAMPLED = 3 * (1 << 64) // 10
 #: A block is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
+#: Classes of a large block that all others are joined with first.
+PIVOTS = 16
 FAN = 8
 #: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
 KNOWN, PAIRS = 50_000, 4096
@@ -94,18 +98,18 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One pass over _id, _text: rows of documents (_id, n, k1, k2) and of sketch pieces (piece, counts)."""
-    fields = [("_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())]
+    """One pass over _id, _hash, _text: rows of documents (_id, _hash, n, k1, k2) and of sketch pieces (piece, counts)."""
+    fields = [("_id", pa.int64()), ("_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in pieces(batches):
             rows = []
-            for doc_id, text in zip(batch["_id"].to_pylist(), batch["_text"].to_pylist(), strict=True):
+            for doc_id, digest, text in zip(*(batch[c].to_pylist() for c in ("_id", "_hash", "_text")), strict=True):
                 values = shingles(text)
                 key = set_key(values)
-                rows.append((doc_id, len(values), *key, None, None))
+                rows.append((doc_id, digest, len(values), *key, None, None))
                 if key not in seen:
                     if len(seen) < 1_000_000:  # beyond, copies count again, which only changes an order
                         seen.add(key)
@@ -116,7 +120,7 @@ def described(docs: DataFrame) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"piece": piece, "counts": part.tobytes()}], schema)
 
-    return cut(docs.mapInArrow(run, "_id long, n long, k1 long, k2 long, piece int, counts binary"))
+    return cut(docs.mapInArrow(run, "_id long, _hash long, n long, k1 long, k2 long, piece int, counts binary"))
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -363,41 +367,86 @@ def block_links(members: DataFrame) -> DataFrame:
     return dealt.select("block", "p", "q", "part", "node", "_text").mapInArrow(run, "a long, b long")
 
 
+def texts_of(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The columns of placed (node, first, hash, …) but for first and hash, with _text: that of the row with the id, or of one of those without an id."""
+    kept = [c for c in placed.columns if c not in ("first", "hash")]
+    with_id = rows.select("_id", "_text").join(placed.filter("first IS NOT NULL"), F.col("_id") == F.col("first")).select(*kept, "_text")
+    without = rows.filter("_id IS NULL").select("_hash", "_text").dropDuplicates(["_hash"])
+    return with_id.unionByName(without.join(placed.filter("first IS NULL"), F.col("_hash") == F.col("hash")).select(*kept, "_text"))
+
+
+def dealt(active: DataFrame) -> DataFrame:
+    """Adds parts and part to rows of node, n, block; blocks of one class go."""
+    sizes = active.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_DOCS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
+    return active.join(sizes.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def verified_links(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """Edges (a, b) of nodes whose sets link, enough to connect all that do. active: node, first, hash, n, block."""
+    placed = cut(dealt(active))
+    task = lambda df, p, q, part: df.select("block", p.alias("p"), q.alias("q"), part.alias("part"), "node", "_text")
+    one = F.lit(0)
+    whole = block_links(task(texts_of(rows, placed.filter("parts = 1")), one, one, one))
+    large = placed.filter("parts > 1")
+    if large.isEmpty():
+        return whole
+
+    # Pivots (part -1) with each other and with every part.
+    texts = cut(texts_of(rows, large))
+    order = Window.partitionBy("block").orderBy(F.xxhash64("node"))
+    pivots = cut(large.select("block", "node", "parts").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= PIVOTS).drop("_rn"))
+    chosen = texts.join(pivots.select("block", "node"), ["block", "node"], "left_semi")
+    others = texts.join(pivots.select("block", "node"), ["block", "node"], "left_anti")
+    apart = F.lit(-1)
+    to_parts = chosen.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    stars = task(chosen, apart, apart, apart).unionByName(task(to_parts, apart, F.col("q"), apart)).unionByName(task(others, apart, F.col("part"), F.col("part")))
+    found = cut(block_links(stars))
+
+    # What no pivot links to, in parts of its own (-2 and below), with every part.
+    tied = found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
+    rest = large.join(tied, "node", "left_anti").drop("parts", "part")
+    counts = rest.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("rests"))
+    rest = cut(rest.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int")).select("block", "node", "own", "rests"))
+    if rest.isEmpty():
+        return whole.unionByName(found)
+    left = texts.join(rest, ["block", "node"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = texts.join(rest.select("block", "rests").distinct(), "block").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    below = F.lit(-2) - F.col("own")
+    again = task(left, below, F.col("q"), below).unionByName(task(right, below, F.col("part"), F.col("part")))
+    return whole.unionByName(found).unionByName(block_links(again))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    rows = rows.withColumn("_hash", F.when(F.col("_id").isNull(), F.xxhash64("_text")))
     seen = described(rows)
     counts = sketch(seen)
-    ids = seen.filter("piece IS NULL").select("_id", "n", "k1", "k2")
-    # A class without an id can't be named: it is a component of null ids.
-    classes = cut(ids.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("node")).filter("node IS NOT NULL"))
+    ids = seen.filter("piece IS NULL").select("_id", "_hash", "n", "k1", "k2")
+    # A class is numbered, as it may have no id; the table is kept, so the numbers stay.
+    classes = ids.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("first"), F.min("_hash").alias("hash"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
     blocks = components(prefix_edges(rows, counts)).withColumnRenamed("node", "k1").withColumnRenamed("component", "block")
-    active = cut(classes.join(blocks, "k1").select("node", "n", "block"))
-    sizes = active.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_DOCS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
-    placed = active.join(sizes.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    texts = rows.join(placed.select(F.col("node").alias("_id"), "block", "part", "parts"), "_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = texts.select(F.col("_id").alias("node"), "_text", "block", "part", other.alias("other"))
-    members = members.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
-
-    joined = components(block_links(members))
-    of_class = classes.join(joined, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
-    named = ids.join(of_class, ["k1", "k2", "n"], "left")
-    return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"))
+    joined = components(verified_links(rows, cut(classes.join(blocks, "k1").select("node", "first", "hash", "n", "block"))))
+    of_class = classes.join(joined, "node", "left").select("k1", "k2", "n", "first", F.coalesce("component", "node").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = ids.join(of_class.join(least, "component").select("k1", "k2", "n", "component_id"), ["k1", "k2", "n"], "left")
+    return named.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but for near copies: of each component the document with the smallest id stays, of repeated rows one. Rows without an id stay."""
     found = cut(jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("_own"), "component_id"))
     gone = found.filter("_own <> component_id").select("_own").distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_own"), "left_anti")
+    columns = lambda df: df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    kept = docs.select(F.col(id_col).alias("_key"), F.struct("*").alias("_row")).join(gone, F.col("_key") == F.col("_own"), "left_anti")
     again = cut(found.filter("_own = component_id").groupBy("_own").count().filter("count > 1").select("_own"))
     if again.isEmpty():
-        return kept
+        return columns(kept)
     # Repeated rows are equal in their id; the rest of the least row of these stays.
-    twice = kept.join(again, F.col(id_col) == F.col("_own"), "left_semi")
-    one = twice.groupBy(F.col(id_col).alias("_own")).agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-    once = kept.join(again, F.col(id_col) == F.col("_own"), "left_anti")
-    return once.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    twice = kept.join(again, F.col("_key") == F.col("_own"), "left_semi")
+    one = twice.groupBy("_key").agg(F.max_by("_row", F.xxhash64("_row")).alias("_row"))
+    once = kept.join(again, F.col("_key") == F.col("_own"), "left_anti")
+    return columns(once).unionByName(columns(one))

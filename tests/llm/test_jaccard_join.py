@@ -134,3 +134,35 @@ def test_components_of_long_chains_over_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     for part in (chain, names[300:600], names[600:800], names[800:]):
         assert {found[x] for x in part} == {min(part)}
+
+
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_large_blocks_meet_their_pivots_first(spark, monkeypatch, pivots):
+    """Blocks of near copies and of texts that only share passages, in parts of a few documents."""
+    monkeypatch.setattr(jj, "PART_DOCS", 6)
+    monkeypatch.setattr(jj, "PIVOTS", pivots)
+    rng = random.Random(21)
+    base, other = ([f"{c}{k}" for k in range(150)] for c in "xy")
+    texts = {i: " ".join(edited(rng, base, rng.randrange(6))) for i in range(70)}
+    texts |= {100 + i: " ".join(edited(rng, other, rng.choice([1, 14, 15, 30]))) for i in range(70)}
+    texts |= {200 + i: " ".join(base[i : i + 40] + other[i : i + 45]) for i in range(0, 90, 2)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+
+
+def test_rows_without_an_id_tie_others_together(spark):
+    words = [f"w{k}" for k in range(60)]
+    change = lambda at: [*words[:at], "new", *words[at + 1 :]]
+    left, middle, right = change(3), words, change(40)
+    rows = [(7, " ".join(left)), (None, " ".join(middle)), (None, " ".join(middle)), (3, " ".join(right)), (9, "far away from these"), (None, "also alone but of enough words")]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(3, 3), (7, 3), (9, 9)]
+    assert sorted((str(r.component_id) for r in got if r.doc_id is None)) == ["3", "3", "None"]
+
+
+def test_tables_with_columns_of_the_same_names(spark):
+    rows = [(1, "a b c d e f g", 5, "x"), (2, "a b c d e f g", 6, "y"), (2, "a b c d e f g", 7, "z"), (None, "q", 8, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own long, _key string")
+    kept = jj.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r._own) for r in kept.collect()) == [(0, 8), (1, 5)]
