@@ -10,9 +10,12 @@ An e-mail address, which is no number, gets a keyed hash as its local part. What
 Ranges are products of two factors, so that no value is permuted out of its format: 10**a * 10**b for digits, 65536 *
 65536 for addresses, 898 * 989901 for social security numbers, and 189 * 773 for the days of the 400 years from 1700.
 
+A candidate takes all the digits or capitals that it can. If it isn't valid so, its beginnings that end at a separator are
+tried, the longest first: a card before its expiry date, an account number before a currency. What follows is searched anew.
+
 It is a row-wise expression: nothing is shuffled or collected.
 
-Defined cases: a null text stays null with counts of 0; an empty text stays; repeated rows are treated each alike; an empty
+Defined cases: dates outside 1700 to 2099 stay in clear, as days are permuted within those years; a null text stays null with counts of 0; an empty text stays; repeated rows are treated each alike; an empty
 table gives an empty result; where the input has columns named as the counts, only the id is read beside the text.
 """
 
@@ -37,6 +40,9 @@ PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])"
 KINDS = ("email", "iban", "address", "date", "ssn", "card", "phone")
 CANDIDATE = "|".join(f"(?:{x})" for x in (EMAIL, IBAN, ADDRESS, DATE, DAY_FIRST, SSN, CARD, NORTH_AMERICAN, PHONE))
 
+#: Stands in a text, while it is worked on, where a candidate is cut off.
+CUT = "\ue000\ue004\ue000"
+
 FIRST_DAY = "1700-01-01"
 DAYS = (189, 773)
 AREAS, SERIALS = 898, 99 * 9999
@@ -140,6 +146,13 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def beginning(m: Column) -> Column:
+    """The longest beginning of a run of digits or capitals that is valid and ends at a separator, else null."""
+    ends = F.filter(F.sequence(F.lit(13), F.length(m) - 1), lambda i: F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    valid = F.filter(F.transform(ends, lambda i: F.substring(m, F.lit(1), i)), lambda x: F.coalesce(kind_of(x).isin("iban", "card"), F.lit(False)))
+    return F.when((F.length(m) > 14) & (is_a(CARD, m) | is_a(IBAN, m)), F.try_element_at(valid, F.lit(-1)))
+
+
 def new_account(key: str, m: Column) -> Column:
     """Country, letters and spaces stay; the digits are permuted and the check digits made anew."""
 
@@ -205,11 +218,20 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, text with pseudonyms, n_replaced, and n_<kind> for each kind."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)))
-    rows = rows.withColumn("_kinds", F.transform("_found", kind_of))
-    rows = rows.withColumn("_between", F.when(F.size("_found") > 0, F.split("_text", CANDIDATE, -1)))
+    found, between = (lambda t: F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))), (lambda t: F.split(t, CANDIDATE, -1))
+    rows = rows.withColumn("_found", found(F.col("_text"))).withColumn("_kinds", F.transform("_found", kind_of))
+    rows = rows.withColumn("_begin", F.zip_with("_found", "_kinds", lambda m, kind: F.when(kind.isNull(), beginning(m))))
+    # Where a beginning is valid, the text is cut behind it and searched once more.
+    cut_off = F.exists("_begin", lambda b: b.isNotNull())
+    marked = F.zip_with("_found", "_begin", lambda m, b: F.when(b.isNull(), m).otherwise(F.concat(b, F.lit(CUT), F.substring(m, F.length(b) + 1, F.length(m)))))
+    whole = lambda parts, pieces: F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(parts, F.slice(pieces, F.lit(2), F.size(parts)), lambda x, y: F.concat(x, y)), ""))
+    rows = rows.withColumn("_cut", F.when(cut_off, whole(marked, between(F.col("_text")))))
+    rows = rows.withColumn("_found", F.when(F.col("_cut").isNotNull(), found(F.col("_cut"))).otherwise(F.col("_found")))
+    rows = rows.withColumn("_kinds", F.when(F.col("_cut").isNotNull(), F.transform("_found", kind_of)).otherwise(F.col("_kinds")))
+    rows = rows.withColumn("_between", F.when(F.size("_found") > 0, between(F.coalesce("_cut", "_text"))))
     new = F.zip_with("_found", "_kinds", lambda m, kind: pseudonym(key, kind, m))
-    text = F.concat(F.element_at("_between", 1), F.array_join(F.zip_with(new, F.slice("_between", F.lit(2), F.size("_found")), lambda x, y: F.concat(x, y)), ""))
+    text = whole(new, F.col("_between"))
+    text = F.when(F.col("_cut").isNotNull(), F.replace(text, F.lit(CUT), F.lit(""))).otherwise(text)
     count = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda k: k == kind)), F.lit(0)).cast("long")
     valid = F.coalesce(F.size(F.filter("_kinds", lambda k: k.isNotNull())), F.lit(0)).cast("long")
     return rows.select(

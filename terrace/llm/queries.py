@@ -20,8 +20,8 @@ from terrace.llm.warc import archived_pages
 
 #: Ends each document of op8.
 END_ID = 2
-#: Key of op9.
-PSEUDONYM_KEY = "terrace"
+#: Where Spark's configuration holds op9's key, and the key where it holds none.
+PSEUDONYM_CONF, PSEUDONYM_KEY = "spark.terrace.pseudonym.key", "terrace"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,8 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text with pseudonyms for personal values, and their numbers by kind. A deployment sets its own key."""
-    return pseudonymised(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    """Every document's text with pseudonyms for personal values, and their numbers by kind. A deployment sets its own key in Spark's configuration."""
+    return pseudonymised(_table(spark, sf_dir, "documents"), spark.conf.get(PSEUDONYM_CONF, PSEUDONYM_KEY))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
