@@ -119,3 +119,40 @@ def test_empty_clashing_and_filter(spark):
     kept = quality.good_documents(frame, known)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in scores if r.predicted)
+
+
+def test_scores_against_a_fit_in_one_place(spark):
+    """The whole classifier once more over all rows at once: standardised statistics, features, ridge, pooled bins."""
+    docs, labels = corpus(500, seed=11)
+    found = {r.doc_id: r.score for r in quality.quality_scores(spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, LABELS), held()).collect()}
+    marks = spark.createDataFrame(docs, DOCS).select("doc_id", held().alias("held"), (F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(quality.CALIBRATES)) == 0).alias("c"))
+    mark = {r.doc_id: (r.held, r.c) for r in marks.collect()}
+    x = np.array([quality.statistics(t) for _, t in docs])
+    learn = np.array([not mark[i][0] for i, _ in docs])
+    calibrates = np.array([mark[i][1] for i, _ in docs])
+    y = np.array([q for _, q, _ in labels], float)
+    draw = np.random.default_rng(quality.SEED)
+    directions, phases = draw.normal(size=(x.shape[1], quality.FOURIER)) / np.sqrt(x.shape[1]), draw.uniform(0, 2 * np.pi, quality.FOURIER)
+    mean, scale = x[learn].mean(axis=0), np.maximum(x[learn].std(axis=0), 1e-6)
+    z = np.sqrt(2 / quality.FOURIER) * np.cos(np.clip((x - mean) / scale, -4, 4) @ directions + phases)
+    z = np.append(z, np.ones((len(z), 1)), axis=1)
+    fits = learn & ~calibrates
+    ridge = quality.RIDGE * fits.sum() / quality.FOURIER
+    stacked = np.vstack([z[fits], np.sqrt(ridge) * np.eye(z.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.append(y[fits], np.zeros(z.shape[1])), rcond=None)[0]
+    raw = np.clip(z @ weights, 0, 1)
+    bins = np.minimum(quality.BINS - 1, (raw * quality.BINS).astype(int))
+    chosen = learn & calibrates
+    # Isotonic means by the greatest of all least means that a bin's blocks allow.
+    used = sorted(set(bins[chosen]))
+    sums, counts = [y[chosen & (bins == b)].sum() for b in used], [int((chosen & (bins == b)).sum()) for b in used]
+    level = [max(min(sum(sums[i : k + 1]) / sum(counts[i : k + 1]) for k in range(j, len(used))) for i in range(j + 1)) for j in range(len(used))]
+    places, values = [], []
+    for v in sorted(set(np.round(level, 12))):
+        own = [j for j, w in enumerate(level) if abs(w - v) < 1e-9]
+        n, s = sum(counts[j] for j in own), sum(sums[j] for j in own)
+        places.append(sum(used[j] * counts[j] for j in own) / n)
+        values.append((s + y[chosen].mean()) / (n + 1))
+    table = np.interp(np.arange(quality.BINS), places, np.maximum.accumulate(values))
+    want = 0.999 * np.interp(raw, (np.arange(quality.BINS) + 0.5) / quality.BINS, table) + 0.001 * raw
+    assert np.allclose([found[i] for i, _ in docs], want, atol=1e-5)
