@@ -21,10 +21,12 @@ PIECE_ROWS = 256
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark is local one of our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='terrace-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
