@@ -31,9 +31,9 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFram
     return rows.withColumn("_digest", digest(F.col("_text")))
 
 
-def _salted(rows: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
+def _salted(rows: DataFrame, hot: DataFrame, salts: int, salt: Column) -> DataFrame:
     rows = rows.join(F.broadcast(hot), "_digest", "left")
-    return rows.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts))).otherwise(0).cast("int"))
+    return rows.withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(salts))).otherwise(0).cast("int"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, hot_share: int = HOT_SHARE, digest=sha256) -> DataFrame:
@@ -43,7 +43,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = max(1, digests.count() // hot_share)
     hot = cut(digests.groupBy("_digest").count().filter(F.col("count") > least).select("_digest", F.lit(True).alias("_hot")))
 
-    salted = _salted(full, hot, salts).groupBy("_digest", "_hot", "_salt", "_text").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))
+    # A partition's copies of a text are one row of one salt; ids play no part, as they may be null or all the same.
+    salted = _salted(full, hot, salts, F.spark_partition_id()).groupBy("_digest", "_hot", "_salt", "_text").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))
     # A salted text goes on to be compared over all salts; any other group is whole and is told apart by its id.
     rest = salted.select(
         "_digest", "_hot", "_keep", "_size",
@@ -59,7 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         winners = winners.join(clashing, "_digest", "left_anti")
     salts_of = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     by_salt = winners.select("_digest", F.explode(salts_of).alias("_salt"), "_keep", "_size")
-    out = _salted(digests, hot, salts).join(by_salt, ["_digest", "_salt"]).select("_id", "_digest", "_keep", "_size")
+    out = _salted(digests, hot, salts, F.monotonically_increasing_id()).join(by_salt, ["_digest", "_salt"]).select("_id", "_digest", "_keep", "_size")
     if clash:
         again = full.join(small(clashing), "_digest", "left_semi")
         texts = again.groupBy("_digest", "_text").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import pieces
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: A worker keeps the counts of so many different parts.
-PARTS = 400_000
+#: A worker keeps the counts of so many different parts of at most so many characters.
+PARTS, LONGEST = 400_000, 64
 
 _counters: dict = {}
 
@@ -90,7 +92,9 @@ class Counter:
         for part in parts:
             n = known.get(part)
             if n is None:
-                n = known[part] = self.count_part(part)
+                n = self.count_part(part)
+                if len(part) <= LONGEST:
+                    known[part] = n
             total += n
         return total
 
@@ -107,7 +111,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
-        for batch in batches:
+        for batch in pieces(batches):
             tokens = [count(text) if text else 0 for text in batch["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(tokens, pa.int64()), batch["_chars"]], ["_id", "n_tokens", "n_chars"])
 

@@ -122,3 +122,37 @@ def test_copies_are_found_whatever_their_case_breaks_and_place(spark):
     docs = [(1, f"and he then asked {river} once"), (2, dense.lower()), (3, QUESTION.title()), (4, QUESTION.replace(" ", "\n")), (5, "he then asked which river it was")]
     found = run(spark, docs, [(1, river), (2, dense), (3, QUESTION)], verbatim=True)
     assert {k: v[0] for k, v in found.items()} == {1: [1], 2: [2], 3: [3], 4: [3]}
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Items with names, numbers and units; copies with all of these changed alike are found, others with the pattern of one sentence are not."""
+    rng = random.Random(31)
+    plain = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "ld")]
+    names, units = ["Alice", "Robert", "Ingrid", "Pavel", "Yusuf", "Maria", "Chen", "Tomas"], ["km", "kg", "hours", "euros", "litres"]
+
+    def item():
+        who, n = rng.sample(names, 2), [rng.randrange(2, 900) for _ in range(3)]
+        words = []
+        for k in range(rng.randrange(24, 45)):
+            words.append(rng.choice(plain))
+            if k % 9 == 4:
+                words.append(rng.choice([who[0], who[1]]))
+            elif k % 9 == 8:
+                words += [str(rng.choice(n)), rng.choice(units)]
+        return "The " + " ".join(words)
+
+    def changed(text):
+        """Each value by another, the same for the same."""
+        new_names = dict(zip(names, rng.sample(["Oskar", "Lucia", "Henrik", "Amara", "Bruno", "Greta", "Felix", "Nadia"], 8), strict=True))
+        new_units = dict(zip(units, rng.sample(["miles", "grams", "days", "dollars", "pounds"], 5), strict=True))
+        numbers = {}
+        fresh = iter(rng.sample(range(1000, 9999), 60))
+        out = [numbers.setdefault(w, str(next(fresh))) if w.isdigit() else new_names.get(w, new_units.get(w, w)) for w in text.split()]
+        return " ".join(out)
+
+    items = [(i, item()) for i in range(60)]
+    copies = [(i, f"{' '.join(rng.choices(plain, k=20))} now {changed(t)} so {' '.join(rng.choices(plain, k=20))}") for i, t in items]
+    clean = [(1000 + i, item()) for i in range(60)]
+    found = run(spark, copies + clean, items, verbatim=True)
+    assert sum(found.get(i, ([], 0))[0] == [i] for i, _ in items) / len(items) >= 0.9
+    assert not [i for i, _ in clean if i in found]
