@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from terrace.functions.geo import tile
 from terrace.operators.spatial import cell, hulls
 from terrace.operators.steps import cut, small
 
+RINGS = pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
+
 
 def cell_size(polygons: DataFrame) -> float:
     """Half the mean of the polygons' larger sides, in degrees; 1 where there is none."""
@@ -124,11 +127,14 @@ def common_area(a: list, b: list) -> float:
 def overlap_ratio(left: Column, right: Column) -> Column:
     """The share of the left polygon's area that the right one covers; null where the left has none."""
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        whole = [common_area(list(x), list(x)) if x is not None else 0.0 for x in a]
-        return pd.Series([common_area(list(x), list(y)) / w if w and y is not None else (0.0 if w else None) for x, y, w in zip(a, b, whole, strict=True)], dtype=float)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            whole = common_area(x, x) if x else 0.0
+            out.append(None if not whole else common_area(x, y or []) / whole)
+        return pa.array(out, pa.float64())
 
-    return F.pandas_udf(run, "double")(left, right)
+    return F.arrow_udf(run, "double")(left, right)
 
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -238,10 +244,10 @@ def simplified(rings: Column, tolerance: float, by_area: bool = False) -> Column
             keep = np.concatenate([_by_distance(points[: k + 1], tolerance), _by_distance(points[k:], tolerance)[1:]])
         return [ring[i] for i in np.flatnonzero(keep)] if keep.sum() > 3 else None
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else [r for r in map(one, v) if r])
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else [r for r in map(one, v) if r] for v in values.to_pylist()], RINGS)
 
-    return F.pandas_udf(run, "array<array<struct<lon:double,lat:double>>>")(rings)
+    return F.arrow_udf(run, "array<array<struct<lon:double,lat:double>>>")(rings)
 
 
 def simplified_coverage(polygons: DataFrame, tolerance: float) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +27,28 @@ def closure(tree: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def paths(links: DataFrame, names: DataFrame, separator: str = " > ") -> DataFrame:
-    """node, path (names from the root down to the node), depth. names: id, name."""
-    steps = links.join(names.select(F.col("id").alias("ancestor"), "name"), "ancestor")
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
-    return steps.groupBy("node").agg(F.array_join(F.transform(ordered, lambda s: s["name"]), separator).alias("path"), F.max("distance").alias("depth"))
+def lineage(tree: DataFrame) -> DataFrame:
+    """id, chain: structs of id and name from the root down to the node, of a tree with one parent per node.
+
+    Chains double with each join, and each node is one row throughout: no node's descendants meet in one group. The joined
+    side has one row per key, so where many nodes wait for one ancestor Spark may split them.
+    """
+    start = F.array(F.struct(F.col("id").alias("id"), F.col("name").alias("name")))
+    rows = cut(tree.select("id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id")).alias("up"), start.alias("chain")))
+    for _ in range(64):
+        if rows.filter("up IS NOT NULL").isEmpty():
+            return rows.select("id", "chain")
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("chain").alias("_above"))
+        done, waiting = rows.filter("up IS NULL"), rows.filter("up IS NOT NULL")
+        # A parent that is no node is a root that isn't shown.
+        on = waiting.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.concat(F.coalesce("_above", F.slice("chain", 1, 0)), F.col("chain")).alias("chain"))
+        rows = cut(done.unionByName(on))
+    raise ValueError("the tree has a cycle")
+
+
+def paths(lines: DataFrame, separator: str = " > ") -> DataFrame:
+    """node, path (names from the root down to the node), depth, of lineage()."""
+    return lines.select(F.col("id").alias("node"), F.array_join(F.transform("chain", lambda s: s["name"]), separator).alias("path"), (F.size("chain") - 1).cast("long").alias("depth"))
 
 
 def beneath(links: DataFrame, marked: DataFrame, own: bool = True) -> DataFrame:
@@ -69,9 +84,10 @@ def nearest_ancestor(links: DataFrame, owners: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min_by(F.struct("ancestor", "owner"), F.struct("distance", "owner")).alias("r")).select("node", "r.ancestor", "r.owner")
 
 
-def rolled_up(links: DataFrame, facts: DataFrame, aggregates: list[Column]) -> DataFrame:
-    """Aggregates of facts (id, …) over each node's subtree: id, …"""
-    return links.select(F.col("ancestor").alias("_at"), F.col("node").alias("id")).join(facts, "id").groupBy(F.col("_at").alias("id")).agg(*aggregates)
+def rolled_up(lines: DataFrame, facts: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """Aggregates of facts (id, …) over each node's subtree: id, … Facts meet their node's lineage; sums are partial before they are shuffled."""
+    held = facts.join(lines, "id").withColumn("_at", F.explode(F.transform("chain", lambda s: s["id"]))).drop("id", "chain")
+    return held.groupBy(F.col("_at").alias("id")).agg(*aggregates)
 
 
 def simplified(members: DataFrame, tree: DataFrame) -> DataFrame:
@@ -136,10 +152,6 @@ def from_levels(rows: DataFrame, levels: list[str], separator: str = " > ") -> D
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def countries(tree: DataFrame) -> DataFrame:
     """country: children of roots, and roots that have none."""
     roots = tree.filter("parent_id IS NULL").select("id")
@@ -167,3 +179,19 @@ def gap_suggestions(gaps: DataFrame, tree: DataFrame, links: DataFrame, members:
     up = up.join(tree.select(F.col("id").alias("division"), F.col("parent_id").alias("parent")), "division").filter("parent IS NOT NULL")
     far = beside(up).groupBy("id").agg(F.min(F.struct("distance", "region")).alias("r")).select("id", "r.region")
     return near.select("id", F.lit("add_member").alias("action"), "region").unionByName(far.select("id", F.lit("create_region").alias("action"), "region"))
+
+
+def dismissed(tree: DataFrame, links: DataFrame, marked: DataFrame) -> DataFrame:
+    """The tree without anything beneath marked (id) nodes, which so become leaves."""
+    gone = beneath(links, marked, own=False)
+    return tree.join(gone, tree.id == gone.node, "left_anti")
+
+
+def pruned(tree: DataFrame, links: DataFrame, marked: DataFrame) -> DataFrame:
+    """Beneath marked (id) nodes only leaves stay, and hang on the nearest marked node above them."""
+    inner = tree.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+    tops = links.filter("distance > 0").join(marked.select(F.col("id").alias("ancestor")), "ancestor")
+    top = tops.groupBy("node").agg(F.min_by("ancestor", "distance").alias("_top"))
+    rows = tree.join(top, tree.id == top.node, "left").join(inner.withColumn("_inner", F.lit(True)), "id", "left").join(marked.select("id").withColumn("_marked", F.lit(True)), "id", "left")
+    stays = rows.filter(F.col("_top").isNull() | F.col("_inner").isNull() | F.col("_marked"))
+    return stays.select("id", F.coalesce("_top", "parent_id").alias("parent_id"), "name")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions import geo, polygon
+from terrace.functions import geo, polygon, vector_tiles
 from terrace.operators import areas
 from terrace.operators import hierarchy as h
+from terrace.operators.steps import small
 from terrace.plans.base import BOXES, DIRECT, EDGES, POINTS, query
 from terrace.sources.tables import LINE_ID, NATIONS, REGIONS, boxes, deep_tree, divisions, objects, parts_of_nations, places, points, table
 
@@ -27,7 +28,7 @@ def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assigned(spark: SparkSession, sf_dir: str, direct: DataFrame) -> DataFrame:
     """place, region_id: also of the regions above; a tree has one way up, so no pair repeats."""
     up = h.closure(divisions(spark, sf_dir)).select(F.col("node").alias("region_id"), "ancestor")
-    return direct.join(F.broadcast(up.join(_polygons(spark, sf_dir).select(F.col("area").alias("region_id")), "region_id", "left_semi")), "region_id").select("place", F.col("ancestor").alias("region_id"))
+    return direct.join(small(up.join(_polygons(spark, sf_dir).select(F.col("area").alias("region_id")), "region_id", "left_semi")), "region_id").select("place", F.col("ancestor").alias("region_id"))
 
 
 @query(f"WITH {DIRECT} SELECT place, region_id FROM direct")
@@ -315,7 +316,7 @@ def f5_f8_effective_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = parts_of_nations(spark, sf_dir).groupBy("region_id").agg(F.countDistinct("part").alias("parts"), *[v.alias(k) for k, v in b.items()])
     members = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").selectExpr(f"{LINE_ID} AS id", f"CAST(l_partkey % 25 + {NATIONS} AS LONG) AS region_id", "l_suppkey % 4 = 0 AS drawn")
     focus = F.when(F.col("east") - F.col("west") > 19, F.to_json(F.array("west", "south", "east", "north")))
-    return members.join(F.broadcast(forms), "region_id").select("id", "region_id", F.when(F.col("drawn"), "drawn").otherwise("stored").alias("source"), F.col("drawn").alias("is_partial"), F.when((F.col("region_id") % 2 == 0) & (F.col("parts") > 1), "hull").otherwise("real").alias("render"), focus.alias("focus"))
+    return members.join(small(forms), "region_id").select("id", "region_id", F.when(F.col("drawn"), "drawn").otherwise("stored").alias("source"), F.col("drawn").alias("is_partial"), F.when((F.col("region_id") % 2 == 0) & (F.col("parts") > 1), "hull").otherwise("real").alias("render"), focus.alias("focus"))
 
 
 @query(
@@ -401,3 +402,12 @@ def s14_simplified_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c: F.size(F.flatten(c)).cast("long")
     rings = F.col("rings")
     return rows.select("id", count(areas.simplified(rings, 0.1)).alias("by_distance"), count(areas.simplified(rings, 0.1, by_area=True)).alias("by_area"), F.size(areas.simplified(rings, 2.0)).cast("long").alias("coarse"))
+
+
+@query()
+def io17_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as vector tiles of three zooms; SQL has no encoder, a test reads the bytes back."""
+    rings = parts_of_nations(spark, sf_dir).filter("part = 0")
+    b = {k: v for k, v in polygon.box(F.col("rings")).items()}
+    placed = areas.tiles(rings.select(F.col("region_id").alias("id"), "rings", *[v.alias(k) for k, v in b.items()]), [0, 2, 4])
+    return vector_tiles.layers(vector_tiles.features(placed, F.col("rings"), F.col("id")), "regions")

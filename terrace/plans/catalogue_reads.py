@@ -265,3 +265,12 @@ def m2_flat_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = small(table(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "n_nationkey * 14 - 170.0D AS x", "n_nationkey * 7 % 120 - 48.0D AS y"))
     rows = objects(spark, sf_dir).join(n, F.col("id") % 25 == F.col("k"))
     return rows.select("id", F.round(geo.flat_metres(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")), 3).alias("metres"))
+
+
+@query("SELECT event_id AS id FROM events, (SELECT max(ts) AS now FROM events) WHERE NOT (ts < now - INTERVAL 20 DAY OR (event_type = 'error' AND ts < now - INTERVAL 5 DAY))")
+def cleanup_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clean-up leaves of tokens: those not expired for long, and revoked ones for a shorter time."""
+    events = table(spark, sf_dir, "events")
+    rows = events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now"))))
+    old = (F.col("ts") < F.col("now") - F.expr("INTERVAL 20 DAYS")) | ((F.col("event_type") == "error") & (F.col("ts") < F.col("now") - F.expr("INTERVAL 5 DAYS")))
+    return rows.filter(~old).select(F.col("event_id").alias("id"))

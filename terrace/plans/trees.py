@@ -24,14 +24,14 @@ def r1_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH + "SELECT ancestor, count(*) AS descendants, max(distance) AS height FROM closure WHERE distance > 0 GROUP BY ancestor")
 def r2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    below = h.closure(deep_tree(spark, sf_dir)).filter("distance > 0")
-    return below.groupBy("ancestor").agg(F.count("*").alias("descendants"), F.max("distance").alias("height"))
+    lines = h.lineage(deep_tree(spark, sf_dir))
+    below = lines.select(F.posexplode(F.slice(F.reverse("chain"), F.lit(2), F.size("chain"))).alias("k", "s"))
+    return below.groupBy(F.col("s.id").alias("ancestor")).agg(F.count("*").alias("descendants"), (F.max("k") + 1).cast("long").alias("height"))
 
 
 @query(WITH + "SELECT node, string_agg(name, ' > ' ORDER BY distance DESC) AS path, max(distance) AS depth FROM closure JOIN tree ON tree.id = ancestor GROUP BY node")
 def r3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = deep_tree(spark, sf_dir)
-    return h.paths(h.closure(tree), tree)
+    return h.paths(h.lineage(deep_tree(spark, sf_dir)))
 
 
 @query(
@@ -50,16 +50,17 @@ def r4_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT ancestor AS id, count(*) AS orders, sum(o_totalprice::DECIMAL(15, 2))::DOUBLE AS total FROM closure JOIN orders ON o_custkey = node GROUP BY ancestor"
 )
 def r6_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders first by customer, so that only sums meet the closure."""
+    """Orders first by customer, so that only sums meet the tree."""
     facts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(15,2)")).alias("t"))
-    return h.rolled_up(h.closure(divisions(spark, sf_dir)), facts, [F.sum("n").alias("orders"), F.sum("t").cast("double").alias("total")])
+    return h.rolled_up(h.lineage(divisions(spark, sf_dir)), facts, [F.sum("n").alias("orders"), F.sum("t").cast("double").alias("total")])
 
 
 @query(f"WITH RECURSIVE {DIVISIONS}, {CLOSURE.format(tree='divisions')} SELECT DISTINCT o_orderkey AS object_id, ancestor AS region_id FROM orders JOIN closure ON node = o_custkey")
 def r7_propagated_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An object has one place in the tree and the closure each pair once, so nothing repeats."""
+    """An object has one place in the tree and one way up, so nothing repeats."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), F.col("o_custkey").alias("node"))
-    return orders.join(h.closure(divisions(spark, sf_dir)), "node").select("object_id", F.col("ancestor").alias("region_id"))
+    lines = h.lineage(divisions(spark, sf_dir)).select(F.col("id").alias("node"), F.transform("chain", lambda s: s["id"]).alias("up"))
+    return orders.join(lines, "node").select("object_id", F.explode("up").alias("region_id"))
 
 
 @query(WITH + f"SELECT DISTINCT node FROM closure WHERE ancestor IN (SELECT id FROM tree WHERE {COVERED})")
@@ -93,8 +94,8 @@ def r10_nearest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r12_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with children, deepest first."""
     tree = deep_tree(spark, sf_dir)
-    inner = tree.select(F.col("parent_id").alias("node"))
-    return h.closure(tree).join(inner, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.max("distance").alias("depth")).orderBy(F.desc("depth"), "id")
+    inner = tree.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("id"))
+    return h.lineage(tree).join(inner, "id", "left_semi").select("id", (F.size("chain") - 1).cast("long").alias("depth")).orderBy(F.desc("depth"), "id")
 
 
 @query(
@@ -185,3 +186,32 @@ def io3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     parent = F.when(k <= 1, None).when(k % 5 == 0, F.floor(k / 5).cast("long")).otherwise(k - 1)
     return h.collapsed(table(spark, sf_dir, "customer").select(k.alias("id"), parent.alias("parent_id"), F.concat(F.lit("n"), F.floor(k / 4).cast("string")).alias("name")))
+
+
+@query(
+    WITH
+    + """, gone AS (SELECT DISTINCT node FROM closure WHERE distance > 0 AND ancestor IN (SELECT id FROM tree WHERE id % 50 = 3)), t AS (SELECT * FROM tree WHERE id NOT IN (FROM gone)),
+    marked AS (SELECT id FROM t WHERE id IN (5, 2)), inner_ AS (SELECT DISTINCT parent_id FROM t WHERE parent_id IS NOT NULL),
+    top AS (SELECT node, arg_min(ancestor, distance) AS top FROM closure WHERE distance > 0 AND ancestor IN (FROM marked) AND node NOT IN (FROM gone) GROUP BY node)
+    SELECT id, coalesce(top, parent_id) AS parent_id, name FROM t LEFT JOIN top ON node = id WHERE top IS NULL OR id NOT IN (FROM inner_) OR id IN (FROM marked)"""
+)
+def x12_tree_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some nodes lose all beneath them, others keep only leaves."""
+    tree = deep_tree(spark, sf_dir)
+    left = h.dismissed(tree, h.closure(tree), tree.filter("id % 50 = 3").select("id"))
+    return h.pruned(left, h.closure(left), left.filter("id IN (5, 2)").select("id"))
+
+
+@query(
+    WITH
+    + """, area AS (SELECT id, id % 17 + 1 AS area FROM tree), held AS (SELECT DISTINCT ancestor AS id, node FROM closure WHERE node % 4 < 2 AND distance > 0), whole AS (SELECT ancestor AS id, sum(area) AS area FROM closure JOIN area a ON a.id = node WHERE distance > 0 GROUP BY ancestor),
+    part AS (SELECT h.id, sum(area) AS area FROM held h JOIN area a ON a.id = h.node GROUP BY h.id) SELECT w.id, round(coalesce(p.area, 0) / w.area, 5) AS coverage FROM whole w LEFT JOIN part p USING (id)"""
+)
+def x4_container_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each container's area that assigned divisions beneath it have; 0 where it has children but none of these."""
+    tree = deep_tree(spark, sf_dir)
+    area, assigned = F.col("id") % 17 + 1, F.col("id") % 4 < 2
+    facts = tree.select("id", area.alias("area"), F.when(assigned, area).otherwise(0).alias("own"))
+    sums = h.rolled_up(h.lineage(tree), facts, [F.sum("area").alias("area"), F.sum("own").alias("own")])
+    below = sums.alias("s").join(facts.alias("f"), "id").select("id", (F.col("s.area") - F.col("f.area")).alias("area"), (F.col("s.own") - F.col("f.own")).alias("own"))
+    return below.filter("area > 0").select("id", F.round(F.col("own") / F.col("area"), 5).alias("coverage"))

@@ -76,6 +76,10 @@ def test_simplified_lines(spark):
     for out in (r.a, r.b):
         assert {(p.lon, round(p.lat, 1)) for p in out[0]} >= {(10.0, 5.0), (0.0, 5.0)}
         assert len(out[0]) <= 7
+    holed = spark.createDataFrame([(1, [ring(*wavy), ring((4, 2), (6, 2), (5, 3))]), (2, None), (3, [])], RINGS)
+    assert [r.n for r in holed.select(F.size(areas.simplified(F.col("rings"), 0.1)).alias("n")).collect()] == [2, None, 0]
+    both = holed.filter("area = 1")
+    assert areas.overlapping(both, both).first().ratio == pytest.approx(1)
 
 
 def test_geopackage(spark, tmp_path):
@@ -106,3 +110,61 @@ def test_json_sources(spark, tmp_path):
     tree = {"name": "World", "children": [{"name": "Asia", "children": [{"name": "X"}]}, {"name": "Asia", "children": [{"name": "Y"}, {"name": "X"}]}, {"name": "Empty", "children": []}]}
     rows = files.tree_of_names(spark.createDataFrame([(json.dumps(tree),), ("no tree",), (None,)], "value string")).collect()
     assert {("/".join(r.path), r.depth, r.has_children) for r in rows} == {("World", 1, True), ("World/Asia", 2, True), ("World/Asia/X", 3, False), ("World/Asia/Y", 3, False), ("World/Empty", 2, False)}
+
+
+def test_vector_tiles_read_back(spark):
+    from terrace.functions import vector_tiles as vt
+
+    def fields(data):
+        at = 0
+
+        def number():
+            nonlocal at
+            value = shift = 0
+            while True:
+                value |= (data[at] & 127) << shift
+                shift, at = shift + 7, at + 1
+                if data[at - 1] < 128:
+                    return value
+
+        while at < len(data):
+            key = number()
+            if key & 7:
+                size = number()
+                yield key >> 3, data[at : at + size]
+                at += size
+            else:
+                yield key >> 3, number()
+
+    def numbers_of(data):
+        value = shift = 0
+        for b in data:
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                yield value
+                value = shift = 0
+
+    rings = [ring((-90, -40), (90, -40), (90, 40), (-90, 40)), ring((-10, -10), (10, -10), (10, 10), (-10, 10))]
+    placed = spark.createDataFrame([(5, 0, 0, 0, rings), (5, 1, 0, 0, rings), (6, 6, 0, 0, rings)], "id long, z long, x long, y long, rings array<array<struct<lon:double,lat:double>>>")
+    rows = {(r.z, r.x, r.y): bytes(r.mvt) for r in vt.layers(vt.features(placed, F.col("rings"), F.col("id")), "regions").collect()}
+    assert rows.keys() == {(0, 0, 0), (1, 0, 0)}, "nothing of the form is on the third tile"
+    for data in rows.values():
+        ((number, layer),) = fields(data)
+        parts = dict(fields(layer))
+        assert (number, parts[15], parts[1], parts[5]) == (3, 2, b"regions", 4096)
+        feature = dict(fields(parts[2]))
+        geometry = list(numbers_of(feature[4]))
+        assert (feature[1], feature[3]) == (5, 3)
+        assert geometry[0] == 9 and geometry[-1] == 15
+    whole = list(numbers_of(dict(fields(dict(fields(dict(fields(rows[(0, 0, 0)]))[3]))[2]))[4]))
+    x, y, at, corners = 0, 0, 0, []
+    while at < len(whole):
+        command, count = whole[at] & 7, whole[at] >> 3
+        at += 1
+        for _ in range(count if command != 7 else 0):
+            x, y = x + ((whole[at] >> 1) ^ -(whole[at] & 1)), y + ((whole[at + 1] >> 1) ^ -(whole[at + 1] & 1))
+            corners.append((x, y))
+            at += 2
+    assert {x for x, _ in corners[:4]} == {1024, 3072} and {x for x, _ in corners[4:]} == {1934, 2162}
+    assert len(corners) == 8
