@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.geo import haversine
+from terrace.operators.steps import small
 
 METRES_PER_DEGREE = 111_195.0
 
@@ -31,13 +32,19 @@ def box_cells(boxes: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("_cy", F.explode(F.sequence(cell(F.col("south"), size), cell(F.col("north"), size)))).drop("_span")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 10.0) -> DataFrame:
-    """Each point strictly inside a box: point, box. points: id, lon, lat; boxes: id, west, south, east, north (longs or doubles)."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float | None = None) -> DataFrame:
+    """Each point strictly inside a box: point, box. points: id, lon, lat; boxes: id, west, south, east, north (longs or doubles).
+
+    Cells are half as large as the boxes are on average, if no size is given.
+    """
+    if size is None:
+        span = F.when(F.col("west") <= F.col("east"), F.col("east") - F.col("west")).otherwise(F.col("east") - F.col("west") + 360)
+        size = max(float(boxes.select(F.avg(F.greatest(span, F.col("north") - F.col("south")))).first()[0] or 2.0) / 2, 1e-6)
     at = points.select(F.col("id").alias("point"), "lon", "lat", cell(F.col("lon"), size).alias("_cx"), cell(F.col("lat"), size).alias("_cy"))
     held = box_cells(boxes.withColumnRenamed("id", "box"), size)
     inside = (F.col("lat") > F.col("south")) & (F.col("lat") < F.col("north"))
     across = F.when(F.col("west") <= F.col("east"), (F.col("lon") > F.col("west")) & (F.col("lon") < F.col("east"))).otherwise((F.col("lon") > F.col("west")) | (F.col("lon") < F.col("east")))
-    return at.join(held, ["_cx", "_cy"]).filter(inside & across).select("point", "box").distinct()
+    return at.join(small(held), ["_cx", "_cy"]).filter(inside & across).select("point", "box").distinct()
 
 
 def pairs_within(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
@@ -106,6 +113,24 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(whole, f"`{key}` {kind}, ring array<array<double>>, area double")
 
 
+def drawn_hulls(points: DataFrame, key: str, reach: float) -> DataFrame:
+    """key, ring: the convex hull of each group; around one point a square and along two a band, `reach` degrees to each side.
+
+    A group with points beyond 150 degrees on both sides of the antimeridian is drawn over it, with longitudes up to 360.
+    """
+    crosses = points.groupBy(key).agg((F.bool_or(F.col("lon") > 150) & F.bool_or(F.col("lon") < -150)).alias("_over"))
+    moved = points.join(crosses, key).withColumn("lon", F.when(F.col("_over") & (F.col("lon") < 0), F.col("lon") + 360).otherwise(F.col("lon")))
+    at = lambda k: F.get("ring", F.lit(k))
+    a, b = at(0), at(1)
+    x, y = b[1] - a[1], a[0] - b[0]
+    size = F.sqrt(x * x + y * y)
+    dx, dy = x / size * reach, y / size * reach
+    corner = lambda p, u, v: F.array(p[0] + u, p[1] + v)
+    square = F.array(*[corner(a, F.lit(u * reach), F.lit(v * reach)) for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    band = F.array(corner(a, dx, dy), corner(b, dx, dy), corner(b, -dx, -dy), corner(a, -dx, -dy))
+    return hulls(moved, key).select(key, F.when(F.size("ring") == 1, square).when(F.size("ring") == 2, band).otherwise(F.col("ring")).alias("ring"))
+
+
 def outer_edges(edges: DataFrame, key: str) -> DataFrame:
     """Borders of merged faces that share vertices: edges (key, x1, y1, x2, y2) met once stay, those of two faces cancel."""
     turned = F.struct("x1", "y1") > F.struct("x2", "y2")

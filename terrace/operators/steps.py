@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the folder that spark.checkpoint.dir names; where it is unset and Spark is local, in one of our own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and Spark is local, one of our own."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -20,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = f"file://{tempfile.mkdtemp(prefix='terrace-')}"
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     # New names for the columns: what Spark knows of the old ones can't be carried into a union.
     kept = df.checkpoint(eager=True)
     return kept.select(*[F.col(f"`{c}`").alias(c) for c in kept.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import geo, polygon, vector_tiles
@@ -411,3 +411,21 @@ def io17_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = {k: v for k, v in polygon.box(F.col("rings")).items()}
     placed = areas.tiles(rings.select(F.col("region_id").alias("id"), "rings", *[v.alias(k) for k, v in b.items()]), [0, 2, 4])
     return vector_tiles.layers(vector_tiles.features(placed, F.col("rings"), F.col("id")), "regions")
+
+
+@query(
+    f"""WITH {EDGES}, p AS (SELECT region_id, part, radians(x1) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(greatest(-85.06, least(85.06, y1))) / 2)) * 6378137.0 AS y FROM edges)
+    SELECT region_id, count(DISTINCT part) AS parts, round(min(x), 3) + 0.0 AS west, round(min(y), 3) + 0.0 AS south, round(max(x), 3) + 0.0 AS east, round(max(y), 3) + 0.0 AS north, count(*) + count(DISTINCT part * 10 + CASE WHEN part = 0 AND region_id % 2 = 0 THEN 1 ELSE 0 END)
+        + CASE WHEN region_id % 2 = 0 THEN 1 ELSE 0 END AS n_points FROM p GROUP BY region_id"""
+)
+def s15_projected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' forms in web Mercator metres, with what is derived from them: parts, box and points."""
+
+    def moved(p: Column) -> Column:
+        x, y = geo.mercator(p["lon"], p["lat"])
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+    made = parts_of_nations(spark, sf_dir).withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))
+    b = polygon.box(F.col("rings"))
+    rows = made.groupBy("region_id").agg(F.count("*").alias("parts"), F.min(b["west"]).alias("west"), F.min(b["south"]).alias("south"), F.max(b["east"]).alias("east"), F.max(b["north"]).alias("north"), F.sum(F.size(F.flatten("rings"))).alias("n_points"))
+    return rows.select("region_id", "parts", *[(F.round(c, 3) + 0.0).alias(c) for c in ("west", "south", "east", "north")], "n_points")

@@ -59,3 +59,16 @@ def t6_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws(" > ", "r_name", "n_name")
     scored = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.round(text.relevance(F.col("n_name"), path, F.lit(1), QUERY), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id")
+
+
+@query(f"WITH {NAMES} SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.id < b.id AND lower(left(a.name, 7)) = lower(left(b.name, 7))")
+def t10_same_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations that begin alike; t10_best_child is what matching does."""
+    rows = _names(spark, sf_dir).select("id", F.lower(F.substring("name", 1, 7)).alias("k"))
+    return rows.select(F.col("id").alias("a"), "k").join(rows.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, text ILIKE '%license%' AS licensed FROM documents")
+def t11_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and a word in texts; t11_region_lists and t11_markers read templates."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("numbers"), F.col("text").ilike("%license%").alias("licensed"))

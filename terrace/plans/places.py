@@ -107,3 +107,16 @@ def s13_merged_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda a, b, c, d: F.struct((F.col("x") + a).alias("x1"), (F.col("y") + b).alias("y1"), (F.col("x") + c).alias("x2"), (F.col("y") + d).alias("y2"))
     edges = faces.select("region", F.inline(F.array(side(0, 0, 1, 0), side(1, 1, 0, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))))
     return spatial.outer_edges(edges, "region")
+
+
+@query(
+    f"""WITH {POINTS}, g AS (SELECT id // 2 AS k, lon, lat FROM points WHERE id % 7 <> 0), o AS (SELECT k, bool_or(lon > 150) AND bool_or(lon < -150) AS over_ FROM g GROUP BY k),
+    m AS (SELECT k, CASE WHEN over_ AND lon < 0 THEN lon + 360 ELSE lon END AS x, lat AS y FROM g JOIN o USING (k)), n AS (SELECT k, count(*) AS n, list(x ORDER BY x, y) AS xs, list(y ORDER BY x, y) AS ys FROM m GROUP BY k),
+    d AS (SELECT *, (ys[2] - ys[1]) / sqrt(pow(ys[2] - ys[1], 2) + pow(xs[1] - xs[2], 2)) * 0.5 AS u, (xs[1] - xs[2]) / sqrt(pow(ys[2] - ys[1], 2) + pow(xs[1] - xs[2], 2)) * 0.5 AS v FROM n)
+    SELECT k, round(CASE WHEN n = 1 THEN xs[1] - 0.5 ELSE xs[1] + u END, 6) AS x, round(CASE WHEN n = 1 THEN ys[1] - 0.5 ELSE ys[1] + v END, 6) AS y, round(CASE WHEN n = 1 THEN xs[1] + 0.5 ELSE xs[2] - u END, 6) AS far_x FROM d"""
+)
+def s18_drawn_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of one or two points: the first corner of the square or band, and the longitude of the opposite one."""
+    grouped = points(spark, sf_dir).filter("id % 7 <> 0").selectExpr("id div 2 AS k", "lon", "lat")
+    ring = spatial.drawn_hulls(grouped, "k", 0.5)
+    return ring.select("k", F.round(F.get(F.get("ring", F.lit(0)), F.lit(0)), 6).alias("x"), F.round(F.get(F.get("ring", F.lit(0)), F.lit(1)), 6).alias("y"), F.round(F.get(F.get("ring", F.lit(2)), F.lit(0)), 6).alias("far_x"))

@@ -215,3 +215,53 @@ def x4_container_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = h.rolled_up(h.lineage(tree), facts, [F.sum("area").alias("area"), F.sum("own").alias("own")])
     below = sums.alias("s").join(facts.alias("f"), "id").select("id", (F.col("s.area") - F.col("f.area")).alias("area"), (F.col("s.own") - F.col("f.own")).alias("own"))
     return below.filter("area > 0").select("id", F.round(F.col("own") / F.col("area"), 5).alias("coverage"))
+
+
+STATUS = "CASE id % 9 WHEN 0 THEN 'auto_matched' WHEN 1 THEN 'children_matched' WHEN 2 THEN 'manual_matched' WHEN 3 THEN 'needs_review' WHEN 4 THEN 'no_candidates' WHEN 5 THEN 'suggested' WHEN 6 THEN 'needs_review' WHEN 7 THEN 'no_candidates' END"
+DONE = ("auto_matched", "manual_matched", "children_matched")
+
+
+@query(
+    WITH
+    + f""", leaf AS (SELECT id FROM tree WHERE id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)), s AS (SELECT id, {STATUS} AS status, id IN (FROM leaf) AS is_leaf, id % 13 = 1 AND id % 2 = 0 AS warned FROM tree),
+    covered AS (SELECT DISTINCT node AS id FROM closure WHERE distance > 0 AND ancestor % 23 = 0), open_leaf AS (SELECT id FROM s WHERE is_leaf AND status NOT IN {DONE} AND id NOT IN (FROM covered)),
+    above AS (SELECT DISTINCT ancestor AS id FROM closure WHERE node IN (FROM open_leaf))
+    SELECT count(*) FILTER (status = 'auto_matched') AS auto_matched, count(*) FILTER (status = 'children_matched') AS children_matched, count(*) FILTER (status = 'needs_review') AS needs_review,
+        count(*) FILTER (status = 'needs_review' AND id NOT IN (FROM covered)) AS needs_review_blocking, count(*) FILTER (status = 'no_candidates') AS no_candidates,
+        count(*) FILTER (status = 'no_candidates' AND id NOT IN (FROM covered) AND id IN (FROM above)) AS no_candidates_blocking, count(*) FILTER (status = 'manual_matched') AS manual_matched,
+        count(*) FILTER (status = 'suggested') AS suggested, count(*) FILTER (status IS NOT NULL) AS total_matched, count(*) FILTER (is_leaf) AS total_leaves, count(*) AS total_regions, count(*) FILTER (warned) AS hierarchy_warnings_count FROM s"""
+)
+def x1_all_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve counts. A state blocks where no ancestor has members, and for want of candidates only with an open leaf beneath."""
+    tree = deep_tree(spark, sf_dir)
+    links = h.closure(tree)
+    covered = h.beneath(links, tree.filter("id % 23 = 0"), own=False)
+    inner = tree.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+    mark = lambda rows, name: rows.select(F.col(rows.columns[0]).alias("id"), F.lit(True).alias(name))
+    rows = tree.select("id", F.expr(STATUS).alias("status"), F.expr("id % 13 = 1 AND id % 2 = 0").alias("warned"))
+    rows = rows.join(mark(inner, "inner"), "id", "left").join(mark(covered, "covered"), "id", "left").fillna(False, ["inner", "covered"])
+    open_leaves = rows.filter(~F.col("inner") & ~F.col("covered") & ~F.col("status").isin(*DONE)).select("id")
+    rows = rows.join(mark(h.above(links, open_leaves), "open_below"), "id", "left").fillna(False, ["open_below"])
+    counts = {
+        "auto_matched": "status = 'auto_matched'", "children_matched": "status = 'children_matched'", "needs_review": "status = 'needs_review'", "needs_review_blocking": "status = 'needs_review' AND NOT covered",
+        "no_candidates": "status = 'no_candidates'", "no_candidates_blocking": "status = 'no_candidates' AND NOT covered AND open_below", "manual_matched": "status = 'manual_matched'", "suggested": "status = 'suggested'",
+        "total_matched": "status IS NOT NULL", "total_leaves": "NOT inner", "total_regions": "true", "hierarchy_warnings_count": "warned",
+    }
+    return rows.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
+
+
+@query(
+    """WITH e AS (SELECT c_nationkey::BIGINT AS page, c_custkey AS id, c_custkey % 3 <> 0 AND c_nationkey % 4 <> 1 AS linked, c_custkey % 2 = 0 AND c_nationkey % 4 <> 1 AS has_items, c_custkey % 5 <> 2 OR c_nationkey % 8 = 1 AS has_page FROM customer),
+    p AS (SELECT page, bool_and(NOT linked AND NOT has_items) AND bool_or(has_page) AS promoted FROM e GROUP BY page)
+    SELECT page, count(*) FILTER (linked OR has_items OR has_page) + 1 AS nodes, count(*) FILTER (NOT (linked OR has_items OR has_page)) AS dead_ends,
+        bool_or(NOT promoted AND NOT linked AND NOT has_items AND has_page) AS ambiguous FROM e JOIN p USING (page) GROUP BY page"""
+)
+def t14_page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' lists of regions: plain names without items and page are dropped; where only plain names with pages are left they count as linked; the nodes that stay are counted."""
+    c = table(spark, sf_dir, "customer")
+    entries = c.selectExpr("CAST(c_nationkey AS LONG) AS page", "c_custkey % 3 <> 0 AND c_nationkey % 4 <> 1 AS linked", "c_custkey % 2 = 0 AND c_nationkey % 4 <> 1 AS has_items", "c_custkey % 5 <> 2 OR c_nationkey % 8 = 1 AS has_page")
+    plain = ~F.col("linked") & ~F.col("has_items")
+    sums = entries.groupBy("page").agg(
+        (F.bool_and(plain) & F.bool_or("has_page")).alias("promoted"), F.count("*").alias("n"), F.count_if(plain & ~F.col("has_page")).alias("dead_ends"), F.bool_or(plain & F.col("has_page")).alias("open"),
+    )
+    return sums.select("page", (F.col("n") - F.col("dead_ends") + 1).alias("nodes"), "dead_ends", (F.col("open") & ~F.col("promoted")).alias("ambiguous"))
