@@ -14,9 +14,7 @@ A document's set holds its distinct shingles of five words. Two documents link w
    of them lost to collisions. The tree is traversed against itself; a pair of nodes is dropped where sizes differ by too
    much, or where the common bits and lost bits can't hold the least overlap needed. Pairs of documents that are left
    are verified on their sets, unless verified links already join them.
-   A block larger than a task should hold is dealt into parts. Its parts are first joined with a few of its classes, the
-   pivots; what links to one of these is connected with all else that does. Only the rest must meet every part: a group of
-   near copies has next to no rest, so its work grows with its size and not with the square.
+   A block larger than a task should hold is dealt into parts, and each pair of parts is a task of its own.
 4. Verified links that join components (never all pairs) are merged over the parts.
 
 Sets are compared by 64-bit hashes of their shingles, classes by 128 bits over their sets.
@@ -50,8 +48,6 @@ HOT = 2048
 SAMPLED = 3 * (1 << 64) // 10
 #: A block is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
-#: Classes of a large block that all others are joined with first.
-PIVOTS = 16
 FAN = 8
 #: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
 KNOWN, PAIRS = 50_000, 4096
@@ -384,37 +380,9 @@ def dealt(active: DataFrame) -> DataFrame:
 
 def verified_links(rows: DataFrame, active: DataFrame) -> DataFrame:
     """Edges (a, b) of nodes whose sets link, enough to connect all that do. active: node, first, hash, n, block."""
-    placed = cut(dealt(active))
-    task = lambda df, p, q, part: df.select("block", p.alias("p"), q.alias("q"), part.alias("part"), "node", "_text")
-    one = F.lit(0)
-    whole = block_links(task(texts_of(rows, placed.filter("parts = 1")), one, one, one))
-    large = placed.filter("parts > 1")
-    if large.isEmpty():
-        return whole
-
-    # Pivots (part -1) with each other and with every part.
-    texts = cut(texts_of(rows, large))
-    order = Window.partitionBy("block").orderBy(F.xxhash64("node"))
-    pivots = cut(large.select("block", "node", "parts").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= PIVOTS).drop("_rn"))
-    chosen = texts.join(pivots.select("block", "node"), ["block", "node"], "left_semi")
-    others = texts.join(pivots.select("block", "node"), ["block", "node"], "left_anti")
-    apart = F.lit(-1)
-    to_parts = chosen.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    stars = task(chosen, apart, apart, apart).unionByName(task(to_parts, apart, F.col("q"), apart)).unionByName(task(others, apart, F.col("part"), F.col("part")))
-    found = cut(block_links(stars))
-
-    # What no pivot links to, in parts of its own (-2 and below), with every part.
-    tied = found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
-    rest = large.join(tied, "node", "left_anti").drop("parts", "part")
-    counts = rest.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("rests"))
-    rest = cut(rest.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int")).select("block", "node", "own", "rests"))
-    if rest.isEmpty():
-        return whole.unionByName(found)
-    left = texts.join(rest, ["block", "node"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = texts.join(rest.select("block", "rests").distinct(), "block").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
-    below = F.lit(-2) - F.col("own")
-    again = task(left, below, F.col("q"), below).unionByName(task(right, below, F.col("part"), F.col("part")))
-    return whole.unionByName(found).unionByName(block_links(again))
+    texts = texts_of(rows, dealt(active))
+    members = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return block_links(members.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).select("block", "p", "q", "part", "node", "_text"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

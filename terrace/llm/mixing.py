@@ -92,6 +92,8 @@ def planned(docs: DataFrame, size: Column, source: Column, order: list[Column],
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged(rows.select("_source", "_size", "_u")).groupBy("_source", "_range").agg(F.sum("_size").alias("_in_range"))
     ranges = ranges.select(F.col("_source").alias("_of"), F.col("_range").alias("_at"), F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_before"))
+    # About the square root of a source's documents: broadcast if counted small, so that whole rows aren't shuffled for it.
+    ranges = small(cut(ranges))
     within = Window.partitionBy("_source", "_range").orderBy("_u", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged(rows).withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     placed = placed.join(ranges, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))).drop("_of", "_at")

@@ -136,11 +136,9 @@ def test_components_of_long_chains_over_many_partitions(spark):
         assert {found[x] for x in part} == {min(part)}
 
 
-@pytest.mark.parametrize("pivots", [1, 3])
-def test_large_blocks_meet_their_pivots_first(spark, monkeypatch, pivots):
+def test_large_blocks_in_parts(spark, monkeypatch):
     """Blocks of near copies and of texts that only share passages, in parts of a few documents."""
     monkeypatch.setattr(jj, "PART_DOCS", 6)
-    monkeypatch.setattr(jj, "PIVOTS", pivots)
     rng = random.Random(21)
     base, other = ([f"{c}{k}" for k in range(150)] for c in "xy")
     texts = {i: " ".join(edited(rng, base, rng.randrange(6))) for i in range(70)}
