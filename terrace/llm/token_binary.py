@@ -133,9 +133,9 @@ def encoder(path: str, words: int | None = None) -> Encoder:
     return _encoders[path]
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about BATCH_BYTES of text."""
-    sizes = np.cumsum(pc.binary_length(batch["_text"]).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text."""
+    sizes = np.cumsum(pc.binary_length(batch["_text"]).to_numpy(zero_copy_only=False)) // size
     bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1), batch.num_rows]
     for a, b in zip(bounds, bounds[1:], strict=False):
         yield batch.slice(a, b - a)
@@ -269,7 +269,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     """Writes the shards and returns their manifest, a row each: shard, path, documents, tokens.
 
     order: of the documents, ascending ids if not given. words: how many parts of words a worker keeps at least before it
-    forgets some; if given, all are forgotten when a task ends, so that the memory is free for what runs next.
+    forgets some; if given, all are forgotten when a task ends, so that the memory is free for what runs next, and texts are
+    taken in slices of a quarter of the size.
     """
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -286,7 +287,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             with writing(path, context.taskAttemptId()) as out:
                 writer = ShardWriter(out)
                 while batch is not None:
-                    for part in slices(batch):
+                    for part in slices(batch, BATCH_BYTES if words is None else BATCH_BYTES // 4):
                         ids, counts = own.encode(part["_text"])
                         ends = np.cumsum(counts)
                         for doc_id, first, last in zip(part["_id"].to_pylist(), ends - counts, ends, strict=True):
