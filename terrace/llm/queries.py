@@ -11,15 +11,20 @@ from terrace.llm.decontamination import contaminated
 from terrace.llm.exact_dedup import exact_dedup
 from terrace.llm.jaccard_join import jaccard_components
 from terrace.llm.language import language_id
+from terrace.llm.license_scan import license_scan
 from terrace.llm.mixing import mix_plan
+from terrace.llm.periodic_runs import run_report, with_planted_runs
 from terrace.llm.pii import pseudonymised
 from terrace.llm.quality import quality_scores
+from terrace.llm.spelling import spelling_variants, word_counts
 from terrace.llm.token_binary import token_binary
 from terrace.llm.token_counts import token_counts
 from terrace.llm.warc import archived_pages
 
 #: Ends each document of op8.
 END_ID = 2
+#: op11 leaves out a code point of a run whose hash this divides.
+DELETING = 199
 #: Where Spark's configuration holds op9's key, and the key where it holds none.
 PSEUDONYM_CONF, PSEUDONYM_KEY = "spark.terrace.pseudonym.key", "terrace"
 
@@ -78,7 +83,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_language, op4_decontamination, op5_jaccard_join, op6_quality, op7_warc, op8_token_binary, op9_pii, op10_token_counts)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent near word, the root its forms lead to, and its number of near words."""
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, deleting=DELETING), ratio=5)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, of which one in ten documents has planted ones."""
+    docs = _table(spark, sf_dir, "documents")
+    return run_report(docs.select("doc_id", with_planted_runs(docs).alias("text")))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notices: base phrases word by word, and those with a few edits."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_exact_dedup, op3_language, op4_decontamination, op5_jaccard_join, op6_quality, op7_warc, op8_token_binary, op9_pii, op10_token_counts, op11_spelling, op12_periodic_runs, op13_licenses)}
 
 ORACLES = {
     "op2_exact_dedup": """
