@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import wikitext as w
 from terrace.operators.ranking import first_per
-from terrace.operators.steps import small
+from terrace.operators.steps import cut, small
 from terrace.plans.base import query
 from terrace.sources.tables import LINE_ID, table
 
@@ -26,8 +26,10 @@ def t11_region_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("body"))
     tail = F.concat(F.lit("\n}}\n* [[Beyond "), F.col("page").cast("string"), F.lit("]] — near [[not this]]\n* [[Hidden]] is described separately\n# '''[[Last|x]]''' - more [[no]]\nplain [[neither]]"))
     text = F.concat(F.lit("== Regions ==\n{{regionlist|regionmap=x.svg"), "body", tail)
-    found = pages.select("page", F.get(w.templates(text, "Regionlist"), F.lit(0)).alias("t"))
-    rows = found.select("page", F.inline(w.regions(F.col("t.body"))), F.array_join(w.bullets(F.col("t.rest")), ";").alias("extra"))
+    found = cut(pages.select("page", text.alias("text"), w.templates(text).alias("all")))
+    lists = found.select("page", "text", F.explode(w.named(F.col("all"), "Regionlist")).alias("t"))
+    rest = F.substring("text", F.col("t.after") + 1, F.length("text"))
+    rows = lists.select("page", F.inline(w.regions(F.col("t"))), F.array_join(w.bullets(rest), ";").alias("extra"))
     return rows.select("page", "n", "name", "linked", F.array_join("items", ";").alias("items"), "extra")
 
 
@@ -43,11 +45,11 @@ def t11_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("x {{marker|name=[[Some|Mark "), s, F.lit("]]"), F.when(k % 3 != 0, F.concat(F.lit("|lat="), (k % 80).cast("string"), F.lit(".5|long=7.25"))).otherwise(""), F.when(k % 5 != 0, F.concat(F.lit("|wikidata=Q"), s)).otherwise(""),
         F.lit("}} y {{marker|lat=1|long=2}} {{geo|"), F.when(k % 2 == 0, F.concat((k % 90).cast("string"), F.lit("|10.5|zoom=4"))).otherwise(F.concat(F.lit("lat="), (k % 45).cast("string"), F.lit("|long=10.5"))), F.lit("}}"),
     )
-    body = lambda name: F.transform(F.regexp_extract_all(F.col("t"), F.lit(r"(?i)\{\{" + name + r"\s*(\|[^}]+)\}\}"), F.lit(1)), lambda b: F.regexp_replace(b, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"))
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), text.alias("t"))
-    marks = rows.select("id", F.explode(body("marker")).alias("m"), F.get(body("geo"), F.lit(0)).alias("g"))
-    place = F.coalesce(w.parameter(F.col("g"), "lat"), F.regexp_extract("g", r"^\|\s*(-?[\d.]+)\s*\|", 1)).cast("double")
-    named = marks.select("id", w.parameter(F.col("m"), "name").alias("name"), w.parameter(F.col("m"), "lat").cast("double").alias("lat"), w.parameter(F.col("m"), "wikidata").alias("entity"), place.alias("geo_lat"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), w.templates(text).alias("all"))
+    marks = rows.select("id", F.explode(w.named(F.col("all"), "marker")).alias("m"), F.get(w.named(F.col("all"), "geo"), F.lit(0)).alias("g"))
+    place = F.coalesce(w.parameter(F.col("g"), "lat"), F.get(w.positional(F.col("g")), F.lit(0))).try_cast("double")
+    shown = F.regexp_replace(w.parameter(F.col("m"), "name"), r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
+    named = marks.select("id", shown.alias("name"), w.parameter(F.col("m"), "lat").try_cast("double").alias("lat"), w.parameter(F.col("m"), "wikidata").alias("entity"), place.alias("geo_lat"))
     return named.filter("name IS NOT NULL")
 
 
