@@ -62,6 +62,10 @@ def variants(name: Column) -> Column:
     return F.array_distinct(F.filter(F.array(n, F.trim(without_suffix(n))), lambda x: x != ""))
 
 
+#: The shorter of two names of which one begins the other has so many characters, and so much of the longer one.
+LEAST_PREFIX, LEAST_SHARE = 4, 0.6
+
+
 def is_prefix_match(a: Column, b: Column) -> Column:
     """One begins the other; the shorter has 4 characters and 0.6 of the longer. With as many hyphens in both, part by part."""
     first = F.length(a) <= F.length(b)
@@ -69,15 +73,41 @@ def is_prefix_match(a: Column, b: Column) -> Column:
     left, right = F.split(short, "-"), F.split(long, "-")
     pairs = F.zip_with(left, right, lambda x, y: F.startswith(x, y) | F.startswith(y, x))
     whole = F.when((F.size(left) > 1) & (F.size(left) == F.size(right)), F.forall(pairs, lambda p: F.coalesce(p, F.lit(False)))).otherwise(F.startswith(long, short))
-    return (F.length(short) >= 4) & (F.length(short) / F.length(long) >= 0.6) & whole
-
-
-def child_score(wanted: Column, name: Column) -> Column:
-    """700 for the exact name, 650 for a variant or the beginning of it, else null. wanted: variants of what is looked for."""
-    n = normalised(name)
+    return (F.length(short) >= LEAST_PREFIX) & (F.length(short) / F.length(long) >= LEAST_SHARE) & whole
+
+
+def prefixes(text: Column, least: Column) -> Column:
+    """The beginnings of a text that have at least so many characters, the whole text included."""
+    return F.when(F.length(text) >= least, F.transform(F.sequence(least, F.length(text)), lambda k: F.substring(text, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
+
+
+def prefix_keys(name: Column, asking: bool) -> Column:
+    """Keys on which two names meet, one asking and one not, wherever is_prefix_match may hold; few others share one.
+
+    A name's beginnings that are long enough meet a name that is just that. Of names with the same number of parts between
+    hyphens, the longest part of the asking one and the part in its place of the other one are such a pair, of any length.
+    """
+    long = prefixes(name, F.greatest(F.lit(LEAST_PREFIX), F.ceil(F.length(name) * LEAST_SHARE).cast("int")))
+    keyed = lambda tag, values: F.transform(values, lambda x: F.concat(tag, x))
+    roles = ("s|", "l|") if asking else ("l|", "s|")
+    # A role names which of the two is the shorter: s the asking one, l the other.
+    whole = F.concat(keyed(F.lit(roles[0]), F.array(name)), keyed(F.lit(roles[1]), long))
+    parts = F.split(name, "-")
+    at = F.sequence(F.lit(0), F.size(parts) - 1)
+    if asking:
+        longest = F.array_max(F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"))))
+        at = F.array(-longest["i"])
+    by_part = F.flatten(F.transform(at, lambda i: F.concat(
+        keyed(F.concat_ws("|", F.lit(roles[0]), F.size(parts), i, F.lit("")), F.array(F.get(parts, i))),
+        keyed(F.concat_ws("|", F.lit(roles[1]), F.size(parts), i, F.lit("")), prefixes(F.get(parts, i), F.lit(0))),
+    )))
+    return F.concat(whole, F.when(F.size(parts) > 1, by_part).otherwise(F.array().cast("array<string>")))
+
+def child_score(wanted: Column, name: Column, names: Column) -> Column:
+    """700 for the exact name, 650 for a variant or the beginning of it, else null. wanted: variants of what is looked for; name: normalised; names: its variants."""
     return (
-        F.when(F.array_contains(wanted, n), 700)
-        .when(F.arrays_overlap(wanted, variants(name)) | F.exists(wanted, lambda w: is_prefix_match(w, n)), 650)
+        F.when(F.array_contains(wanted, name), 700)
+        .when(F.arrays_overlap(wanted, names) | F.exists(wanted, lambda w: is_prefix_match(w, name)), 650)
     )
 
 

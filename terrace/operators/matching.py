@@ -13,17 +13,18 @@ EXACT = 700
 
 
 def child_pairs(nodes: DataFrame, children: DataFrame, clean: bool = True) -> DataFrame:
-    """node, child, score: names of nodes (node, anchor, name) against children (child, anchor, name, place) of the same anchor.
+    """node, child, score, place: names of nodes (node, anchor, name) against children (child, anchor, name, place) of the same anchor.
 
-    Pairs meet by a variant that both have or by the first character of a name, on which a prefix match agrees; they are
+    Names are normalised once each. Pairs meet by a variant that both have or by a beginning that one of them is, and are
     scored then. clean: a note in parentheses does not count.
     """
-    wanted = text.variants(text.without_note(F.col("name")) if clean else F.col("name"))
-    left = nodes.select("node", "anchor", wanted.alias("_wanted")).withColumn("_key", F.explode(F.array_distinct(F.concat(F.transform("_wanted", lambda w: F.concat(F.lit("="), w)), F.transform("_wanted", lambda w: F.substring(w, 1, 1))))))
-    names = text.variants(F.col("name"))
-    right = children.select("child", "anchor", "place", F.col("name").alias("_name"), names.alias("_names"))
-    right = right.withColumn("_key", F.explode(F.array_distinct(F.concat(F.transform("_names", lambda w: F.concat(F.lit("="), w)), F.array(F.substring(text.normalised(F.col("_name")), 1, 1))))))
-    scored = left.join(right, ["anchor", "_key"]).withColumn("score", text.child_score(F.col("_wanted"), F.col("_name"))).filter("score IS NOT NULL")
+    equal = lambda names: F.transform(names, lambda w: F.concat(F.lit("="), w))
+    wanted = nodes.select("node", "anchor", text.variants(text.without_note(F.col("name")) if clean else F.col("name")).alias("_wanted"))
+    asking = F.concat(equal(F.col("_wanted")), F.flatten(F.transform("_wanted", lambda w: text.prefix_keys(w, True))))
+    left = wanted.withColumn("_key", F.explode(F.array_distinct(asking)))
+    named = children.select("child", "anchor", "place", text.normalised(F.col("name")).alias("_name"), text.variants(F.col("name")).alias("_names"))
+    right = named.withColumn("_key", F.explode(F.array_distinct(F.concat(equal(F.col("_names")), text.prefix_keys(F.col("_name"), False)))))
+    scored = left.join(right, ["anchor", "_key"]).withColumn("score", text.child_score(F.col("_wanted"), F.col("_name"), F.col("_names"))).filter("score IS NOT NULL")
     return scored.groupBy("node", "child").agg(F.max("score").alias("score"), F.min("place").alias("place"))
 
 

@@ -90,3 +90,22 @@ def test_folds_against_brute_force(spark):
         while i in want:
             i = want[i]
         assert i == end
+
+
+def test_pairs_by_beginnings_against_all_pairs(spark):
+    """Every pair that the rules accept meets on a key, whatever the hyphens and empty parts."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from terrace.functions import text
+    from terrace.operators import matching
+
+    rng = random.Random(6)
+    names = ["-".join("".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", " State"]) for _ in range(120)] + ["----", "a--b", "é é é é"]
+    nodes = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(names)], "node long, anchor long, name string")
+    children = spark.createDataFrame([(i, i % 2, n, i) for i, n in enumerate(reversed(names))], "child long, anchor long, name string, place long")
+    got = {(r.node, r.child): r.score for r in matching.child_pairs(nodes, children).collect()}
+    every = nodes.select("node", "anchor", text.variants(F.col("name")).alias("w")).join(children.select("child", "anchor", text.normalised(F.col("name")).alias("n"), text.variants(F.col("name")).alias("v")), "anchor")
+    want = {(r.node, r.child): r.s for r in every.select("node", "child", text.child_score(F.col("w"), F.col("n"), F.col("v")).alias("s")).filter("s IS NOT NULL").collect()}
+    assert got == want and len(want) > 200
