@@ -5,21 +5,21 @@ be a unit; each is replaced by a typed placeholder, the rest is lower-cased, and
 eight template words of all documents are hash-joined to those of the benchmark. A document that shares a window is
 looked at again with the values in its slots: its windows are laid along an item's (the same distance between their
 places in both), and along one such line each value of the item must always stand for the same value of the document.
-So a question with other numbers or names is found, but not a text that only has a like pattern. With the option verbatim
-windows that have the item's own values count whatever the line's other windows hold, and of those others the ones count
-that agree with the commonest value for each of the item's; without it one other value discards its line. A document is
-contaminated by an item if such lines cover at least LEAST of the item's windows, or all where it has fewer.
+So a question with other numbers or names is found, but not a text that only has a like pattern. Windows that have the
+item's own values count whatever the line's other windows hold, and of those others the ones count that agree with the
+commonest value for each of the item's, so one edit does not hide a copy. A document is contaminated by an item if such
+lines cover at least LEAST of the item's windows, or all where it has fewer.
 
-Windows with fewer than LITERAL ordinary words say too little for a template and are not used. With the option verbatim,
-which the query and the pipeline set, every item is also looked for word for word: its windows of eight lower-cased words,
-numbers and names as they are, without any test of what they say. So a copy is found whatever its case, line breaks or
-place in a sentence, on which names depend. Without the option an item without template windows is not looked for. An item
-of fewer than eight words has one window, the whole item.
+Windows with fewer than LITERAL ordinary words say too little for a template and are not used. Every item is also looked
+for word for word: its windows of eight lower-cased words, numbers and names as they are, without any test of what they
+say. So a copy is found whatever its case, line breaks or place in a sentence, on which names depend. An item of fewer
+than eight words has one window, the whole item.
 
 Main path: DataFrame functions only. Windows of documents are neither shuffled nor sent anywhere: they are probed where
 they stand against a broadcast set of the benchmark's 64-bit window hashes, of all widths in one scan. Of an item's windows
-those are probed that the fewest items have, and no more than any match needs; the documents found so are looked at with
-all windows. The set is cut in blocks of a fixed size; each block is a pass of its own over the documents.
+those are probed that the fewest items have, and no more than any match needs. A document found so is laid along the items
+whose probed windows it has, and no others, so a window that many items have brings nothing together by itself. The set is
+cut in blocks of a fixed size; each block is a pass of its own over the documents.
 
 Defined cases: a null or empty text or item has no windows; rows with one id count as one document, those without an id as
 one too, with a null id; copies of an item are all named; items of one id and different texts are looked for each by itself; the private-use characters U+E001 to U+E003 separate words; an
@@ -142,31 +142,41 @@ def sharing(rows: DataFrame, hashes: DataFrame, widths: list[int], words: Callab
     return found.join(F.broadcast(hashes), "_hash", "left_semi").groupBy("_id", "_text").agg(F.count("*").alias("_n")).drop("_n")
 
 
-def suspects(rows: DataFrame, items: DataFrame, words: Callable[[Column], Column], block: int, least: int) -> tuple[DataFrame | None, list[int]]:
-    """The rows that may hold an item, and the widths of the items' windows; None if there is no window.
+def telling_windows(items: DataFrame, least: int) -> DataFrame:
+    """Of each item's windows those that any match needs one of: _item, _copy, _width, _hash.
 
     A row with `least` of an item's windows (all, where it has fewer) has one of any `_of - least + 1` of them; those are
-    looked for that the fewest items have, so that phrases common to many questions make no suspects.
+    taken that the fewest items have, so that phrases common to many questions make no suspects.
     """
-    telling = cut(items.filter(F.col("_rank") <= F.greatest(F.lit(1), F.col("_of") - least + 1)).select("_width", "_hash").distinct())
-    counts = {r["_width"]: r["n"] for r in telling.groupBy("_width").agg(F.count("*").alias("n")).collect()}
+    return cut(items.filter(F.col("_rank") <= F.greatest(F.lit(1), F.col("_of") - least + 1)).select("_item", "_copy", "_width", "_hash").distinct())
+
+
+def suspects(rows: DataFrame, telling: DataFrame, words: Callable[[Column], Column], block: int) -> tuple[DataFrame | None, list[int]]:
+    """The rows that may hold an item, and the widths of the items' windows; None if there is no window."""
+    hashes = cut(telling.select("_width", "_hash").distinct())
+    counts = {r["_width"]: r["n"] for r in hashes.groupBy("_width").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None, []
     blocks = -(-sum(counts.values()) // block)
-    passes = [sharing(rows, telling.filter(F.pmod("_hash", F.lit(blocks)) == k).select("_hash"), sorted(counts), words) for k in range(blocks)]
+    passes = [sharing(rows, hashes.filter(F.pmod("_hash", F.lit(blocks)) == k).select("_hash"), sorted(counts), words) for k in range(blocks)]
     found = reduce(DataFrame.unionByName, passes)
     return cut(found.distinct() if blocks > 1 else found), sorted(counts)
 
 
-def laid(words: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
-    """Windows of rows (_id, _text, _words, _bare) at the items' windows: _id, _text, _place, _own, and the items' columns."""
+def laid(words: DataFrame, items: DataFrame, telling: DataFrame, widths: list[int]) -> DataFrame:
+    """Windows of rows (_id, _text, _words, _bare) at the windows of those items of which they have a telling one: _id, _text, _place, _own, and the items' columns."""
+    numbered = cut(words.withColumn("_row", F.monotonically_increasing_id()))
     lines = []
     for width in widths:
-        own = windows(words, "_bare", width)
-        own = own.select("_id", "_text", "_place", "_hash", *[F.slice(x, F.col("_place") + 1, F.lit(width)).alias(y) for x, y in (("_words", "_own"), ("_bare", "_own_bare"))])
-        lines.append(own.join(small(items.filter(F.col("_width") == width)), "_hash"))
+        of_width = lambda df, w=width: df.filter(F.col("_width") == w)
+        own = windows(numbered, "_bare", width).select("_row", "_place", "_hash")
+        own = cut(own.join(small(of_width(items).select("_hash").distinct()), "_hash", "left_semi"))
+        pairs = own.join(small(of_width(telling)), "_hash").select("_row", F.col("_item").alias("_i"), F.col("_copy").alias("_c")).distinct()
+        wanted = pairs.join(small(of_width(items)), F.col("_i").eqNullSafe(F.col("_item")) & (F.col("_c") == F.col("_copy"))).drop("_i", "_c")
+        met = own.join(wanted, ["_row", "_hash"]).withColumnRenamed("_bare", "_item_bare").join(numbered, "_row")
+        lines.append(met.select("*", *[F.slice(x, F.col("_place") + 1, F.lit(width)).alias(y) for x, y in (("_words", "_own"), ("_bare", "_own_bare"))]).drop("_row", "_words", "_bare"))
     # Hashes agree; the words themselves must too. An equation would become a key of the join, and its table a large one.
-    return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare").between(F.col("_bare"), F.col("_bare")))
+    return reduce(DataFrame.unionByName, lines).filter(F.col("_own_bare").between(F.col("_item_bare"), F.col("_item_bare")))
 
 
 def nothing(rows: DataFrame) -> DataFrame:
@@ -186,51 +196,47 @@ def most_of(slots: Column) -> Column:
     return F.transform(best, lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is")))
 
 
-def matches(rows: DataFrame, items: DataFrame, block: int, least: int, verbatim: bool) -> DataFrame:
-    """_id, _item, _windows (of the item, found along consistent lines or, if verbatim, as they are), _of (the item's windows)."""
-    found, widths = suspects(rows, items, template, block, least)
+def matches(rows: DataFrame, items: DataFrame, block: int, least: int) -> DataFrame:
+    """_id, _item, _windows (of the item, found along consistent lines or as they are), _of (the item's windows)."""
+    telling = telling_windows(items, least)
+    found, widths = suspects(rows, telling, template, block)
     if found is None:
         return nothing(rows)
     words = found.select("_id", F.xxhash64("_text").alias("_text"), valued(F.col("_text")).alias("_words")).withColumn("_bare", F.transform("_words", bare))
     pairs = F.filter(F.arrays_zip(F.col("_values").alias("of"), F.col("_own").alias("is")), lambda p: F.substring(p["of"], 1, 1).isin(NUMBER, NAME, UNIT))
     item = "_item", "_copy", "_of"
-    line = laid(words, items, widths).select("_id", "_text", *item, (F.col("_place") - F.col("_at")).alias("_shift"), "_at", (F.col("_own") == F.col("_values")).alias("_same"), pairs.alias("_pairs"))
+    line = laid(words, items, telling, widths).select("_id", "_text", *item, (F.col("_place") - F.col("_at")).alias("_shift"), "_at", (F.col("_own") == F.col("_values")).alias("_same"), pairs.alias("_pairs"))
     # Along a line each slot value of the item has one value of the document. A line is at most as long as its item.
     consistent = lambda slots: F.size(F.array_distinct(F.transform(slots, lambda p: p["of"]))) == F.size(slots)
     keys = "_id", "_text", *item, "_shift"
-    if verbatim:
-        line = cut(line)
-        # Windows with the item's own values count by themselves; of the others those that have the line's commonest values.
-        same = line.filter("_same").select("_id", *item, "_at")
-        changed = line.filter("NOT _same").groupBy(*keys).agg(F.collect_list(F.struct("_at", "_pairs")).alias("_changed"))
-        changed = changed.withColumn("_slots", F.flatten(F.transform("_changed", lambda c: c["_pairs"])))
-        changed = changed.withColumn("_most", F.when(consistent(F.array_distinct("_slots")), F.array_distinct("_slots")).otherwise(most_of(F.col("_slots"))))
-        agreeing = changed.select("_id", *item, "_most", F.explode("_changed").alias("_c")).filter(F.size(F.array_except("_c._pairs", "_most")) == 0)
-        kept = same.unionByName(agreeing.select("_id", *item, F.col("_c._at").alias("_at")))
-    else:
-        line = line.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"), F.collect_set("_at").alias("_ats"))
-        kept = line.filter(consistent(F.col("_pairs"))).select("_id", *item, F.explode("_ats").alias("_at"))
+    line = cut(line)
+    # Windows with the item's own values count by themselves; of the others those that have the line's commonest values.
+    same = line.filter("_same").select("_id", *item, "_at")
+    changed = line.filter("NOT _same").groupBy(*keys).agg(F.collect_list(F.struct("_at", "_pairs")).alias("_changed"))
+    changed = changed.withColumn("_slots", F.flatten(F.transform("_changed", lambda c: c["_pairs"])))
+    changed = changed.withColumn("_most", F.when(consistent(F.array_distinct("_slots")), F.array_distinct("_slots")).otherwise(most_of(F.col("_slots"))))
+    agreeing = changed.select("_id", *item, "_most", F.explode("_changed").alias("_c")).filter(F.size(F.array_except("_c._pairs", "_most")) == 0)
+    kept = same.unionByName(agreeing.select("_id", *item, F.col("_c._at").alias("_at")))
     return counted(kept)
 
 
 def verbatim_matches(rows: DataFrame, items: DataFrame, block: int, least: int) -> DataFrame:
     """The same of windows of plain words."""
-    found, widths = suspects(rows, items, plain, block, least)
+    telling = telling_windows(items, least)
+    found, widths = suspects(rows, telling, plain, block)
     if found is None:
         return nothing(rows)
     words = found.select("_id", F.lit(0).alias("_text"), plain(F.col("_text")).alias("_bare")).withColumn("_words", F.col("_bare"))
-    return counted(laid(words, items, widths))
+    return counted(laid(words, items, telling, widths))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, block: int = BLOCK, verbatim: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per contaminated document: id, item_ids (sorted), n_windows (of all these items)."""
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     items = cut(item_windows(benchmark, item_col, item_text_col))
     enough = F.col("_windows") >= F.least(F.lit(least), F.col("_of"))
-    found = matches(rows, items, block, least, verbatim).filter(enough)
-    if verbatim:
-        exact = cut(plain_windows(benchmark, item_col, item_text_col))
-        found = found.unionByName(cut(verbatim_matches(rows, exact, block, least).filter(enough)))
+    exact = cut(plain_windows(benchmark, item_col, item_text_col))
+    found = matches(rows, items, block, least).filter(enough).unionByName(cut(verbatim_matches(rows, exact, block, least).filter(enough)))
     found = found.groupBy("_id", "_item").agg(F.max("_windows").alias("_windows"))
     return found.groupBy("_id").agg(F.sort_array(F.collect_set("_item")).alias("item_ids"), F.sum("_windows").alias("n_windows")).withColumnRenamed("_id", id_col)
 

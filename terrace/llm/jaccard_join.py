@@ -51,6 +51,8 @@ PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
 #: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
 KNOWN, PAIRS = 50_000, 4096
+#: Sets that a task knows it has seen, as numbers; beyond, copies are counted and sent once more, which changes an order and nothing else.
+SEEN = 250_000
 
 #: Odd multipliers, one for each word of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -106,9 +108,9 @@ def described(docs: DataFrame) -> DataFrame:
                 values = shingles(text)
                 key = set_key(values)
                 rows.append((doc_id, digest, len(values), *key, None, None))
-                if key not in seen:
-                    if len(seen) < 1_000_000:  # beyond, copies count again, which only changes an order
-                        seen.add(key)
+                if key[1] not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(key[1])
                     np.add.at(counts, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
@@ -157,7 +159,7 @@ def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 n, key = len(values), set_key(values)
                 if not n or key in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(key)
                 prefix, sampled = n - -(-NEED * n // 100) + 1, int(np.searchsorted(values, np.uint64(SAMPLED)))
                 sent = values[: max(prefix, sampled)]

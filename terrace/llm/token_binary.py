@@ -17,6 +17,7 @@ their own, in the order of their text; an empty table gives no shard and an empt
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -57,13 +58,17 @@ class Encoder:
 
     Its pre-tokenizer starts a token at a space, and at and after a newline, that stands between two characters which
     are no white space. So a text is cut there, the different pieces of a batch are cut into word and signs, and each
-    part that isn't known yet is encoded by the library.
+    part that isn't known yet is encoded by the library. A file whose pre-tokenizer is another, or that normalises or adds
+    to a text, has its texts encoded whole.
     """
 
     def __init__(self, path: str, words: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), WORDS if words is None else words
+        made = json.loads(self.tokenizer.to_str())
+        first = made.get("pre_tokenizer") or {}
+        self.parts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not made.get("normalizer")
         self.forget()
 
     def forget(self) -> None:
@@ -88,7 +93,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's."""
-        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        uneven = pc.match_substring_regex(texts, _UNEVEN) if self.parts else pa.array([True] * len(texts), pa.bool_())
         whole = {i: ids for i, ids in zip(np.flatnonzero(uneven.to_numpy(zero_copy_only=False)), self._whole(texts.filter(uneven)), strict=True)}
         even = pc.if_else(uneven, "", texts)
         # The first piece bears a carriage return, those at a newline the newline; others lack their space.

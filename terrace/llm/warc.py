@@ -27,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import cut, shared_folder, text_of
+from terrace.llm.common import cut, pieces, shared_folder, text_of
 from terrace.llm.files import reading, writing
 
+#: A payload that more than this part of the pages have is hot.
+HOT_SHARE = 1000
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
@@ -140,9 +142,13 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """_id, _payload, _first: the smallest id with an equal payload. pages: _id, _payload."""
     shape = [F.sha2(F.col("_payload").cast("binary"), 256).alias("_sha"), F.octet_length("_payload").alias("_bytes")]
     ids = cut(pages.select("_id", *shape))
-    groups = ids.filter(F.col("_bytes") >= least_bytes).groupBy("_sha", "_bytes").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    # Hot digests stay in place where their group table is broadcast or the join is split; pages meet their type by id.
-    repeated = cut(ids.join(groups, ["_sha", "_bytes"]).select("_id", "_first", "_sha").distinct())
+    groups = ids.filter(F.col("_bytes") >= least_bytes).groupBy("_sha", "_bytes").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    # A payload with more than a thousandth of the pages is hot: there are fewer than a thousand such, which are broadcast.
+    groups, least = cut(groups), max(1, ids.count() // HOT_SHARE)
+    hot, keys = F.broadcast(groups.filter(F.col("_n") > least)), ["_sha", "_bytes"]
+    met = ids.join(hot, keys).unionByName(ids.join(hot, keys, "left_anti").join(groups.filter(F.col("_n") <= least), keys))
+    # Pages meet their type by id.
+    repeated = cut(met.select("_id", "_first", "_sha").distinct())
     mine = pages.withColumn("_sha", shape[0])
     return mine.join(repeated.withColumnRenamed("_id", "_of").withColumnRenamed("_sha", "_of_sha"), (F.col("_id").eqNullSafe(F.col("_of"))) & (F.col("_sha") == F.col("_of_sha")), "left").drop("_of", "_of_sha", "_sha")
 
@@ -154,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, uri_col: str, pay
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():06d}.warc.zst"
-        batches = (b for b in batches if b.num_rows)
+        batches = (b for b in pieces(batches) if b.num_rows)
         batch, records = next(batches, None), 0
         if batch is None:
             return

@@ -23,8 +23,8 @@ def test_verbatim_reparameterised_and_inconsistent(spark):
         (5, "Nothing of that kind is here, only pears and baskets sold for some euros by a farmer"), (6, None), (7, ""),
     ]
     found = run(spark, docs, [(10, QUESTION)])
-    assert found.keys() == {1, 3} or found.keys() == {1, 2, 3}
-    assert found[1][0] == found[3][0] == [10]
+    assert found.keys() == {1, 2, 3, 4}
+    assert found[1][0] == found[2][0] == found[3][0] == [10]
 
 
 def test_upper_case_text_without_names(spark):
@@ -42,7 +42,7 @@ def brute(docs, items, least):
             q = words(question)
             n = min(8, len(q))
             own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
-            hits = sum(tuple(q[k : k + n]) in own for k in range(len(q) - n + 1)) if n >= 4 else 0
+            hits = sum(tuple(q[k : k + n]) in own for k in range(len(q) - n + 1)) if n else 0
             if hits and hits >= min(least, len(q) - n + 1):
                 ids, total = out.get(d, ([], 0))
                 out[d] = (sorted([*ids, i]), total + hits)
@@ -73,7 +73,16 @@ def test_against_brute_force(spark, seed, block):
 def test_two_variants_in_one_document_are_each_consistent(spark):
     a = "the machine makes 4 small wheels in 9 minutes and then 4 more wheels before it must rest"
     text = a.replace("4", "6").replace("9", "20") + ". Then " + a.replace("4", "5").replace("9", "11")
-    assert run(spark, [(1, text), (2, a.replace("4", "6", 1))], [(3, a)]).keys() == {1}
+    assert run(spark, [(1, text), (2, a.replace("4", "6", 1))], [(3, a)]).keys() == {1, 2}
+
+
+def test_a_window_of_many_items_brings_nothing_together(spark):
+    """Items that begin alike, in documents that begin so too: only those are named whose own words are there."""
+    head = "read the following short passage with care and then answer question below "
+    own = lambda i: " ".join(f"{a}{i}x{b}" for a in "bcdfg" for b in "aeiou")
+    items = [(i, head + own(i)) for i in range(40)]
+    docs = [(d, head + (own(d) if d % 3 == 0 else f"about quite another matter {d}")) for d in range(60)]
+    assert {k: v[0] for k, v in run(spark, docs, items).items()} == {d: [d] for d in range(0, 40, 3)}
 
 
 def test_nulls_repeats_empties_and_clashes(spark):
@@ -103,7 +112,7 @@ def test_templates_and_values_agree(spark):
 def test_items_without_a_template_window_are_found_verbatim(spark):
     items = [(1, "Compute 12 + 35 * 7 = ?"), (2, "3 kg, 4 kg, 5 kg, 6 kg and 7 kg"), (3, "quick zebras"), (4, "? ?")]
     docs = [(1, "Now compute 12 + 35 * 7 = ? at once"), (2, "Now compute 12 + 36 * 7 = ?"), (3, "it weighed 3 kg, 4 kg, 5 kg, 6 kg and 7 kg."), (4, "so Quick\nzebras ran"), (5, "quick brown zebras?")]
-    assert run(spark, docs, items, verbatim=True) == {1: ([1], 1), 3: ([2], 4), 4: ([3], 1)}
+    assert run(spark, docs, items) == {1: ([1], 1), 3: ([2], 4), 4: ([3], 1)}
 
 
 def test_one_edit_does_not_hide_a_copy(spark):
@@ -111,16 +120,16 @@ def test_one_edit_does_not_hide_a_copy(spark):
     long = " ".join(f"on day number the machine made 4 {x} wheels and they were sold" for x in ("small", "large", "round", "heavy"))
     other = long.replace("4", "5").replace("5 round", "6 round")
     docs = [(1, a.replace("4", "6", 1)), (2, other), (3, "so it was that " + QUESTION.replace("12", "7", 1).replace("Alice", "Zoe", 1))]
-    found = run(spark, docs, [(3, a), (4, long), (5, QUESTION)], verbatim=True)
+    found = run(spark, docs, [(3, a), (4, long), (5, QUESTION)])
     assert {k: v[0] for k, v in found.items()} == {1: [3], 2: [4], 3: [5]}
-    assert run(spark, [(1, "one 3 of the 4 or 5 of my 6 is")], [(2, "one 1 of the 1 or 1 of my 1 is")], verbatim=True) == {}
+    assert run(spark, [(1, "one 3 of the 4 or 5 of my 6 is")], [(2, "one 1 of the 1 or 1 of my 1 is")]) == {}
 
 
 def test_copies_are_found_whatever_their_case_breaks_and_place(spark):
     river = "Which river flows through the old capital of the northern kingdom"
     dense = "Anna Bell met Carl Dahl near Old York while Emma Ford drove Gus Hart from Lake Irving to Port James with Kate Lund"
     docs = [(1, f"and he then asked {river} once"), (2, dense.lower()), (3, QUESTION.title()), (4, QUESTION.replace(" ", "\n")), (5, "he then asked which river it was")]
-    found = run(spark, docs, [(1, river), (2, dense), (3, QUESTION)], verbatim=True)
+    found = run(spark, docs, [(1, river), (2, dense), (3, QUESTION)])
     assert {k: v[0] for k, v in found.items()} == {1: [1], 2: [2], 3: [3], 4: [3]}
 
 
@@ -153,6 +162,6 @@ def test_recall_of_reparameterised_items(spark):
     items = [(i, item()) for i in range(60)]
     copies = [(i, f"{' '.join(rng.choices(plain, k=20))} now {changed(t)} so {' '.join(rng.choices(plain, k=20))}") for i, t in items]
     clean = [(1000 + i, item()) for i in range(60)]
-    found = run(spark, copies + clean, items, verbatim=True)
+    found = run(spark, copies + clean, items)
     assert sum(found.get(i, ([], 0))[0] == [i] for i, _ in items) / len(items) >= 0.9
     assert not [i for i, _ in clean if i in found]

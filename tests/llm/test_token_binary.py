@@ -72,3 +72,14 @@ def test_files_of_the_table_against_plain_encoding(spark, tmp_path):
         at += len(ids)
     assert got == want
     assert tb.token_binary(docs.filter("doc_id < 0"), PATH, 2).collect() == []
+
+
+def test_a_file_with_other_rules_is_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Some  Words, and signs!", "", "it's\nMORE", "naïve\ttext 12"]
+    encoder = tb.Encoder(path)
+    ids, counts = encoder.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.parts and counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert tb.Encoder(public_tokenizers.path("byte_bpe_50k.json")).parts
