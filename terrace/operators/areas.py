@@ -1,8 +1,9 @@
 """Joins of points and polygons, overlaps of areas, and tiles.
 
-Polygons are rows of an id and rings (terrace.functions.polygon). A polygon stands in each grid cell that its box touches
-with the edges that matter there: those in the cell's band of latitudes, at or east of it. So what a point is tested
-against does not grow with the polygon, and cells are as large as the polygons are on average.
+Polygons are rows of an id and rings (terrace.functions.polygon). Each stands in grid cells of its own size, a power of two
+above its larger side, so that it is in a few cells whatever the others' sizes; one with many edges is in finer cells, a few
+hundred at most. A cell has the edges that matter there: those in its band of latitudes, at or east of it. Points look into
+their cell at every level that there is.
 """
 
 from __future__ import annotations
@@ -15,62 +16,119 @@ from pyspark.sql import functions as F
 
 from terrace.functions import polygon
 from terrace.functions.geo import tile
-from terrace.operators.spatial import cell, hulls
+from terrace.operators.spatial import cell, hulls, segment_cells
 from terrace.operators.steps import cut, small
 
 RINGS = pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
 
 
-def cell_size(polygons: DataFrame) -> float:
-    """Half the mean of the polygons' larger sides, in degrees; 1 where there is none."""
-    b = polygon.box(F.col("rings"))
-    mean = polygons.select(F.avg(F.greatest(b["east"] - b["west"], b["north"] - b["south"]))).first()[0]
-    return max((mean or 2.0) / 2, 1e-6)
+#: A polygon is split into finer cells until one has about so many edges, at most so many times in half.
+CELL_EDGES, SPLITS = 64, 4
 
 
-def in_cells(polygons: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
-    """area, _cx, _cy, west to north, _sides: a row for each cell within reach of a polygon's box. polygons: area, rings."""
+def leveled(polygons: DataFrame, least: float = 1e-6, split: bool = True) -> DataFrame:
+    """Adds west to north, and _level: cells of the polygon are 2**_level degrees wide, no less than `least` where it isn't split."""
     b = polygon.box(F.col("rings"))
-    rows = polygons.select("area", polygon.edges(F.col("rings")).alias("_all"), *[c.alias(n) for n, c in b.items()])
-    rows = rows.withColumn("_cx", F.explode(F.sequence(cell(F.col("west") - reach, size), cell(F.col("east") + reach, size))))
-    rows = rows.withColumn("_cy", F.explode(F.sequence(cell(F.col("south") - reach, size), cell(F.col("north") + reach, size))))
-    low, high, left = (F.col("_cy")) * size - reach, (F.col("_cy") + 1) * size + reach, F.col("_cx") * size - reach
+    rows = polygons.withColumns(b).filter("west IS NOT NULL")
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(least))
+    finer = F.greatest(F.lit(0), F.least(F.lit(SPLITS), F.ceil(F.log2(F.size(F.flatten("rings")) / F.lit(float(CELL_EDGES))) / 2))) if split else F.lit(0)
+    return rows.withColumn("_level", (F.ceil(F.log2(side)) - finer).cast("int"))
+
+
+def levels_of(rows: DataFrame) -> list[int]:
+    """The levels that there are, a few dozen at most as they are powers of two between a metre and the world."""
+    return sorted(r[0] for r in rows.select("_level").distinct().collect())
+
+
+def width_of(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level)
+
+
+def box_cells(rows: DataFrame) -> DataFrame:
+    """A row (_cx, _cy) for each cell of its level that a box touches."""
+    size = width_of(F.col("_level"))
+    rows = rows.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("west") / size), F.floor(F.col("east") / size))))
+    return rows.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("south") / size), F.floor(F.col("north") / size))))
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """area, _level, _cx, _cy, west to north, _sides (the edges for rays to the east). rows: area, rings and what leveled() adds."""
+    size = width_of(F.col("_level"))
+    held = box_cells(rows.select("area", polygon.edges(F.col("rings")).alias("_all"), "west", "south", "east", "north", "_level"))
+    low, high, left = F.col("_cy") * size, (F.col("_cy") + 1) * size, F.col("_cx") * size
     near = lambda e: (F.least(e["a"]["lat"], e["b"]["lat"]) <= high) & (F.greatest(e["a"]["lat"], e["b"]["lat"]) >= low) & (F.greatest(e["a"]["lon"], e["b"]["lon"]) >= left)
-    return rows.withColumn("_sides", F.filter("_all", near)).drop("_all")
+    return held.withColumn("_sides", F.filter("_all", near)).drop("_all")
+
+
+def at_levels(points: DataFrame, levels: list[int]) -> DataFrame:
+    """A row (_level, _cx, _cy) for the cell that a point is in at each level."""
+    rows = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    size = width_of(F.col("_level"))
+    return rows.withColumn("_cx", F.floor(F.col("lon") / size)).withColumn("_cy", F.floor(F.col("lat") / size))
 
 
 def points_in_areas(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """place, area: each pair of a point strictly inside a polygon, once. points: place, lon, lat; polygons: area, rings, several rows of an area allowed."""
-    size = cell_size(polygons)
-    at = points.select("place", "lon", "lat", cell(F.col("lon"), size).alias("_cx"), cell(F.col("lat"), size).alias("_cy"))
-    held = at.join(small(in_cells(polygons, size)), ["_cx", "_cy"]).filter("lon > west AND lon < east AND lat > south AND lat < north")
+    rows = cut(leveled(polygons.select("area", "rings")))
+    at = at_levels(points.select("place", "lon", "lat"), levels_of(rows))
+    held = at.join(small(in_cells(rows)), ["_level", "_cx", "_cy"]).filter("lon > west AND lon < east AND lat > south AND lat < north")
     return held.filter(polygon.inside(F.col("_sides"), F.col("lon"), F.col("lat"))).select("place", "area").distinct()
 
 
+def edges_in_cells(rows: DataFrame) -> DataFrame:
+    """area, _level, _cx, _cy, e: a row for each cell that an edge passes through at its polygon's level."""
+    sides = rows.select("area", "_level", F.explode(polygon.edges(F.col("rings"))).alias("e"))
+    flat = sides.select("*", *[F.col(f"e.{p}.{k}").alias(f"{n}{i}") for i, p in ((1, "a"), (2, "b")) for n, k in (("x", "lon"), ("y", "lat"))], width_of(F.col("_level")).alias("_size"))
+    return segment_cells(flat, 1e-9).select("area", "_level", "_cx", "_cy", "e")
+
+
+def near_borders(points: DataFrame, polygons: DataFrame, metres: float) -> DataFrame:
+    """place, area, metres: every polygon whose border is within so many metres of a point, with the distance; over the antimeridian too."""
+    reach = metres / 110_000.0
+    rows = cut(leveled(polygons.select("area", "rings"), least=reach, split=False))
+    # A degree of longitude shrinks to the poles, where the reach is the whole circle.
+    wide = F.when(F.abs(F.col("lat")) > 89.0, 180.0).otherwise(F.least(F.lit(180.0), F.lit(reach) / F.cos(F.radians("lat"))))
+    turned = F.filter(F.array(F.col("lon"), F.col("lon") - 360, F.col("lon") + 360), lambda x: x.between(F.lit(-180.0) - wide, F.lit(180.0) + wide))
+    at = points.select("place", "lat", wide.alias("_wide"), F.explode(turned).alias("lon"))
+    at = at.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels_of(rows)]).cast("array<int>")))
+    size, span = width_of(F.col("_level")), lambda low, high, size: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    at = at.withColumn("_cx", span(F.col("lon") - F.col("_wide"), F.col("lon") + F.col("_wide"), size)).withColumn("_cy", span(F.col("lat") - reach, F.col("lat") + reach, size))
+    met = at.join(small(edges_in_cells(rows)), ["_level", "_cx", "_cy"]).withColumn("metres", polygon.segment_metres(F.col("lon"), F.col("lat"), F.col("e")))
+    return met.filter(F.col("metres") <= metres).groupBy("place", "area").agg(F.min("metres").alias("metres"))
+
+
 def containing_or_nearest(points: DataFrame, polygons: DataFrame, metres: float) -> DataFrame:
     """place, area: the polygon that holds the point (the least id of several), else the nearest within so many metres."""
     inside = points_in_areas(points, polygons).groupBy("place").agg(F.min("area").alias("area"))
     rest = points.join(inside, "place", "left_anti")
-    # A degree of longitude shrinks to the poles; 89 degrees is where the reach is the whole circle anyway.
-    reach = metres / 110_000.0
-    size = max(cell_size(polygons), reach)
-    wide = lambda lat: F.least(F.lit(180.0), F.lit(reach) / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat)))))
-    columns = F.sequence(cell(F.col("lon") - wide(F.col("lat")), size), cell(F.col("lon") + wide(F.col("lat")), size))
-    at = rest.select("place", "lon", "lat", F.explode(columns).alias("_cx"), cell(F.col("lat"), size).alias("_cy"))
-    near = at.join(small(in_cells(polygons, size, reach).drop("west", "south", "east", "north", "_sides")), ["_cx", "_cy"]).select("place", "lon", "lat", "area").distinct()
-    sides = polygons.groupBy("area").agg(F.flatten(F.collect_list(polygon.edges(F.col("rings")))).alias("_sides"))
-    far = near.join(sides, "area").withColumn("metres", polygon.border_metres(F.col("_sides"), F.col("lon"), F.col("lat"))).filter(F.col("metres") <= metres)
-    nearest = far.groupBy("place").agg(F.min_by("area", F.struct("metres", "area")).alias("area"))
+    nearest = near_borders(rest, polygons, metres).groupBy("place").agg(F.min_by("area", F.struct("metres", "area")).alias("area"))
     return inside.unionByName(nearest)
 
 
+def nearest_borders(points: DataFrame, polygons: DataFrame, reach: float = 50_000.0) -> DataFrame:
+    """place, area, metres: the polygon whose border is nearest to each point, however far (0 inside); the least id of equals.
+
+    A reach that grows fourfold is searched; points that found a border leave. All border points within the reach were looked
+    at, so the best of them is the nearest of all.
+    """
+    inside = points_in_areas(points, polygons).groupBy("place").agg(F.min("area").alias("area")).withColumn("metres", F.lit(0.0))
+    done, rest = cut(inside), points.select("place", "lon", "lat")
+    rest = cut(rest.join(done, "place", "left_anti"))
+    while reach < 80_000_000 and not rest.isEmpty():
+        near = near_borders(rest, polygons, min(reach, 30_000_000.0))
+        found = cut(near.groupBy("place").agg(F.min(F.struct("metres", "area")).alias("r")).select("place", "r.area", "r.metres"))
+        done = done.unionByName(found)
+        rest = cut(rest.join(found, "place", "left_anti"))
+        reach *= 4
+    return done
+
+
 def adjacent(polygons: DataFrame, tolerance: float) -> DataFrame:
     """a, b (a < b): polygons whose borders touch, cross or come within so many degrees. polygons: area, rings."""
     sides = polygons.select("area", F.explode(polygon.edges(F.col("rings"))).alias("e")).select("area", "e.a", "e.b")
     mean = sides.select(F.avg(F.greatest(F.abs(F.col("a.lon") - F.col("b.lon")), F.abs(F.col("a.lat") - F.col("b.lat"))))).first()[0] or 1.0
-    size = max(mean, 4 * tolerance)
-    span = lambda k: F.sequence(cell(F.least(f"a.{k}", f"b.{k}") - tolerance, size), cell(F.greatest(f"a.{k}", f"b.{k}") + tolerance, size))
-    cells = sides.withColumn("_cx", F.explode(span("lon"))).withColumn("_cy", F.explode(span("lat")))
+    flat = sides.select("*", *[F.col(f"{p}.{k}").alias(f"{n}{i}") for i, p in ((1, "a"), (2, "b")) for n, k in (("x", "lon"), ("y", "lat"))], F.lit(max(mean, 4 * tolerance, 1e-6)).alias("_size"))
+    cells = segment_cells(flat, max(tolerance, 1e-9))
     left, right = cells.select("_cx", "_cy", F.col("area").alias("a"), F.col("a").alias("p"), F.col("b").alias("q")), cells.select("_cx", "_cy", F.col("area").alias("b"), F.col("a").alias("r"), F.col("b").alias("s"))
     pairs = left.join(right, ["_cx", "_cy"]).filter("a < b")
     turn = lambda p, q, r: F.signum((q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"]))
@@ -137,10 +195,25 @@ def overlap_ratio(left: Column, right: Column) -> Column:
     return F.arrow_udf(run, "double")(left, right)
 
 
+def boxes_meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b: pairs of rows whose boxes meet. Both: area, rings. Each box looks up the larger ones in the cells of their levels."""
+    a, b = cut(leveled(left.select("area", "rings"), split=False).drop("rings")), cut(leveled(right.select("area", "rings"), split=False).drop("rings"))
+
+    def found(small_ones: DataFrame, large: DataFrame, strictly: bool) -> DataFrame:
+        levels = levels_of(large)
+        above = F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: (k > F.col("_own")) if strictly else (k >= F.col("_own")))
+        looked = box_cells(small_ones.withColumnRenamed("_level", "_own").withColumn("_level", F.explode(above)))
+        named = lambda df, n: df.select("_level", "_cx", "_cy", F.col("area").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("west", "south", "east", "north")])
+        met = named(looked, "s").join(named(box_cells(large), "l"), ["_level", "_cx", "_cy"])
+        return met.filter("s_west <= l_east AND l_west <= s_east AND s_south <= l_north AND l_south <= s_north").select("s", "l").distinct()
+
+    upward, downward = found(a, b, False).select(F.col("s").alias("a"), F.col("l").alias("b")), found(b, a, True).select(F.col("l").alias("a"), F.col("s").alias("b"))
+    return upward.unionByName(downward).distinct()
+
+
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, ratio (of a's area that b covers, above 0): pairs whose boxes meet. Both: area, rings, one row of an area."""
-    size = max(cell_size(left), cell_size(right))
-    meet = in_cells(left, size).select("_cx", "_cy", F.col("area").alias("a")).join(in_cells(right, size).select("_cx", "_cy", F.col("area").alias("b")), ["_cx", "_cy"]).select("a", "b").distinct()
+    meet = boxes_meeting(left, right)
     rows = meet.join(left.select(F.col("area").alias("a"), F.col("rings").alias("_p")), "a").join(right.select(F.col("area").alias("b"), F.col("rings").alias("_q")), "b")
     return rows.withColumn("ratio", overlap_ratio(F.col("_p"), F.col("_q"))).filter("ratio > 0").select("a", "b", "ratio")
 

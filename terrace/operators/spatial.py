@@ -32,6 +32,25 @@ def box_cells(boxes: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("_cy", F.explode(F.sequence(cell(F.col("south"), size), cell(F.col("north"), size)))).drop("_span")
 
 
+def segment_cells(rows: DataFrame, pad: float) -> DataFrame:
+    """A row (_cx, _cy) for each cell of a segment's own _size that it passes through, or by at pad. rows: x1, y1, x2, y2, _size, …
+
+    A long segment is in a line of cells, not in all of its box.
+    """
+    size, slope = F.col("_size"), F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    low, high = F.least("x1", "x2") - pad, F.greatest("x1", "x2") + pad
+    columns = rows.withColumn("_cx", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    held = lambda y: F.greatest(F.least("y1", "y2"), F.least(F.greatest("y1", "y2"), y))
+    at = lambda x: held(F.col("y1") + slope * (x - F.col("x1")))
+    # What a slope adds within the pad beside a column's borders is at most the pad times the slope.
+    wide = F.lit(2 * pad) * (1 + F.coalesce(F.abs(slope), F.lit(0.0)))
+    left, right = at(F.col("_cx") * size), at((F.col("_cx") + 1) * size)
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    low_y = F.when(slope.isNull(), bottom - 2 * pad).otherwise(F.greatest(bottom - 2 * pad, F.least(left, right) - wide))
+    high_y = F.when(slope.isNull(), top + 2 * pad).otherwise(F.least(top + 2 * pad, F.greatest(left, right) + wide))
+    return columns.withColumn("_cy", F.explode(F.sequence(F.floor(low_y / size), F.floor(high_y / size))))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float | None = None) -> DataFrame:
     """Each point strictly inside a box: point, box. points: id, lon, lat; boxes: id, west, south, east, north (longs or doubles).
 
