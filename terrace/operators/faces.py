@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import polygon
-from terrace.operators.areas import boxes_meeting, points_in_areas
+from terrace.operators.areas import boxes_meeting, points_in_areas, simplified
+from terrace.operators.graph import components
 from terrace.operators.spatial import segment_cells
 from terrace.operators.steps import cut
 
@@ -214,3 +215,30 @@ def outside_area(targets: DataFrame, covers: DataFrame) -> DataFrame:
     whole = border_area(border(sided, lambda owners: F.array_contains(owners, F.lit(-1).cast("long"))))
     free = border_area(border(sided, lambda owners: F.array_contains(owners, F.lit(-1).cast("long")) & (F.size(owners) == 1)))
     return whole.select(F.col("grp").alias("area"), F.col("area").alias("whole")).join(free.select(F.col("grp").alias("area"), F.col("area").alias("open")), "area", "left").fillna(0.0, ["open"])
+
+
+def snapped(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """Polygons (grp, owner, rings) whose corners within the tolerance of each other are one corner, the least of those in a chain.
+
+    Corners of one group meet in cells as wide as the tolerance; only chains of near corners are joined, never all pairs.
+    """
+    corners = polygons.select("grp", "owner", F.posexplode("rings").alias("ring", "_line")).select("grp", "owner", "ring", F.posexplode("_line").alias("k", "p"))
+    corners = corners.select("grp", "owner", "ring", "k", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
+    single = cut(corners.select("grp", "x", "y").distinct().withColumn("c", F.monotonically_increasing_id()))
+    at = single.withColumn("_cx", F.floor(F.col("x") / tolerance)).withColumn("_cy", F.floor(F.col("y") / tolerance))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    beside = at.select("grp", F.col("c").alias("_c"), F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("_cx")).alias("_ux"), F.col("_cy").alias("_uy"), around.alias("d"))
+    beside = beside.select("grp", "_c", "_x", "_y", (F.col("_ux") + F.col("d.i")).alias("_cx"), (F.col("_uy") + F.col("d.j")).alias("_cy"))
+    near = at.join(beside, ["grp", "_cx", "_cy"]).filter("c < _c").filter(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= tolerance)
+    chains = components(single.select(F.col("c").alias("id")), near.select(F.col("c").alias("a"), F.col("_c").alias("b")))
+    moved = cut(single.join(chains.select(F.col("id").alias("c"), F.col("component").alias("chain")), "c"))
+    least = moved.groupBy("chain").agg(F.min(F.struct(F.col("x").alias("lon"), F.col("y").alias("lat"))).alias("to"))
+    to = moved.join(least, "chain").select("grp", "x", "y", "to")
+    lines = corners.join(to, ["grp", "x", "y"]).groupBy("grp", "owner", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "to"))), lambda s: s["to"]).alias("line"))
+    return lines.groupBy("grp", "owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "line"))), lambda r: r["line"]).alias("rings"))
+
+
+def region_forms(polygons: DataFrame, tolerance: float = 0.001, simplify: float = 0.0) -> DataFrame:
+    """grp, part, rings: a region's form out of its members' (grp, owner, rings): neighbours snapped, united, without holes that are small or slivers, and simplified."""
+    made = united(snapped(polygons, tolerance)).withColumn("rings", polygon.kept_rings(F.col("rings")))
+    return made.withColumn("rings", simplified(F.col("rings"), simplify)).filter(F.size("rings") > 0) if simplify else made

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import geo, polygon, vector_tiles
-from terrace.operators import areas
+from terrace.operators import areas, faces
 from terrace.operators import hierarchy as h
 from terrace.operators.steps import small
-from terrace.plans.base import BOXES, DIRECT, EDGES, POINTS, query
+from terrace.plans.base import AROUND, BOXES, DIRECT, EDGES, POINTS, query
 from terrace.sources.tables import LINE_ID, NATIONS, REGIONS, boxes, deep_tree, divisions, objects, parts_of_nations, places, points, table
 
 UPWARD = """up AS (SELECT region_id AS node, region_id AS region FROM direct GROUP BY ALL
@@ -70,14 +70,14 @@ NEAR = 300_000
     held AS (SELECT id, min(region_id) AS area FROM (SELECT id, region_id, part FROM objects JOIN edges ON true GROUP BY id, lon, lat, region_id, part HAVING
         sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
         AND NOT bool_or((x2 - x1) * (lat - y1) = (lon - x1) * (y2 - y1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))) GROUP BY id),
-    flat AS (SELECT id, region_id, (x1 - lon) * cos(radians(lat)) * 111320.0 AS ax, (y1 - lat) * 110540.0 AS ay, (x2 - lon) * cos(radians(lat)) * 111320.0 AS bx, (y2 - lat) * 110540.0 AS b_y
-        FROM objects, edges WHERE id NOT IN (SELECT id FROM held)),
+    flat AS (SELECT id, region_id, (x1 - lon + turn) * cos(radians(lat)) * 111320.0 AS ax, (y1 - lat) * 110540.0 AS ay, (x2 - lon + turn) * cos(radians(lat)) * 111320.0 AS bx, (y2 - lat) * 110540.0 AS b_y
+        FROM objects, edges, (VALUES (-360.0::DOUBLE), (0.0), (360.0)) turns(turn) WHERE id NOT IN (SELECT id FROM held)),
     near AS (SELECT id, region_id, greatest(0.0, least(1.0, coalesce(-(ax * (bx - ax) + ay * (b_y - ay)) / nullif(pow(bx - ax, 2) + pow(b_y - ay, 2), 0), 0.0))) AS t, * FROM flat),
     far AS (SELECT id, region_id, min(sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (b_y - ay), 2))) AS metres FROM near GROUP BY ALL HAVING metres <= {NEAR})
     SELECT id AS place, area FROM held UNION ALL SELECT id, arg_min(region_id, (metres, region_id)) FROM far GROUP BY id"""
 )
 def s10_marker_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each marker the polygon that holds it, else the nearest within some way."""
+    """For each marker the polygon that holds it, else the nearest within some way, over the antimeridian too."""
     marks = objects(spark, sf_dir).select(F.col("id").alias("place"), "lon", "lat")
     return areas.containing_or_nearest(marks, _polygons(spark, sf_dir), NEAR)
 
@@ -333,20 +333,86 @@ def s7_covering_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.covering(candidates, h.closure(deep_tree(spark, sf_dir)), 0.9).select("region", "division", "coverage")
 
 
+#: Halves of degrees: squares' corners are multiples of these, so a set of cells is an exact area.
+CELLS = """SELECT {key}, unnest(range((2 * w)::INT, (2 * w + 2 * {side})::INT)) AS cx, s FROM {table}"""
+COVERED = f"""{SQUARES}, strips AS ({CELLS.format(key="id", side=2, table="squares")}), cells AS (SELECT id, cx, unnest(range((2 * s)::INT, (2 * s + 4)::INT)) AS cy FROM strips),
+    wide AS ({CELLS.format(key="id", side=3, table="(FROM squares WHERE id % 4 = 0)")}), covered AS (SELECT DISTINCT cx, unnest(range((2 * s)::INT, (2 * s + 6)::INT)) AS cy FROM wide)"""
+
+
 @query(
-    f"""WITH {SQUARES}, b AS (SELECT id, w, s, id % 6 = 0 AS covered FROM squares), g AS (SELECT a.id, sum(greatest(0.0, least(a.w + 2, c.w + 2) - greatest(a.w, c.w)) * greatest(0.0, least(a.s + 2, c.s + 2) - greatest(a.s, c.s))) AS held
-        FROM b a LEFT JOIN b c ON c.covered GROUP BY a.id)
-    SELECT id, round(1 - held / 4, 5) AS open_share FROM g WHERE 1 - held / 4 > 0.3 ORDER BY open_share DESC, id LIMIT 30"""
+    f"""WITH {COVERED}, g AS (SELECT id, count(*) FILTER (c.cx IS NULL) / 16 AS open_share FROM cells LEFT JOIN covered c USING (cx, cy) GROUP BY id)
+    SELECT id, round(open_share, 5) AS open_share FROM g WHERE open_share > 0.3 ORDER BY open_share DESC, id LIMIT 30"""
 )
 def s8_gaps_of_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divisions of which more than three tenths lie outside all that is covered, the largest thirty."""
-    own = _squares(spark, sf_dir)
-    covered = areas.overlapping(own, own.filter("area % 6 = 0")).groupBy(F.col("a").alias("area")).agg(F.sum("ratio").alias("held"))
-    rows = own.join(covered, "area", "left").select(F.col("area").alias("id"), F.round(1 - F.coalesce("held", F.lit(0.0)), 5).alias("open_share"))
-    return rows.filter("open_share > 0.3").orderBy(F.desc("open_share"), "id").limit(30)
+    """Divisions of which more than three tenths lie outside all that is covered, the largest thirty; covers overlap each other."""
+    covers = _squares(spark, sf_dir, 3.0).filter("area % 4 = 0")
+    shares = faces.outside_area(_squares(spark, sf_dir), covers).select(F.col("area").alias("id"), F.round(F.col("open") / F.col("whole"), 5).alias("open_share"))
+    return shares.filter("open_share > 0.3").orderBy(F.desc("open_share"), "id").limit(30)
+
+
+@query(
+    f"""WITH {SQUARES}, strips AS (SELECT n_regionkey::BIGINT AS region, unnest(range((2 * w)::INT, (2 * w + 4)::INT)) AS cx, s FROM squares JOIN nation ON n_nationkey = id),
+    cells AS (SELECT DISTINCT region, cx, unnest(range((2 * s)::INT, (2 * s + 4)::INT)) AS cy FROM strips),
+    sides AS (SELECT region, cx + dx AS cx, cy + dy AS cy FROM cells, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)), outer_ AS (SELECT region, count(*) AS n FROM sides ANTI JOIN cells USING (region, cx, cy) GROUP BY region)
+    SELECT region, count(*) * 0.25::DOUBLE AS area, any_value(n) * 0.5::DOUBLE AS border FROM cells JOIN outer_ USING (region) GROUP BY region"""
+)
+def s13_united_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's squares as one form with rings, some of which share only part of a border: its area and the length of its borders."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("owner"), F.col("n_regionkey").cast("long").alias("grp"))
+    forms = faces.united(_squares(spark, sf_dir).withColumnRenamed("area", "owner").join(nation, "owner"))
+    across = lambda e: F.sqrt(F.pow(e["b"]["lon"] - e["a"]["lon"], F.lit(2)) + F.pow(e["b"]["lat"] - e["a"]["lat"], F.lit(2)))
+    sizes = forms.select("grp", F.aggregate("rings", F.lit(0.0), lambda t, r: t + polygon.signed_area(r)).alias("area"), F.aggregate(polygon.edges(F.col("rings")), F.lit(0.0), lambda t, e: t + across(e)).alias("border"))
+    return sizes.groupBy(F.col("grp").alias("region")).agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("border"), 6).alias("border"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey::BIGINT AS id, 1.0::DOUBLE + n_nationkey % 4 AS d FROM nation)
+    SELECT id, CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END::BIGINT AS parts, CASE id % 3 WHEN 0 THEN d * d / 2 WHEN 1 THEN d * d - d * d / 4 ELSE 2 * d * d - d * d / 2 END AS area FROM n"""
+)
+def s16_repaired_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow-ties, squares with a ring written twice in them, and squares that overlap as rings of one form: faces by the even-odd rule."""
+    n = F.col("n_nationkey").cast("long")
+    d = F.lit(1.0) + n % 4
+    ring = lambda points: F.array(*[F.struct((n * 14 - 180 + d * x).alias("lon"), (n * 7 % 120 - 60 + d * y).alias("lat")) for x, y in points])
+    square = lambda x, y, k: ring([(x, y), (x + k, y), (x + k, y + k), (x, y + k), (x, y)])
+    bow, pair = F.array(ring([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)])), F.array(square(0, 0, 1), square(0.5, 0.5, 1))
+    held = F.array(square(0, 0, 1), square(0.25, 0.25, 0.5), square(0.5, 0.5, 0.1), square(0.5, 0.5, 0.1))
+    made = faces.repaired(table(spark, sf_dir, "nation").select(n.alias("grp"), F.when(n % 3 == 0, bow).when(n % 3 == 1, held).otherwise(pair).alias("rings")))
+    area = F.aggregate("rings", F.lit(0.0), lambda t, r: t + polygon.signed_area(r))
+    return made.groupBy(F.col("grp").alias("id")).agg(F.count("*").alias("parts"), F.round(F.sum(area), 6).alias("area"))
+
 
+@query(
+    f"""WITH {POINTS}, {EDGES}, held AS (SELECT id, min(region_id) AS area FROM (SELECT id, region_id, part FROM points JOIN edges ON true GROUP BY id, lon, lat, region_id, part HAVING {AROUND}) GROUP BY id),
+    flat AS (SELECT id, region_id, (x1 - lon + turn) * cos(radians(lat)) * 111320.0 AS ax, (y1 - lat) * 110540.0 AS ay, (x2 - lon + turn) * cos(radians(lat)) * 111320.0 AS bx, (y2 - lat) * 110540.0 AS b_y
+        FROM points, edges, (VALUES (-360.0::DOUBLE), (0.0), (360.0)) turns(turn) WHERE id NOT IN (SELECT id FROM held)),
+    near AS (SELECT id, region_id, greatest(0.0, least(1.0, coalesce(-(ax * (bx - ax) + ay * (b_y - ay)) / nullif(pow(bx - ax, 2) + pow(b_y - ay, 2), 0), 0.0))) AS t, * FROM flat),
+    far AS (SELECT id, region_id, min(sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (b_y - ay), 2))) AS metres FROM near GROUP BY ALL)
+    SELECT id AS place, area, 0.0::DOUBLE AS km FROM held UNION ALL SELECT id, arg_min(region_id, (metres, region_id)), round(min(metres) / 1000, 3) FROM far GROUP BY id"""
+)
+def s9_nearest_border(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every point the region whose border is nearest, however far; 0 within it."""
+    found = areas.nearest_borders(points(spark, sf_dir).withColumnRenamed("id", "place"), _polygons(spark, sf_dir), 500_000.0)
+    return found.select("place", "area", F.round(F.col("metres") / 1000, 3).alias("km"))
 
 
+@query(
+    f"""WITH {SQUARES}, g AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS region, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation),
+    sides AS (SELECT region, x + dx AS x, y + dy AS y FROM g, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)), o AS (SELECT region, count(*) * 2 AS n FROM sides ANTI JOIN g USING (region, x, y) GROUP BY region)
+    SELECT region, count(*) * 4 AS area, any_value(n)::BIGINT AS border FROM g JOIN o USING (region) GROUP BY region"""
+)
+def s12_region_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of squares drawn with gaps of up to a thousandth of a degree: snapped, united and freed of holes, as whole degrees."""
+    n = F.col("n_nationkey").cast("long")
+    off = lambda k: ((n * 7 + k) % 5 - 2) * 0.00015
+    w, s = (n % 5) * 2.0, F.floor(n / 5) * 2.0
+    ring = F.array(*[F.struct((w + x + off(k % 4)).alias("lon"), (s + y + off(k % 4 + 1)).alias("lat")) for k, (x, y) in enumerate(((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)))])
+    drawn = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("grp"), n.alias("owner"), F.array(ring).alias("rings"))
+    forms = faces.region_forms(drawn, tolerance=0.001)
+    across = lambda e: F.sqrt(F.pow(e["b"]["lon"] - e["a"]["lon"], F.lit(2)) + F.pow(e["b"]["lat"] - e["a"]["lat"], F.lit(2)))
+    sizes = forms.select("grp", F.aggregate("rings", F.lit(0.0), lambda t, r: t + polygon.signed_area(r)).alias("area"), F.aggregate(polygon.edges(F.col("rings")), F.lit(0.0), lambda t, e: t + across(e)).alias("border"))
+    return sizes.groupBy(F.col("grp").alias("region")).agg(F.round(F.sum("area")).cast("long").alias("area"), F.round(F.sum("border")).cast("long").alias("border"))
+
 
 ISLES = """isles AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS g, i, n_nationkey % 5 * 3.0::DOUBLE + i * 0.5 AS w, n_nationkey // 5 * 3.0::DOUBLE + i * 0.5 AS s, 0.02 + 0.3 * (n_nationkey % 3) AS d, n_nationkey * 5 % 12 AS k FROM nation, range(12) r(i) WHERE i <= n_nationkey * 5 % 12)"""
 
