@@ -163,9 +163,13 @@ def stitched(edges: DataFrame) -> DataFrame:
     # How many edges there are from each one on to its ring's least edge.
     rings = cut(known.select("e", "ring"))
     left = cut(after.join(rings, "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("long").alias("rest")))
-    while not left.filter("to IS NOT NULL").isEmpty():
+    for _ in range(numbered.count().bit_length() + 1):
+        if left.filter("to IS NOT NULL").isEmpty():
+            break
         on = left.select(F.col("e").alias("to"), F.col("to").alias("_to"), F.col("rest").alias("_rest"))
         left = cut(left.join(on, "to", "left").select("e", "ring", F.col("_to").alias("to"), (F.col("rest") + F.coalesce("_rest", F.lit(0))).alias("rest")))
+    else:
+        raise ValueError("the edges do not close")
     placed = numbered.join(left.select("e", "ring", "rest"), "e")
     term = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
     points = placed.groupBy("grp", "ring").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("k"), "ax", "ay"))).alias("p"), (F.sum(term) / 2).alias("area"))
