@@ -114,11 +114,24 @@ def geojson(rings: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), pairs.alias("coordinates")))
 
 
+def parts_geojson(parts: Column) -> Column:
+    """Of an array of rings, one for each part."""
+    pairs = F.transform(parts, lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"]))))
+    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), pairs.alias("coordinates")))
+
+
+def parts_from_geojson(text: Column) -> Column:
+    """An array of rings for each part of a polygon or multipolygon; null for other texts."""
+    kind = F.get_json_object(text, "$.type")
+    line = lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+    one = F.transform(F.from_json(text, "coordinates array<array<array<double>>>")["coordinates"], line)
+    many = F.transform(F.from_json(text, "coordinates array<array<array<array<double>>>>")["coordinates"], lambda rings: F.transform(rings, line))
+    return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
+
+
 def from_geojson(text: Column) -> Column:
-    """Rings of a polygon; null for other texts."""
-    read = F.from_json(text, "type string, coordinates array<array<array<double>>>")
-    rings = F.transform(read["coordinates"], lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))))
-    return F.when(read["type"] == "Polygon", rings)
+    """Rings of a polygon, or of all parts of a multipolygon; null for other texts."""
+    return F.flatten(parts_from_geojson(text))
 
 
 def svg_path(rings: Column) -> Column:

@@ -20,6 +20,15 @@ SUFFIXES = (
 EXACT, BEGINS, FUZZY, IN_PATH, IN_NAME, ALL_TERMS = 1000, 500, 400, 300, 200, 100
 
 
+#: Parts of words by which a work's type is a sculpture's.
+SCULPTURAL = ("sculpt", "statue", "bust", "relief", "cast", "figurine", "torso", "stele", "monument")
+
+
+def is_sculptural(kind: Column) -> Column:
+    lower = F.lower(kind)
+    return F.exists(F.array(*[F.lit(x) for x in SCULPTURAL]), lambda part: F.contains(lower, part))
+
+
 def plain(text: Column) -> Column:
     """Without accents; case stays."""
     return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_PLAIN)), "[\\u0300-\\u036f]", "")

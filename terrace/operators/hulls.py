@@ -109,7 +109,7 @@ def carved(points: DataFrame, concavity: float = CONCAVITY) -> DataFrame:
 
 def with_margin(forms: DataFrame, km: float) -> DataFrame:
     """grp, rings: forms (grp, rings) with so many km around them, parts that meet united; rings without an area become discs and bands."""
-    reach = km / (math.pi * EARTH / 180 / 1000)
+    forms, reach = cut(forms), km / (math.pi * EARTH / 180 / 1000)
     narrow = lambda lat: F.greatest(F.lit(0.01), F.cos(F.radians(lat)))
     corners = forms.select("grp", F.explode(F.array_distinct(F.flatten("rings"))).alias("p"))
     at = lambda p, dx, dy: F.struct((p["lon"] + dx / narrow(p["lat"])).alias("lon"), (p["lat"] + dy).alias("lat"))
@@ -151,7 +151,7 @@ def drawn(points: DataFrame, key: str, km: float = MARGIN_KM, concavity: float =
     held = lambda df: df.join(groups, "grp").select("grp", _held(F.col("rings"), F.col("low"), F.col("high")).alias("rings"))
     forms = held(carved(placed.join(groups.drop("low", "high"), ["_key", "side"]).select("grp", "lon", "lat"), concavity))
     forms = held(with_margin(forms, km)) if km else forms
-    forms = held(forms.select("grp", simplified(F.col("rings"), simplify).alias("rings"))) if simplify else forms
+    forms = held(cut(forms).select("grp", simplified(F.col("rings"), simplify).alias("rings"))) if simplify else forms
 
     halves = F.col("side") != "whole"
     line = F.when(F.col("side") == "east", 180.0).otherwise(-180.0)

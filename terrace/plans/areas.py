@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import geo, polygon, vector_tiles
-from terrace.operators import areas, faces
+from terrace.operators import areas, faces, hulls
 from terrace.operators import hierarchy as h
 from terrace.operators.steps import small
 from terrace.plans.base import AROUND, BOXES, DIRECT, EDGES, POINTS, query
@@ -193,6 +193,14 @@ def io15_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.withColumn("n_rings", F.size(polygon.from_geojson(F.col("json"))).cast("long"))
 
 
+@query(f"WITH {EDGES} SELECT region_id, count(DISTINCT part) AS parts, count(DISTINCT part * 10 + ring) AS n_rings, count(*) + count(DISTINCT part * 10 + ring) AS n_points FROM edges GROUP BY region_id")
+def io15_multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with all their parts to text, and back from it."""
+    parts = parts_of_nations(spark, sf_dir).groupBy("region_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "rings"))), lambda p: p["rings"]).alias("parts"))
+    back = parts.select("region_id", polygon.parts_from_geojson(polygon.parts_geojson(F.col("parts"))).alias("p"))
+    return back.select("region_id", F.size("p").cast("long").alias("parts"), F.size(F.flatten("p")).cast("long").alias("n_rings"), F.size(F.flatten(F.flatten("p"))).cast("long").alias("n_points"))
+
+
 @query(
     f"""WITH {EDGES}, r AS (SELECT region_id, part, ring, 'M ' || string_agg(format('{{:.3f}} {{:.3f}}', x1, 0.0 - y1), ' L ' ORDER BY k) || ' Z' AS t FROM edges GROUP BY ALL)
     SELECT region_id, part, string_agg(t, ' ' ORDER BY ring) AS path FROM r GROUP BY ALL"""
@@ -306,7 +314,7 @@ def v6_leaf_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EDGES}, c AS (SELECT region_id, count(DISTINCT part) AS parts, min(x1) AS w, max(x1) AS e, min(y1) AS s, max(y1) AS n FROM edges GROUP BY ALL),
-    m AS (SELECT {LINE_ID} AS id, (l_partkey % 25 + 100000000)::BIGINT AS region_id, l_suppkey % 4 = 0 AS drawn FROM lineitem WHERE l_linenumber = 1)
+    m AS (SELECT {LINE_ID} AS id, (l_partkey % 25 + 100000000)::BIGINT AS region_id, l_suppkey % 4 = 0 AS drawn FROM lineitem)
     SELECT id, region_id, CASE WHEN drawn THEN 'drawn' ELSE 'stored' END AS source, drawn AS is_partial, CASE WHEN region_id % 2 = 0 AND parts > 1 THEN 'hull' ELSE 'real' END AS render,
         CASE WHEN e - w > 19 THEN '[' || w || ',' || s || ',' || e || ',' || n || ']' END AS focus FROM m JOIN c USING (region_id)"""
 )
@@ -314,7 +322,7 @@ def f5_f8_effective_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members with the form that counts for them (their own drawing, else the division's), what a map draws, and the view as a JSON array."""
     b = {k: F.min(v) if k in ("west", "south") else F.max(v) for k, v in polygon.box(F.col("rings")).items()}
     forms = parts_of_nations(spark, sf_dir).groupBy("region_id").agg(F.countDistinct("part").alias("parts"), *[v.alias(k) for k, v in b.items()])
-    members = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").selectExpr(f"{LINE_ID} AS id", f"CAST(l_partkey % 25 + {NATIONS} AS LONG) AS region_id", "l_suppkey % 4 = 0 AS drawn")
+    members = table(spark, sf_dir, "lineitem").selectExpr(f"{LINE_ID} AS id", f"CAST(l_partkey % 25 + {NATIONS} AS LONG) AS region_id", "l_suppkey % 4 = 0 AS drawn")
     focus = F.when(F.col("east") - F.col("west") > 19, F.to_json(F.array("west", "south", "east", "north")))
     return members.join(small(forms), "region_id").select("id", "region_id", F.when(F.col("drawn"), "drawn").otherwise("stored").alias("source"), F.col("drawn").alias("is_partial"), F.when((F.col("region_id") % 2 == 0) & (F.col("parts") > 1), "hull").otherwise("real").alias("render"), focus.alias("focus"))
 
@@ -414,6 +422,14 @@ def s12_region_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy(F.col("grp").alias("region")).agg(F.round(F.sum("area")).cast("long").alias("area"), F.round(F.sum("border")).cast("long").alias("border"))
 
 
+@query()
+def s18_concave_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave hulls of all points by brand: rings and area; SQL has no triangulation, tests compare with brute-force carving."""
+    made = hulls.carved(points(spark, sf_dir).select(F.col("brand").alias("grp"), "lon", "lat"), 0.5)
+    area = F.aggregate("rings", F.lit(0.0), lambda t, r: t + polygon.signed_area(r))
+    return made.select(F.col("grp").alias("brand"), F.size("rings").cast("long").alias("n_rings"), F.round(area, 6).alias("area"))
+
+
 ISLES = """isles AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS g, i, n_nationkey % 5 * 3.0::DOUBLE + i * 0.5 AS w, n_nationkey // 5 * 3.0::DOUBLE + i * 0.5 AS s, 0.02 + 0.3 * (n_nationkey % 3) AS d, n_nationkey * 5 % 12 AS k FROM nation, range(12) r(i) WHERE i <= n_nationkey * 5 % 12)"""
 
 
@@ -473,7 +489,7 @@ def s14_simplified_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def io17_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as vector tiles of three zooms; SQL has no encoder, a test reads the bytes back."""
-    rings = parts_of_nations(spark, sf_dir).filter("part = 0")
+    rings = parts_of_nations(spark, sf_dir)
     b = {k: v for k, v in polygon.box(F.col("rings")).items()}
     placed = areas.tiles(rings.select(F.col("region_id").alias("id"), "rings", *[v.alias(k) for k, v in b.items()]), [0, 2, 4])
     return vector_tiles.layers(vector_tiles.features(placed, F.col("rings"), F.col("id")), "regions")

@@ -113,7 +113,7 @@ def x16_visit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {PLACES}, seen AS (SELECT DISTINCT event_id % 97 AS user_id, event_id * 31 % 1500 AS o FROM events), v AS (SELECT user_id, object_id, count(*) AS n FROM places JOIN seen ON o = id // 1000000000 % 1500 WHERE offered GROUP BY ALL),
     t AS (SELECT object_id, count(*) AS total FROM places WHERE offered GROUP BY object_id), gone AS (SELECT user_id, object_id FROM v WHERE (user_id + object_id) % 13 = 0)
-    SELECT v.user_id, v.object_id, n, CASE WHEN n < total THEN 'partial' ELSE 'visited' END AS status FROM v JOIN t USING (object_id) WHERE (v.user_id, v.object_id) NOT IN (FROM gone)"""
+    SELECT v.user_id, v.object_id, n, CASE WHEN n < total THEN 'partial' ELSE 'visited' END AS status FROM v JOIN t USING (object_id) ANTI JOIN gone g ON g.user_id = v.user_id AND g.object_id = v.object_id"""
 )
 def c15_visit_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A visit to a place is one to its object; where the last of an object's visits is taken back, the object's goes too."""
@@ -225,16 +225,15 @@ def io12_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT (r_regionkey + 1000000000)::BIGINT AS id, NULL::BIGINT AS parent_id, r_name AS name FROM region UNION ALL SELECT (n_nationkey + 100000000)::BIGINT, (n_regionkey + 1000000000)::BIGINT, n_name FROM nation)
-    SELECT t.name AS region, p.name AS parent, (SELECT count(*) FROM t c WHERE c.parent_id = t.id) AS children, t.id AS member FROM t LEFT JOIN t p ON p.id = t.parent_id"""
+    f"""WITH {DIVISIONS}, k AS (SELECT parent_id AS id, count(*) AS n FROM divisions WHERE parent_id IS NOT NULL GROUP BY ALL)
+    SELECT t.name AS region, p.name AS parent, coalesce(n, 0) AS children, t.id AS member FROM divisions t LEFT JOIN divisions p ON p.id = t.parent_id LEFT JOIN k ON k.id = t.id"""
 )
 def io10_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A world view that mirrors the divisions: a region for each, whose one member it is."""
     tree = divisions(spark, sf_dir)
-    upper = tree.filter(f"id >= {NATIONS}")
-    kids = upper.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
-    above = upper.filter(f"id >= {REGIONS}").select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
-    return upper.join(kids, "id", "left").join(above, "parent_id", "left").select(F.col("name").alias("region"), "parent", F.coalesce("children", F.lit(0)).alias("children"), F.col("id").alias("member"))
+    kids = tree.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
+    above = tree.select(F.col("id").alias("parent_id"), F.col("name").alias("parent")).join(kids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return tree.join(kids, "id", "left").join(above, "parent_id", "left").select(F.col("name").alias("region"), "parent", F.coalesce("children", F.lit(0)).alias("children"), F.col("id").alias("member"))
 
 
 @query(

@@ -95,14 +95,14 @@ def x14_derived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NODES}, {KIDS}, a AS (SELECT node, anchor, {TRIGRAMS.format(x=_PLAIN.format(x="split_part(name, '(', 1)"))} AS g FROM nodes WHERE node % 5 = 4), b AS (SELECT child, anchor, {TRIGRAMS.format(x=_PLAIN.format(x="name"))} AS h FROM kids),
+    f"""WITH {NODES}, {KIDS}, a AS (SELECT node, anchor, {TRIGRAMS.format(x=_PLAIN.format(x="split_part(name, '(', 1)"))} AS g FROM nodes), b AS (SELECT child, anchor, {TRIGRAMS.format(x=_PLAIN.format(x="name"))} AS h FROM kids),
     s AS (SELECT node, child, len(list_intersect(g, h)) AS common, len(g) + len(h) AS total FROM a JOIN b USING (anchor)),
     f AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY common / (total - common) DESC, child) AS rn FROM s WHERE common / (total - common) > 0.3)
     SELECT node, child, round(common / (total - common) * 1000)::INT AS score FROM f WHERE rn <= 5"""
 )
 def x7_scoped_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where no name matches, the five most similar within the scope."""
-    nodes = _nodes(spark, sf_dir).filter("node % 5 = 4").select("node", text.without_note(F.col("name")).alias("name"), F.col("anchor").alias("scope"))
+    """For every name the five most similar within its scope."""
+    nodes = _nodes(spark, sf_dir).select("node", text.without_note(F.col("name")).alias("name"), F.col("anchor").alias("scope"))
     found = m.similar(nodes, _kids(spark, sf_dir).select(F.col("child").alias("id"), "name", F.col("anchor").alias("scope")))
     best = first_per(found, ["node"], [F.desc("score"), F.asc("id")], 5)
     return best.select("node", F.col("id").alias("child"), F.round(F.col("score") * 1000).cast("int").alias("score"))
@@ -157,8 +157,13 @@ def r11_country_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.countries(tree).join(h.closure(tree), F.col("country") == F.col("ancestor")).groupBy("country").agg(F.count("*").alias("divisions"))
 
 
-@query("SELECT p_partkey AS id, regexp_matches(lower(p_type), '(bust|statue|relief|steel|brass)') AS sculptural, trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(strip_accents(p_name || ' #')), '[^a-z0-9]+', ' ', 'g')) AS same_label FROM part")
+#: What a work is, by the table's type of metal.
+KIND = "replace(replace(replace(replace(p_type, 'STEEL', 'Bronze sculpture'), 'BRASS', 'Funerary STELE'), 'TIN', 'Plaster cast'), 'COPPER', 'Reliefs')"
+
+
+@query(f"SELECT p_partkey AS id, regexp_matches({KIND}, '(?i)sculpt|statue|bust|relief|cast|figurine|torso|stele|monument') AS sculptural,"
+       " trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(strip_accents(p_name || ' #')), '[^a-z0-9]+', ' ', 'g')) AS same_label FROM part")
 def t12_t13_types_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a type is of some words, and whether two labels are one but for case, accents and signs."""
     folded = lambda c: F.trim(F.regexp_replace(F.lower(text.plain(c)), "[^a-z0-9]+", " "))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_type").rlike("bust|statue|relief|steel|brass").alias("sculptural"), (folded(F.col("p_name")) == folded(F.concat("p_name", F.lit(" #")))).alias("same_label"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.is_sculptural(F.expr(KIND)).alias("sculptural"), (folded(F.col("p_name")) == folded(F.concat("p_name", F.lit(" #")))).alias("same_label"))

@@ -26,15 +26,21 @@ def json_records(spark: SparkSession, path: str, schema: str, fields: list[str]
 
 
 def tree_of_names(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """Nested {"name", "children"} objects as rows: path (array of names), parent_path, name, depth, has_children. Siblings of one name are one node."""
+    """Nested {"name", "children"} objects as rows: path (array of names), parent_path, name, depth, has_children. Siblings of one name are one node.
+
+    A tree deeper than DEPTH is refused when its rows are read: the task ends with an error that says so.
+    """
     schema = "struct<name:string>"
-    for _ in range(DEPTH - 1):
+    for _ in range(DEPTH):
         schema = f"struct<name:string,children:array<{schema}>>"
     root = F.from_json(text_col, schema)
     level = texts.select(root.alias("n"), F.array().cast("array<string>").alias("above")).filter("n.name IS NOT NULL")
     rows = None
     for depth in range(1, DEPTH + 1):
         deep = depth < DEPTH
+        if not deep:
+            below = F.coalesce(F.size("n.children") > 0, F.lit(False))
+            level = level.withColumn("n", F.when(below, F.raise_error(F.lit(f"a tree is deeper than {DEPTH} levels")).cast(level.schema["n"].dataType)).otherwise(F.col("n")))
         now = level.select(F.concat("above", F.array("n.name")).alias("path"), F.col("above").alias("parent_path"), F.col("n.name").alias("name"), F.lit(depth).alias("depth"), (F.coalesce(F.size("n.children") > 0, F.lit(False)) if deep else F.lit(False)).alias("has_children"))
         rows = now if rows is None else rows.unionByName(now)
         if deep:

@@ -168,3 +168,23 @@ def test_vector_tiles_read_back(spark):
             at += 2
     assert {x for x, _ in corners[:4]} == {1024, 3072} and {x for x, _ in corners[4:]} == {1934, 2162}
     assert len(corners) == 8
+
+
+def test_trees_too_deep_are_refused(spark):
+    import json
+
+    def nested(depth):
+        tree = {"name": f"n{depth}"}
+        for k in range(depth - 1, 0, -1):
+            tree = {"name": f"n{k}", "children": [tree]}
+        return json.dumps(tree)
+
+    assert files.tree_of_names(spark.createDataFrame([(nested(files.DEPTH),)], "value string")).count() == files.DEPTH
+    with pytest.raises(Exception, match="deeper than"):
+        files.tree_of_names(spark.createDataFrame([(nested(files.DEPTH + 1),)], "value string")).collect()
+
+
+def test_multipolygons_from_text(spark):
+    rows = [('{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[0,1],[0,0]]],[[[5,5],[6,5],[5,6],[5,5]],[[5.1,5.1],[5.2,5.1],[5.1,5.2],[5.1,5.1]]]]}',), ('{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,1],[0,0]]]}',), ('{"type":"Point","coordinates":[1,2]}',), ("no",)]
+    got = spark.createDataFrame(rows, "t string").select(polygon.parts_from_geojson(F.col("t")).alias("p"), polygon.from_geojson(F.col("t")).alias("r")).collect()
+    assert [p and [len(x) for x in p] for p, _ in got] == [[1, 2], [1], None, None] and [r and len(r) for _, r in got] == [3, 1, None, None]
