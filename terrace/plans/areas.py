@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions import geo, polygon, vector_tiles
+from terrace.functions import geo, polygon, svg, vector_tiles
 from terrace.operators import areas, faces, hulls
 from terrace.operators import hierarchy as h
 from terrace.operators.steps import small
@@ -209,6 +209,20 @@ def io16_svg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts_of_nations(spark, sf_dir).select("region_id", "part", polygon.svg_path(F.col("rings")).alias("path"))
 
 
+@query(
+    f"""WITH {EDGES}, d AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS d FROM edges), l AS (SELECT *, sum(d) OVER (PARTITION BY region_id, part, ring ORDER BY k) AS cum, sum(d) OVER (PARTITION BY region_id, part, ring) AS total FROM d),
+    s AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY region_id, part, ring ORDER BY k), 0) AS was, row_number() OVER (PARTITION BY region_id, part, ring ORDER BY k DESC) = 1 AS last FROM l), t AS (SELECT * FROM range(9) j(j))
+    SELECT region_id, part, ring, j, round(x1 + CASE WHEN j = 8 THEN 1 ELSE (j * total / 8 - was) / d END * (x2 - x1), 4) + 0.0 AS lon, round(y1 + CASE WHEN j = 8 THEN 1 ELSE (j * total / 8 - was) / d END * (y2 - y1), 4) + 0.0 AS lat
+    FROM s JOIN t ON CASE WHEN j = 8 THEN last ELSE j * total / 8 >= was AND j * total / 8 < cum END"""
+)
+def io16_resampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths read back, each ring as nine points in equal steps along it."""
+    paths = parts_of_nations(spark, sf_dir).select("region_id", "part", polygon.svg_path(F.col("rings")).alias("path"))
+    lines = paths.select("region_id", "part", svg.resampled(svg.from_path(F.col("path")), 9).alias("rings"))
+    at = lines.select("region_id", "part", F.posexplode("rings").alias("ring", "line")).select("region_id", "part", "ring", F.posexplode("line").alias("j", "p"))
+    return at.select("region_id", "part", "ring", F.col("j").cast("long").alias("j"), (F.round("p.lon", 4) + 0.0).alias("lon"), (F.round("p.lat", 4) + 0.0).alias("lat"))
+
+
 SPREAD = """spread AS (SELECT n_nationkey, n_regionkey, ((n_nationkey * 14 + k * 9) % 360) - 180.0::DOUBLE AS lon, n_nationkey * 7 % 120 - 60.0::DOUBLE + k AS lat FROM nation, range(6) t(k) WHERE k <= n_nationkey % 6)"""
 
 

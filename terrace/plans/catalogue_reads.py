@@ -12,7 +12,7 @@ from terrace.operators import hierarchy as h
 from terrace.operators.ranking import first_per, ranked
 from terrace.operators.steps import small
 from terrace.plans.base import DIVISIONS, HAVERSINE, OBJECTS, PLACES, deep_closure, query
-from terrace.sources.tables import NATIONS, REGIONS, deep_tree, divisions, objects, places, table
+from terrace.sources.tables import NATIONS, deep_tree, divisions, objects, places, table
 
 #: A reader's objects: admitted, not lost; and places: offered, published.
 ADMITTED, VISIBLE = "id % 11 <> 4", "offered AND id % 6 <> 1"
