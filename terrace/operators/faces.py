@@ -142,6 +142,16 @@ def cancelled(edges: DataFrame) -> DataFrame:
     return net.select("grp", way("p", "q", "x").alias("ax"), way("p", "q", "y").alias("ay"), way("q", "p", "x").alias("bx"), way("q", "p", "y").alias("by"))
 
 
+def _ahead(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """r, d: each row (e, to, …) that goes on, and the columns of the row that it goes on to. At most one row goes on to another.
+
+    What asks and what is asked for meet in a group of two, with one shuffle and without a join of the table with itself.
+    """
+    asked = rows.select(F.col("e").alias("_at"), F.struct(*columns).alias("d"))
+    asks = rows.filter("to IS NOT NULL").select(F.col("to").alias("_at"), F.struct("e", *columns).alias("r"))
+    return asked.unionByName(asks, allowMissingColumns=True).groupBy("_at").agg(F.max("d").alias("d"), F.max("r").alias("r")).filter("r IS NOT NULL")
+
+
 def stitched(edges: DataFrame) -> DataFrame:
     """grp, ring (a number), points (a closed array of lon, lat), area (below 0 for a hole): the rings of directed edges with what is held on their left."""
     numbered = cut(edges.withColumn("e", F.monotonically_increasing_id()))
@@ -155,21 +165,21 @@ def stitched(edges: DataFrame) -> DataFrame:
     # The least edge of each ring.
     known = cut(after.select("e", F.col("next").alias("to"), F.least("e", "next").alias("ring")))
     while True:
-        on = known.select(F.col("e").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"))
-        stepped = cut(known.join(on, "to").select("e", F.col("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (F.col("_ring") < F.col("ring")).alias("_changed")))
+        met = _ahead(known, ["to", "ring"])
+        stepped = cut(met.select(F.col("r.e").alias("e"), F.col("d.to").alias("to"), F.least("r.ring", "d.ring").alias("ring"), (F.col("d.ring") < F.col("r.ring")).alias("_changed")))
         known = stepped.drop("_changed")
         if stepped.filter("_changed").isEmpty():
             break
     # How many edges there are from each one on to its ring's least edge.
-    rings = cut(known.select("e", "ring"))
-    left = cut(after.join(rings, "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("long").alias("rest")))
-    for _ in range(numbered.count().bit_length() + 1):
+    left = cut(after.join(known.select("e", "ring"), "e").select("e", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.lit(1).cast("long").alias("rest")))
+    edges_in_all = numbered.count()
+    for _ in range(edges_in_all.bit_length() + 1):
         if left.filter("to IS NOT NULL").isEmpty():
             break
-        on = left.select(F.col("e").alias("to"), F.col("to").alias("_to"), F.col("rest").alias("_rest"))
-        left = cut(left.join(on, "to", "left").select("e", "ring", F.col("_to").alias("to"), (F.col("rest") + F.coalesce("_rest", F.lit(0))).alias("rest")))
-    else:
-        raise ValueError("the edges do not close")
+        jumped = _ahead(left, ["ring", "to", "rest"]).select(F.col("r.e").alias("e"), F.col("r.ring").alias("ring"), F.col("d.to").alias("to"), (F.col("r.rest") + F.col("d.rest")).alias("rest"))
+        left = cut(left.filter("to IS NULL").unionByName(jumped))
+    if left.filter("to IS NULL").count() != edges_in_all:
+        raise ValueError("the edges do not close to rings")
     placed = numbered.join(left.select("e", "ring", "rest"), "e")
     term = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
     points = placed.groupBy("grp", "ring").agg(F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("k"), "ax", "ay"))).alias("p"), (F.sum(term) / 2).alias("area"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators import hierarchy as h
+from terrace.operators import page_trees
 from terrace.plans.base import CLOSURE, DIVISIONS, deep_closure, query
 from terrace.sources.tables import deep_tree, divisions, table
 
@@ -265,3 +266,34 @@ def t14_page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.bool_and(plain) & F.bool_or("has_page")).alias("promoted"), F.count("*").alias("n"), F.count_if(plain & ~F.col("has_page")).alias("dead_ends"), F.bool_or(plain & F.col("has_page")).alias("open"),
     )
     return sums.select("page", (F.col("n") - F.col("dead_ends") + 1).alias("nodes"), "dead_ends", (F.col("open") & ~F.col("promoted")).alias("ambiguous"))
+
+
+#: Pages deep that a tree is built.
+PAGE_DEPTH = 6
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer: title, regions. Its regions are the keys below it, some as a group or by another title, and for some the page above."""
+    key = F.col("c_custkey")
+    named = lambda k: F.when(k % 7 == 3, F.concat(F.lit("R"), k.cast("string"))).otherwise(F.concat(F.lit("P"), k.cast("string")))
+    below = F.transform(F.sequence(key * 3, key * 3 + 2), named)
+    none = F.array().cast("array<string>")
+    one = lambda name, linked, items: F.struct(name.alias("name"), linked.alias("linked"), items.alias("items"))
+    single = F.transform(below, lambda n: one(n, F.lit(True), none))
+    group = F.array(one(F.concat(F.lit("Group "), key.cast("string")), F.lit(False), below))
+    back = F.when(key % 5 == 0, F.array(one(named(F.floor(key / 3).cast("long")), F.lit(True), none))).otherwise(F.slice(single, 1, 0))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("P"), key.cast("string")).alias("title"), F.concat(F.when(key % 4 == 3, group).otherwise(single), back).alias("regions"))
+
+
+def page_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("R"), key).alias("title"), F.concat(F.lit("P"), key).alias("target"))
+
+
+@query()
+def t14_built_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees built over all pages from three of them, with redirects, groups and ways back; tests compare with a recursive build."""
+    roots = spark.createDataFrame([("P1",), ("P2",), ("P3",)], "title string")
+    made = page_trees.page_trees(roots, linked_pages(spark, sf_dir), page_redirects(spark, sf_dir), PAGE_DEPTH)
+    line = lambda c: F.array_join(F.transform(c, lambda k: k.cast("string")), ".")
+    return made.select("root", line(F.col("path")).alias("path"), line(F.col("parent")).alias("parent"), "name", "kind")
