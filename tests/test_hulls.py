@@ -101,7 +101,7 @@ def test_points_and_lines_have_no_area(spark):
 
 def test_halves_meet_on_the_antimeridian(spark):
     rng = random.Random(3)
-    rows = [(1, rng.choice([-1, 1]) * rng.uniform(174, 179.5), rng.uniform(-20, -15)) for _ in range(20)] + [(2, 171.0, 1.0), (2, 175.0, 3.0), (2, 172.0, 5.0), (3, 10.0, 10.0), (4, None, 1.0)]
+    rows = [(1, rng.choice([-1, 1]) * rng.uniform(174, 179.5), rng.uniform(-20, -15)) for _ in range(20)] + [(1, 179.4, -18.0), (1, -179.4, -17.0), (2, 171.0, 1.0), (2, 175.0, 3.0), (2, 172.0, 5.0), (3, 10.0, 10.0), (4, None, 1.0)]
     got = {(r.grp, r.side): [p for x in r.rings for p in x] for r in hulls.drawn(spark.createDataFrame(rows, POINTS), "grp").collect()}
     assert got.keys() == {(1, "east"), (1, "west"), (2, "whole"), (3, "whole")}
     on = lambda side, lon: [p.lat for p in got[1, side] if p.lon == lon]
