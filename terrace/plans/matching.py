@@ -43,7 +43,7 @@ def _kids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, f AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, child) AS rn FROM pairs) SELECT node, child, score::INT AS score FROM f WHERE rn = 1")
 def t10_best_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each imported name the best child of its anchor: exact, else the first variant or prefix."""
-    return m.best_child(m.child_pairs(_nodes(spark, sf_dir), _kids(spark, sf_dir))).select("node", "child", "score")
+    return m.best_children(_nodes(spark, sf_dir), _kids(spark, sf_dir))
 
 
 @query("WITH p AS (SELECT a.n_name || CASE WHEN a.n_nationkey % 3 = 0 THEN '-east' ELSE '' END AS a, substr(b.n_name, 1, 7 + b.n_nationkey % 4) || CASE WHEN b.n_nationkey % 6 = 0 THEN '-ea' ELSE '' END AS b FROM nation a, nation b), q AS (SELECT a, b, lower(a) AS w, lower(b) AS c FROM p)"

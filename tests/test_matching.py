@@ -109,3 +109,24 @@ def test_pairs_by_beginnings_against_all_pairs(spark):
     every = nodes.select("node", "anchor", text.variants(F.col("name")).alias("w")).join(children.select("child", "anchor", text.normalised(F.col("name")).alias("n"), text.variants(F.col("name")).alias("v")), "anchor")
     want = {(r.node, r.child): r.s for r in every.select("node", "child", text.child_score(F.col("w"), F.col("n"), F.col("v")).alias("s")).filter("s IS NOT NULL").collect()}
     assert got == want and len(want) > 200
+
+
+def test_best_children_and_candidates_of_repeated_names(spark):
+    """Copies of a name are matched once: the same rows as from all pairs, out of no more pairs than distinct names make."""
+    names = ["Anna", "Annabel", "Berg State", "Berg", "x (note)"]
+    nodes = spark.createDataFrame([(i, i // 50, names[i % 5]) for i in range(100)], "node long, anchor long, name string")
+    children = spark.createDataFrame([(i, i // 50, names[i % 4], 1000 - i) for i in range(100)], "child long, anchor long, name string, place long")
+    assert matching.name_pairs(nodes, children).count() == 2 * 6
+    pairs = matching.child_pairs(nodes, children)
+    want = {(r.node, r.child, r.score) for r in matching.best_child(pairs).collect()}
+    assert {tuple(r) for r in matching.best_children(nodes, children).collect()} == want and len(want) == 80
+    counts = {r.node: (r.n, r.best) for r in pairs.groupBy("node").agg(F.count("*").alias("n"), F.max("score").alias("best")).collect()}
+    assert {r.node: (r.n, r.best) for r in matching.candidates(nodes, children).collect()} == {i: counts.get(i, (0, None)) for i in range(100)}
+
+
+def test_names_are_not_broadcast(spark):
+    """A name makes dozens of keys, which the size of a file doesn't show."""
+    nodes = spark.createDataFrame([(1, 1, "Anna")], "node long, anchor long, name string")
+    children = spark.createDataFrame([(1, 1, "Anna", 1)], "child long, anchor long, name string, place long")
+    for df in (matching.best_children(nodes, children), matching.candidates(nodes, children), matching.child_pairs(nodes, children)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
