@@ -77,9 +77,7 @@ def x8_country_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, s AS (SELECT node, count(*) AS n, max(score) AS best FROM pairs GROUP BY node) SELECT node, CASE WHEN n = 1 AND best >= 700 THEN 'auto_matched' WHEN n > 0 THEN 'needs_review' ELSE 'no_candidates' END AS status FROM nodes LEFT JOIN s USING (node)")
 def x9_leaf_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leaf with one good candidate is matched, with others it waits for a look."""
-    nodes = _nodes(spark, sf_dir)
-    found = m.child_pairs(nodes, _kids(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    return nodes.select("node").join(found, "node", "left").select("node", m.leaf_status(F.coalesce("n", F.lit(0)), F.col("best")).alias("status"))
+    return m.candidates(_nodes(spark, sf_dir), _kids(spark, sf_dir)).select("node", m.leaf_status(F.col("n"), F.col("best")).alias("status"))
 
 
 @query(
