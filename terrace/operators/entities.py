@@ -88,38 +88,61 @@ def folds(venues: DataFrame, parents: DataFrame) -> DataFrame:
     spot a venue folds into the strongest one that itself stays there. Cycles lose the fold of their strongest member.
     """
     a, b = venues.alias("a"), venues.alias("b")
-    near = a.join(parents.alias("p"), F.col("a.id") == F.col("p.id")).join(b, F.col("p.parent") == F.col("b.id")).filter((F.col("a.id") != F.col("b.id")) & (metres("a", "b") <= CONTAINER))
+    # Venues are many, though their file may be small: joins of them are told not to broadcast.
+    near = a.join(parents.alias("p").hint("merge"), F.col("a.id") == F.col("p.id")).join(b.hint("merge"), F.col("p.parent") == F.col("b.id")).filter((F.col("a.id") != F.col("b.id")) & (metres("a", "b") <= CONTAINER))
     inside = near.select(F.col("a.id").alias("id"), F.col("b.id").alias("into"), metres("a", "b").alias("m"))
     inside = cut(first_per(inside, ["id"], [F.asc("m"), F.asc("into")]).select("id", "into", F.lit("container").alias("why")))
+    rest = venues.join(inside.select("id").hint("merge"), "id", "left_anti")
+    spot = same_spot(rest).withColumn("why", F.lit("same spot"))
+    return acyclic(cut(inside.unionByName(spot)), venues)
 
+
+def same_spot(venues: DataFrame) -> DataFrame:
+    """id, into: venues (id, lon, lat, works, links) that fold into the strongest one near them that itself stays.
+
+    Strongest first: who has no stronger open neighbour stays, those near it are no longer open, and so on. Only the strongest
+    open venue of a cell asks in a round, and those that stay lie apart: however many venues share a spot, each meets a few.
+    """
     size = SAME_SPOT / MERIDIAN_DEGREE
-    rest = venues.join(inside, "id", "left_anti").withColumn("_strong", F.struct("works", "links", "id"))
     # Degrees of longitude widen to the poles; a cell's column is as wide as its row needs.
-    row = F.floor(F.col("lat") / size).cast("long")
     wide = lambda r: F.lit(size) / F.greatest(F.lit(1e-3), F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(r * size), F.abs((r + 1) * size))))))
-    left = rest.select(F.col("id").alias("x"), F.col("_strong").alias("sx"), F.col("lon").alias("lx"), F.col("lat").alias("tx"), row.alias("_row")).withColumn("_col", F.floor(F.col("lx") / wide(F.col("_row"))).cast("long"))
-    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    right = rest.select(F.col("id").alias("y"), F.col("_strong").alias("sy"), F.col("lon").alias("ly"), F.col("lat").alias("ty"), F.explode(F.transform(step, lambda d: row + d)).alias("_row"))
-    right = right.withColumn("_col", F.explode(F.transform(step, lambda d: F.floor(F.col("ly") / wide(F.col("_row"))).cast("long") + d)))
-    flat = F.sqrt(F.pow((F.col("lx") - F.col("ly")) * F.cos(F.radians(F.col("tx"))) * EQUATOR_DEGREE, F.lit(2)) + F.pow((F.col("tx") - F.col("ty")) * MERIDIAN_DEGREE, F.lit(2)))
-    weaker = cut(left.join(right, ["_row", "_col"]).filter((F.col("sy") > F.col("sx")) & (flat < SAME_SPOT)).select("x", "y", "sy").distinct())
-    # Strongest first: who has no stronger neighbour stays, those near it fold into it, and so on among the rest.
-    spot, open_pairs = None, weaker
-    while not open_pairs.isEmpty():
-        stays = open_pairs.select(F.col("y").alias("k")).distinct().join(open_pairs.select(F.col("x").alias("k")), "k", "left_anti")
-        gone = cut(first_per(open_pairs.join(stays.withColumnRenamed("k", "y"), "y"), ["x"], [F.desc("sy")]).select(F.col("x").alias("id"), F.col("y").alias("into")))
-        spot = gone if spot is None else spot.unionByName(gone)
-        done = gone.select(F.col("id").alias("k"))
-        open_pairs = cut(open_pairs.join(done.withColumnRenamed("k", "x"), "x", "left_anti").join(done.withColumnRenamed("k", "y"), "y", "left_anti").join(stays.withColumnRenamed("k", "y"), "y", "left_anti"))
-    all_folds = inside if spot is None else inside.unionByName(spot.withColumn("why", F.lit("same spot")))
-    return acyclic(cut(all_folds), venues)
+    row = F.floor(F.col("lat") / size).cast("long")
+    cells = venues.select("id", "lon", "lat", F.struct("works", "links", "id").alias("s"), row.alias("_row")).withColumn("_col", F.floor(F.col("lon") / wide(F.col("_row"))).cast("long"))
+    cells = cut(cells)
+
+    def around(df: DataFrame) -> DataFrame:
+        """h (id, lon, lat, s), _row, _col: a row for each cell in which a venue may have neighbours."""
+        steps = lambda n: F.array(*[F.lit(d) for d in range(-n, n + 1)])
+        rows = df.select(F.struct("id", "lon", "lat", "s").alias("h"), F.explode(F.transform(steps(1), lambda d: F.col("_row") + d)).alias("_row"))
+        return rows.withColumn("_col", F.explode(F.transform(steps(2), lambda d: F.floor(F.col("h.lon") / wide(F.col("_row"))).cast("long") + d)))
+
+    def close(x: str, y: str) -> Column:
+        """At the latitude of x, the weaker."""
+        at = lambda c, side: F.col(f"{side}{c}")
+        return F.sqrt(F.pow((at("lon", x) - at("lon", y)) * F.cos(F.radians(at("lat", x))) * EQUATOR_DEGREE, F.lit(2)) + F.pow((at("lat", x) - at("lat", y)) * MERIDIAN_DEGREE, F.lit(2))) < SAME_SPOT
+
+    open_, stays = cells, None
+    while True:
+        heads = cut(open_.groupBy("_row", "_col").agg(F.max_by(F.struct("id", "lon", "lat", "s"), "s").alias("_h")).select("_h.*", "_row", "_col"))
+        if heads.isEmpty():
+            break
+        beaten = open_.join(around(heads).hint("merge"), ["_row", "_col"]).filter((F.col("s") > F.col("h.s")) & close("h.", "")).select(F.col("h.id").alias("id")).distinct()
+        stay = cut(heads.join(beaten.hint("merge"), "id", "left_anti"))
+        stays = stay if stays is None else stays.unionByName(stay)
+        # What is near one that stays is weaker than it, or it would have been asked for.
+        done = open_.join(around(stay).hint("merge"), ["_row", "_col"]).filter((F.col("id") == F.col("h.id")) | ((F.col("s") < F.col("h.s")) & close("", "h."))).select("id").distinct()
+        open_ = cut(open_.join(done.hint("merge"), "id", "left_anti"))
+    if stays is None:
+        return cells.select("id", F.col("id").alias("into")).limit(0)
+    found = cells.join(around(stays).hint("merge"), ["_row", "_col"]).filter((F.col("s") < F.col("h.s")) & close("", "h."))
+    return found.groupBy("id").agg(F.max("h.s").alias("_s")).select("id", F.col("_s.id").alias("into"))
 
 
 def acyclic(all_folds: DataFrame, venues: DataFrame) -> DataFrame:
     """Without the fold of the strongest member of each cycle. Every venue has one fold, so whoever reaches itself is on a cycle."""
     reach = walk(all_folds.select("id"), all_folds.select("id", F.col("into").alias("parent")), 64)
     back = reach.alias("r").join(all_folds.alias("f"), (F.col("r.id") == F.col("f.id")) & (F.col("f.into") == F.col("r.start"))).select(F.col("r.start").alias("id")).distinct()
-    ring = reach.join(back.withColumnRenamed("id", "start"), "start").join(venues.select("id", F.struct("works", "links", "id").alias("_s")), "id")
+    ring = reach.join(back.withColumnRenamed("id", "start"), "start").join(venues.select("id", F.struct("works", "links", "id").alias("_s")).hint("merge"), "id")
     keeper = ring.groupBy("start").agg(F.max_by("id", "_s").alias("id")).select("id").distinct()
     return all_folds.join(keeper, "id", "left_anti")
 

@@ -92,6 +92,15 @@ def test_folds_against_brute_force(spark):
         assert i == end
 
 
+def test_folds_of_crowded_spots(spark):
+    """A weak venue folds into the strongest one that stays, though a weaker one near it is known to stay rounds before; many at one spot make no pairs."""
+    at = lambda k, x, links: (k, x * 20 / 111_320, 0.0, 0, links)  # noqa: E731 - steps of 20 m along the equator
+    row = [at(1, 0, 50), at(2, 1.5, 40), at(3, 3, 30), at(4, 5.5, 20), at(5, 4.5, 10)]
+    crowd = [at(k, 1000, 0) for k in range(100, 400)]
+    got = {r.id: r.into for r in entities.same_spot(spark.createDataFrame(row + crowd, "id long, lon double, lat double, works int, links int")).collect()}
+    assert got == {2: 1, 5: 3, **dict.fromkeys(range(100, 399), 399)}
+
+
 def test_pairs_by_beginnings_against_all_pairs(spark):
     """Every pair that the rules accept meets on a key, whatever the hyphens and empty parts."""
     import random
