@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from terrace.functions import text
 from terrace.operators import hierarchy as h
 from terrace.operators import matching as m
-from terrace.operators.ranking import first_per
 from terrace.operators.steps import cut, small
 from terrace.plans.base import CLOSURE, DIVISIONS, deep_closure, query
 from terrace.plans.names import TRIGRAMS
@@ -101,8 +100,7 @@ def x14_derived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x7_scoped_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every name the five most similar within its scope."""
     nodes = _nodes(spark, sf_dir).select("node", text.without_note(F.col("name")).alias("name"), F.col("anchor").alias("scope"))
-    found = m.similar(nodes, _kids(spark, sf_dir).select(F.col("child").alias("id"), "name", F.col("anchor").alias("scope")))
-    best = first_per(found, ["node"], [F.desc("score"), F.asc("id")], 5)
+    best = m.most_similar(nodes, _kids(spark, sf_dir).select(F.col("child").alias("id"), "name", F.col("anchor").alias("scope")), 5)
     return best.select("node", F.col("id").alias("child"), F.round(F.col("score") * 1000).cast("int").alias("score"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import text
-from terrace.operators import entities, hierarchy, matching
+from terrace.operators import entities, hierarchy, matching, ranking
 
 
 def test_claims_are_taken_in_turn(spark):
@@ -56,6 +56,19 @@ def test_similar_names(spark):
     assert len(got) > 30
 
 
+def test_most_similar_names(spark):
+    """The best of all pairs, with equal scores and copies, out of sets rather than pairs of copies."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randrange(2, 8)))
+    names = [f"customer {word()}" for _ in range(40)] + [word() for _ in range(40)] + ["", "-"]
+    stored = spark.createDataFrame([(i, names[i * 7 % len(names)], i % 2) for i in range(300)], "id long, name string, scope int")
+    nodes = spark.createDataFrame([(i, names[i % len(names)] + ("" if i % 3 else word()), i % 2) for i in range(200)] + [(900, None, 1)], "node long, name string, scope int")
+    want = ranking.first_per(matching.similar(nodes, stored), ["node"], [F.desc("score"), F.asc("id")], 5)
+    want = {(r.node, r.id): r.score for r in want.collect()}
+    got = {(r.node, r.id): r.score for r in matching.most_similar(nodes, stored, 5).collect()}
+    assert got == want and len(want) > 500
+
+
 def test_folds_against_brute_force(spark):
     rng = random.Random(7)
     venues = [(i, rng.choice([0, 1, 2]) * 0.01 + rng.randrange(4) * 0.0002, 50 + rng.randrange(3) * 0.0002, rng.randrange(3), rng.randrange(4)) for i in range(60)]
