@@ -203,15 +203,26 @@ def image_candidates(text: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, lambda f: F.replace(F.trim(f), F.lit(" "), F.lit("_")))), 1, MOST_IMAGES)
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def components(text: Column) -> Column:
     """Array of structs name, ref, lat, lon of `{name: …, ref: …, latitude: …, longitude: …}`, whole ones within range only."""
     objects = F.filter(F.transform(F.split(text, r"\{"), lambda x: F.when(F.contains(x, F.lit("}")), F.substring_index(x, "}", 1))), lambda x: x.isNotNull())
 
     def read(o: Column) -> Column:
-        entries = F.transform(F.split(o, ","), lambda e: F.struct(F.lower(F.trim(F.substring_index(e, ":", 1))).alias("key"), F.trim(F.substring(e, F.instr(e, ":") + 1, F.length(e))).alias("value"), F.contains(e, F.lit(":")).alias("whole")))
-        field = lambda key: F.nullif(F.get(F.filter(entries, lambda e: e["whole"] & (e["key"] == key)), F.lit(0))["value"], F.lit(""))
+        return bound(entries_of(o), fields)
+
+    def entries_of(o: Column) -> Column:
+        return F.transform(F.split(o, ","), lambda e: F.struct(F.lower(F.trim(F.substring_index(e, ":", 1))).alias("key"), F.trim(F.substring(e, F.instr(e, ":") + 1, F.length(e))).alias("value"), F.contains(e, F.lit(":")).alias("whole")))
+
+    def fields(entries: Column) -> Column:
+        field = lambda key: F.get(F.filter(entries, lambda e: e["whole"] & (e["key"] == key)), F.lit(0))["value"]
+        named = lambda key: bound(field(key), lambda v: F.when(v != "", v))
         degrees = lambda key: F.regexp_extract(field(key), r"^-?\d*\.?\d+", 0).try_cast("double")
-        return F.struct(field("name").alias("name"), field("ref").alias("ref"), degrees("latitude").alias("lat"), degrees("longitude").alias("lon"))
+        return F.struct(named("name").alias("name"), named("ref").alias("ref"), degrees("latitude").alias("lat"), degrees("longitude").alias("lon"))
 
     whole = lambda c: c["name"].isNotNull() & c["ref"].isNotNull() & in_range(c["lat"], c["lon"])
     return F.filter(F.transform(objects, read), whole)
@@ -223,14 +234,18 @@ def in_range(lat: Column, lon: Column) -> Column:
 
 def medoid(places: Column) -> Column:
     """Of structs lat, lon the one nearest to their mean latitude and mean direction of longitude, the first of equals; null of none."""
+    return bound(places, _medoid)
+
+
+def _medoid(places: Column) -> Column:
     n = F.size(places)
     total = lambda of: F.aggregate(places, F.lit(0.0), lambda t, p: t + of(p))
     lat = total(lambda p: p["lat"]) / n
     lon = F.degrees(F.atan2(total(lambda p: F.sin(F.radians(p["lon"]))), total(lambda p: F.cos(F.radians(p["lon"])))))
-    turn = lambda p: F.pmod(F.abs(p["lon"] - lon), F.lit(360.0))
-    short = lambda p: F.when(turn(p) > 180, 360 - turn(p)).otherwise(turn(p))
-    far = F.transform(places, lambda p, k: F.struct((F.pow(p["lat"] - lat, F.lit(2)) + F.pow(short(p) * F.cos(F.radians(lat)), F.lit(2))).alias("d"), k.alias("k")))
-    return F.when(n > 0, F.get(places, F.array_min(far)["k"]))
+    turn = lambda p, c: F.pmod(F.abs(p["lon"] - c["lon"]), F.lit(360.0))
+    short = lambda p, c: F.when(turn(p, c) > 180, 360 - turn(p, c)).otherwise(turn(p, c))
+    far = lambda c: F.transform(places, lambda p, k: F.struct((F.pow(p["lat"] - c["lat"], F.lit(2)) + F.pow(short(p, c) * F.cos(F.radians(c["lat"])), F.lit(2))).alias("d"), k.alias("k")))
+    return F.when(n > 0, F.get(places, bound(F.struct(lat.alias("lat"), lon.alias("lon")), lambda c: F.array_min(far(c)))["k"]))
 
 
 def criteria_tags(text: Column) -> Column:
@@ -261,8 +276,12 @@ def coordinates(text: Column) -> Column:
     The text is cut into tokens, each of one kind: 0 a number, d m s marks of degrees, minutes and seconds, N S E W
     directions, A and O labels, and signs. The forms are patterns of kinds; a kind's place is its token's.
     """
-    t = F.trim(text)
-    tokens = F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d*)?|[A-Za-z]+|[^\sA-Za-z\d]"), F.lit(0))
+    tokens_of = lambda t: F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d*)?|[A-Za-z]+|[^\sA-Za-z\d]"), F.lit(0))
+    return bound(F.trim(text), lambda t: bound(tokens_of(t), lambda tokens: bound(_shape(tokens), lambda shape: _first_form(t, tokens, shape))))
+
+
+def _shape(tokens: Column) -> Column:
+    """A letter for each token's kind."""
     marks = {"°": "d", "′": "m", "'": "m", "″": "s", '"': "s", "@": "@", ":": "=", "=": "=", ",": ",", ";": ","}
     kinds = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
     labels = {"lat": "A", "latitude": "A", "lng": "O", "lon": "O", "longitude": "O"}
@@ -273,34 +292,42 @@ def coordinates(text: Column) -> Column:
         first = F.upper(F.substring(token, 1, 1))
         return F.when(token.rlike(r"^-?\d"), "0").when(word, F.coalesce(F.try_element_at(names, F.lower(token)), F.when(first.isin("N", "S", "E", "W"), first), F.lit("x"))).otherwise(F.coalesce(F.try_element_at(kinds, token), F.lit("x")))
 
-    shape = F.array_join(F.transform(tokens, kind_of), "")
+    return F.array_join(F.transform(tokens, kind_of), "")
+
+
+def _first_form(t: Column, tokens: Column, shape: Column) -> Column:
     number = lambda i: F.get(tokens, i).try_cast("double")
     place = lambda pattern: F.regexp_instr(shape, F.lit(pattern)) - 1
 
-    def pair(pattern: str, lat: int, lon: int, least: int = 1) -> tuple[Column, Column]:
+    both = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    def pair(pattern: str, lat: int, lon: int, least: int = 1) -> Column:
         """The numbers that stand so many tokens behind a pattern's place."""
-        at = place(pattern)
+        return bound(place(pattern), lambda at: numbers(at, lat, lon, least))
+
+    def numbers(at: Column, lat: int, lon: int, least: int) -> Column:
         there = (at >= 0) & (F.length(F.regexp_replace(F.get(tokens, at + lat), "[^0-9]", "")) >= least) & (F.length(F.regexp_replace(F.get(tokens, at + lon), "[^0-9]", "")) >= least)
-        return F.when(there, number(at + lat)), F.when(there, number(at + lon))
+        return F.when(there, both(number(at + lat), number(at + lon)))
 
-    def directed(pattern: str, value) -> tuple[Column, Column]:
+    def directed(pattern: str, value) -> Column:
         """The two values of a pattern that ends in a direction; there must be just two."""
         ends = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: F.substring(shape, F.lit(1), i).rlike(pattern + "$"))
+        return bound(ends, lambda found: F.when(F.size(found) == 2, of_ends(found, value)))
+
+    def of_ends(ends: Column, value) -> Column:
         parts = F.transform(ends, lambda i: F.struct(F.substring(shape, i, F.lit(1)).alias("d"), F.abs(value(i)).alias("v")))
         signed = F.transform(parts, lambda p: F.struct(p["d"].alias("d"), F.when(p["d"].isin("S", "W"), -p["v"]).otherwise(p["v"]).alias("v")))
-        of = lambda a, b: F.get(F.filter(signed, lambda p: p["d"].isin(a, b)), F.lit(0))["v"]
-        two = F.size(ends) == 2
-        return F.when(two, of("N", "S")), F.when(two, of("E", "W"))
+        of = lambda rows, a, b: F.get(F.filter(rows, lambda p: p["d"].isin(a, b)), F.lit(0))["v"]
+        return bound(signed, lambda rows: both(of(rows, "N", "S"), of(rows, "E", "W")))
 
     words = F.filter(F.split(t, r"[,;\s]+"), lambda x: x != "")
-    plain = F.size(words) == 2
     forms = [
         pair("@0,0", 1, 3, least=2), pair("A=0,O=0", 2, 6), pair("O=0,A=0", 6, 2),
         directed("0d0m0s[NSEW]", lambda i: F.abs(number(i - 7)) + number(i - 5) / 60 + number(i - 3) / 3600),
         directed("0d?[NSEW]", lambda i: F.when(F.substring(shape, i - 1, F.lit(1)) == "d", number(i - 3)).otherwise(number(i - 2))),
-        (F.when(plain, F.get(words, F.lit(0)).try_cast("double")), F.when(plain, F.get(words, F.lit(1)).try_cast("double"))),
+        bound(words, lambda w: F.when(F.size(w) == 2, both(F.get(w, F.lit(0)).try_cast("double"), F.get(w, F.lit(1)).try_cast("double")))),
     ]
-    return F.coalesce(*[F.when(in_range(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon"))) for lat, lon in forms])
+    return F.coalesce(*[bound(form, lambda p: F.when(in_range(p["lat"], p["lon"]), p)) for form in forms])
 
 
 def shortest_edits(a: list[str], b: list[str]) -> list[tuple[int, int]]:

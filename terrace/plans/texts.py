@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import wikitext as w
 from terrace.operators.ranking import first_per
-from terrace.operators.steps import cut, small
+from terrace.operators.steps import cut, small, spread
 from terrace.plans.base import query
 from terrace.sources.tables import LINE_ID, table
 
@@ -114,8 +114,8 @@ def x28_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = forms[6]
     for n, form in enumerate(forms[:6]):
         out = F.when(k % 7 == n, form).otherwise(out)
-    rows = table(spark, sf_dir, "part").select(k.alias("id"), w.coordinates(out).alias("c"))
-    return rows.select("id", F.round("c.lat", 9).alias("lat"), F.round("c.lon", 9).alias("lon"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    return rows.select(k.alias("id"), F.inline(F.array(w.coordinates(out)))).select("id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
 @query(

@@ -145,3 +145,12 @@ def test_differences_keep_every_character(spark):
 def test_kinds_and_tags(spark):
     row = one(spark, "(i)(IV) x(vi (q)(x)", w.criteria_tags(F.col("t")).alias("c"))
     assert row.c == ["criterion_i", "criterion_iv", "criterion_x"]
+
+
+def test_values_that_are_used_often_are_computed_once(spark):
+    """Tokens, kinds, entries and centres are bound: the expressions stay short, as every use of a value repeats its expression."""
+    rows = spark.createDataFrame([("48°51'30\"N, 2°21'0\"E",)], "t string")
+    plan = rows.select(w.coordinates(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    listed = rows.select(w.medoid(w.components(F.col("t"))).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert listed.count("split(t") == 1
