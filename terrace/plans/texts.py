@@ -83,7 +83,7 @@ def x20_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x21_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component nearest to the middle of all, over the antimeridian too."""
-    return _pieces(spark, sf_dir).filter(F.size("parts") > 0).select("id", w.medoid(F.col("parts"))["ref"].alias("ref"))
+    return _pieces(spark, sf_dir).select("id", F.inline(F.transform(F.filter(F.array("parts"), lambda p: F.size(p) > 0), lambda p: F.struct(w.medoid(p)["ref"].alias("ref")))))
 
 
 @query(
