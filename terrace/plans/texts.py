@@ -72,8 +72,9 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PIECES} SELECT id, count(*) AS parts, string_agg(name || '/' || ref, ',' ORDER BY k) AS names FROM pieces WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY id")
 def x20_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components out of a text; incomplete and impossible ones are left out."""
-    rows = _pieces(spark, sf_dir).filter(F.size("parts") > 0)
-    return rows.select("id", F.size("parts").cast("long").alias("parts"), F.array_join(F.transform("parts", lambda p: F.concat(p["name"], F.lit("/"), p["ref"])), ",").alias("names"))
+    shown = lambda parts: F.struct(F.size(parts).cast("long").alias("parts"), F.array_join(F.transform(parts, lambda p: F.concat(p["name"], F.lit("/"), p["ref"])), ",").alias("names"))
+    # One generator reads a text once; a filter of its own would read it again.
+    return _pieces(spark, sf_dir).select("id", F.inline(F.filter(F.transform(F.array("parts"), shown), lambda s: s["parts"] > 0)))
 
 
 @query(
