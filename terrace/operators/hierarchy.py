@@ -93,18 +93,19 @@ def rolled_up(lines: DataFrame, facts: DataFrame, aggregates: list[Column]) -> D
 def simplified(members: DataFrame, tree: DataFrame) -> DataFrame:
     """group_id, division: wherever a group has all children of a parent, the parent stands for them; to the fixpoint.
 
-    Each round lifts one level everywhere, so there are at most as many rounds as the tree is deep.
+    Each round lifts one level everywhere, so there are at most as many rounds as the tree is deep. Both tables are large,
+    though their files may be small: joins are told not to broadcast.
     """
     children = tree.filter("parent_id IS NOT NULL").select(F.col("id").alias("division"), F.col("parent_id").alias("parent"))
     totals = children.groupBy("parent").agg(F.count("*").alias("children"))
     held = cut(members.select("group_id", "division").distinct())
     while True:
-        placed = held.join(children, "division", "left")
-        full = placed.groupBy("group_id", "parent").agg(F.count("*").alias("n")).join(totals, "parent").filter("n = children").select("group_id", "parent")
+        placed = held.join(children.hint("merge"), "division", "left")
+        full = placed.groupBy("group_id", "parent").agg(F.count("*").alias("n")).join(totals.hint("merge"), "parent").filter("n = children").select("group_id", "parent")
         full = cut(full)
         if full.isEmpty():
             return held
-        rest = placed.join(full, ["group_id", "parent"], "left_anti").select("group_id", "division")
+        rest = placed.join(full.hint("merge"), ["group_id", "parent"], "left_anti").select("group_id", "division")
         held = cut(rest.unionByName(full.select("group_id", F.col("parent").alias("division"))).distinct())
 
 

@@ -130,3 +130,13 @@ def test_components_of_all_order_lines(spark):
         tied[high] = low
     got = {r.id: r.component for r in QUERIES["g13_all_components"](spark, FOLDER).collect()}
     assert got == {n: end(n) for n in tied}
+
+
+def test_simplified_does_not_broadcast(spark, monkeypatch):
+    """Trees and members are large, though their files may be small."""
+    plans, cut = [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    tree = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 1, "c")], "id long, parent_id long, name string")
+    got = hierarchy.simplified(spark.createDataFrame([(7, 2), (7, 3)], "group_id long, division long"), tree)
+    assert [tuple(r) for r in got.collect()] == [(7, 1)]
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
