@@ -137,8 +137,18 @@ def drawn_hulls(points: DataFrame, key: str, reach: float) -> DataFrame:
 
     A group with points beyond 150 degrees on both sides of the antimeridian is drawn over it, with longitudes up to 360.
     """
+    known = points.filter("lon IS NOT NULL AND lat IS NOT NULL")
+    first, last = F.min(F.struct("lon", "lat")), F.max(F.struct("lon", "lat"))
     crosses = points.groupBy(key).agg((F.bool_or(F.col("lon") > 150) & F.bool_or(F.col("lon") < -150)).alias("_over"))
-    moved = points.join(crosses, key).withColumn("lon", F.when(F.col("_over") & (F.col("lon") < 0), F.col("lon") + 360).otherwise(F.col("lon")))
+    over = F.when(F.col("_over") & (F.col("lon") < 0), F.col("lon") + 360).otherwise(F.col("lon"))
+    moved = known.join(crosses.hint("merge"), key).select(key, over.alias("lon"), "lat")
+    # A group whose points are the least and the greatest alone needs no hull, and there may be millions of such groups.
+    ends = moved.groupBy(key).agg(first.alias("_a"), last.alias("_b"))
+    between = (F.struct("lon", "lat") != F.col("_a")) & (F.struct("lon", "lat") != F.col("_b"))
+    sizes = moved.join(ends.hint("merge"), key).groupBy(key).agg(F.bool_or(between).alias("_many"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    corners = lambda *names: F.array(*[F.array(F.col(n)["lon"], F.col(n)["lat"]) for n in names])
+    few = sizes.filter("NOT _many").select(key, F.when(F.col("_a") == F.col("_b"), corners("_a")).otherwise(corners("_a", "_b")).alias("ring"))
+    large = moved.join(sizes.filter("_many").select(key).hint("merge"), key, "left_semi")
     at = lambda k: F.get("ring", F.lit(k))
     a, b = at(0), at(1)
     x, y = b[1] - a[1], a[0] - b[0]
@@ -147,7 +157,7 @@ def drawn_hulls(points: DataFrame, key: str, reach: float) -> DataFrame:
     corner = lambda p, u, v: F.array(p[0] + u, p[1] + v)
     square = F.array(*[corner(a, F.lit(u * reach), F.lit(v * reach)) for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
     band = F.array(corner(a, dx, dy), corner(b, dx, dy), corner(b, -dx, -dy), corner(a, -dx, -dy))
-    return hulls(moved, key).select(key, F.when(F.size("ring") == 1, square).when(F.size("ring") == 2, band).otherwise(F.col("ring")).alias("ring"))
+    return few.unionByName(hulls(large, key).select(key, "ring")).select(key, F.when(F.size("ring") == 1, square).when(F.size("ring") == 2, band).otherwise(F.col("ring")).alias("ring"))
 
 
 def outer_edges(edges: DataFrame, key: str) -> DataFrame:

@@ -140,3 +140,13 @@ def test_simplified_does_not_broadcast(spark, monkeypatch):
     got = hierarchy.simplified(spark.createDataFrame([(7, 2), (7, 3)], "group_id long, division long"), tree)
     assert [tuple(r) for r in got.collect()] == [(7, 1)]
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_hulls_of_few_points_need_no_group(spark, monkeypatch):
+    """Only groups of more than two distinct points are sent to the chain."""
+    sent, hulls = [], spatial.hulls
+    monkeypatch.setattr(spatial, "hulls", lambda points, key: sent.append({r[0] for r in points.select(key).collect()}) or hulls(points, key))
+    rows = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 179.0, 1.0), (2, -179.0, 1.0), (2, 179.0, 1.0), (3, 0.0, 0.0), (3, 1.0, 0.0), (3, 0.0, 1.0), (4, None, None)]
+    got = {r.k: r.ring for r in spatial.drawn_hulls(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 0.5).collect()}
+    assert sent == [{3}]
+    assert got == {1: [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5]], 2: [[179.0, 0.5], [181.0, 0.5], [181.0, 1.5], [179.0, 1.5]], 3: [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]}
