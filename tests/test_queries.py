@@ -150,3 +150,13 @@ def test_hulls_of_few_points_need_no_group(spark, monkeypatch):
     got = {r.k: r.ring for r in spatial.drawn_hulls(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 0.5).collect()}
     assert sent == [{3}]
     assert got == {1: [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5]], 2: [[179.0, 0.5], [181.0, 0.5], [181.0, 1.5], [179.0, 1.5]], 3: [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]}
+
+
+def test_visits_of_equal_crowds(spark):
+    """Places that the same users saw are one row by object; an object's other places count in its total."""
+    from terrace.plans.catalogue_reads import visited_objects
+
+    offered = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 11), (2, 12), (3, 13)], "object_id long, o long")
+    seen = spark.createDataFrame([(5, 10), (5, 11), (6, 10), (6, 11), (7, 12)], "user_id long, o long")
+    got = {tuple(r) for r in visited_objects(offered, seen, F.col("user_id") + F.col("object_id") == 7).collect()}
+    assert got == {(5, 1, 3, "visited"), (6, 2, 1, "partial"), (7, 2, 1, "partial")}
