@@ -109,8 +109,14 @@ def nearest_borders(points: DataFrame, polygons: DataFrame, reach: float = 50_00
     """place, area, metres: the polygon whose border is nearest to each point, however far (0 inside); the least id of equals.
 
     A reach that grows fourfold is searched; points that found a border leave. All border points within the reach were looked
-    at, so the best of them is the nearest of all.
+    at, so the best of them is the nearest of all. Points of one spot are searched as one.
     """
+    spots = cut(points.select("lon", "lat").distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    found = _nearest_of_spots(spots.withColumnRenamed("_spot", "place"), polygons, reach).withColumnRenamed("place", "_spot")
+    return points.join(spots.join(found, "_spot").hint("merge"), ["lon", "lat"]).select("place", "area", "metres")
+
+
+def _nearest_of_spots(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
     inside = points_in_areas(points, polygons).groupBy("place").agg(F.min("area").alias("area")).withColumn("metres", F.lit(0.0))
     done, rest = cut(inside), points.select("place", "lon", "lat")
     rest = cut(rest.join(done, "place", "left_anti"))

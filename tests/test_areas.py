@@ -188,3 +188,14 @@ def test_multipolygons_from_text(spark):
     rows = [('{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[0,1],[0,0]]],[[[5,5],[6,5],[5,6],[5,5]],[[5.1,5.1],[5.2,5.1],[5.1,5.2],[5.1,5.1]]]]}',), ('{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,1],[0,0]]]}',), ('{"type":"Point","coordinates":[1,2]}',), ("no",)]
     got = spark.createDataFrame(rows, "t string").select(polygon.parts_from_geojson(F.col("t")).alias("p"), polygon.from_geojson(F.col("t")).alias("r")).collect()
     assert [p and [len(x) for x in p] for p, _ in got] == [[1, 2], [1], None, None] and [r and len(r) for _, r in got] == [3, 1, None, None]
+
+
+def test_points_of_one_spot_are_searched_as_one(spark, monkeypatch):
+    searched, inner = [], areas._nearest_of_spots
+    monkeypatch.setattr(areas, "_nearest_of_spots", lambda points, *rest: searched.append(points.count()) or inner(points, *rest))
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    polygons = spark.createDataFrame([(7, [ring])], "area long, rings array<array<struct<lon:double,lat:double>>>")
+    points = spark.createDataFrame([(k, 0.5, 0.5) for k in range(20)] + [(99, 2.0, 0.5)], "place long, lon double, lat double")
+    got = {r.place: (r.area, r.metres > 0) for r in areas.nearest_borders(points, polygons, 500_000.0).collect()}
+    assert got == {k: (7, k == 99) for k in [*range(20), 99]}
+    assert searched == [2]
