@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators import changes as c
 from terrace.operators.ranking import first_per, page
+from terrace.operators.steps import cut
 from terrace.plans.base import HAVERSINE, query
 from terrace.sources.tables import LINE_ID, table
 
@@ -164,13 +165,13 @@ ARMS = PAIRED + """, arms AS (SELECT i.object_id, i.ordinal, p.place, CASE WHEN
 
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, stored = _incoming(spark, sf_dir), _lines(spark, sf_dir)
-    return c.arms(incoming, stored, c.paired_places(incoming, stored))
+    return c.arms(incoming, stored)
 
 
 @query(ARMS + " SELECT * FROM arms")
 def c6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run does with each incoming and each stored place."""
-    return _arms(spark, sf_dir)
+    return _arms(spark, sf_dir).select("object_id", "ordinal", "place", "arm")
 
 
 @query(ARMS + " SELECT object_id, count(*) FILTER (arm = 'insert') AS added, count(*) FILTER (arm = 'withdraw') AS withdrawn, count(*) FILTER (arm = 'return') AS returned, count(*) FILTER (arm = 'keep') AS kept FROM arms GROUP BY ALL HAVING added + withdrawn + returned > 0")
@@ -192,10 +193,8 @@ def c11_contents_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c7_w5_deferred_withdrawals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arrival a withdrawn place waits for: by reference, then what is left by position."""
-    lines, incoming, arms = _lines(spark, sf_dir), _incoming(spark, sf_dir), _arms(spark, sf_dir)
-    gone = arms.filter("arm = 'withdraw'").join(lines.select("place", "ref"), "place").select("object_id", F.col("place").alias("id"), "ref")
-    new = arms.filter("arm = 'insert'").select("object_id", "ordinal").join(incoming.select("object_id", "ordinal", "ref"), ["object_id", "ordinal"]).select("object_id", F.col("ordinal").alias("id"), "ref")
-    return c.deferred(gone, new)
+    rows = _arms(spark, sf_dir).filter("arm IN ('withdraw', 'insert')")
+    return c.deferred(rows.select("object_id", F.coalesce("ordinal", "place").alias("id"), "ref", (F.col("arm") == "insert").alias("arrived")))
 
 
 @query(
@@ -247,7 +246,7 @@ PAGES = {
 )
 def c13_x18_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight queues, each its first page with the total: the latest decision first, undecided rows last."""
-    log = c.cut(_log(spark, sf_dir))
+    log = cut(_log(spark, sf_dir))
     order = [F.when(F.col("object_id") % 3 != 0, F.col("object_id")).desc_nulls_last(), F.asc("change_id")]
     out = None
     for name, which in PAGES.items():

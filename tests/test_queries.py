@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import text
-from terrace.operators import graph, hierarchy, spatial
+from terrace.operators import changes, graph, hierarchy, spatial
 from terrace.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -160,3 +160,23 @@ def test_visits_of_equal_crowds(spark):
     seen = spark.createDataFrame([(5, 10), (5, 11), (6, 10), (6, 11), (7, 12)], "user_id long, o long")
     got = {tuple(r) for r in visited_objects(offered, seen, F.col("user_id") + F.col("object_id") == 7).collect()}
     assert got == {(5, 1, 3, "visited"), (6, 2, 1, "partial"), (7, 2, 1, "partial")}
+
+
+def test_deferred_withdrawals_are_shuffled_once(spark):
+    """By object; whatever follows groups within objects."""
+    plan = QUERIES["c7_w5_deferred_withdrawals"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_arms_and_what_waits(spark):
+    incoming = [(1, 10, "a", 0.0, 0.0), (1, 11, "a", 0.0, 0.0), (1, 12, None, 5.0, 5.0), (1, 13, "b", 0.0, 0.0), (2, 14, None, 5.0, 5.00001), (None, 15, "a", 0.0, 0.0)]
+    stored = [(1, 20, "a", 0.0, 0.00001, False, False), (1, 21, "a", 9.0, 9.0, False, False), (1, 22, None, 5.0, 5.0, True, False), (1, 23, "b", 9.0, 9.0, False, True), (2, 24, None, 5.0, 5.0, False, None), (2, 25, "z", 0.0, 0.0, True, False), (None, 26, "a", 0.0, 0.0, False, False)]
+    a, b = spark.createDataFrame(incoming, "object_id long, ordinal long, ref string, lon double, lat double"), spark.createDataFrame(stored, "object_id long, place long, ref string, lon double, lat double, missing boolean, claimed boolean")
+    got = changes.arms(a, b)
+    assert {(r.object_id, r.ordinal, r.place, r.arm) for r in got.collect()} == {
+        (1, 10, 20, "keep"), (1, 11, None, "insert"), (1, 12, 22, "return"), (1, 13, 23, "keep"), (2, 14, None, "insert"), (None, 15, None, "insert"),
+        (1, None, 21, "withdraw"), (2, None, 24, "withdraw"), (None, None, 26, "withdraw"),
+    }
+    assert {(r.ordinal, r.place) for r in changes.paired_places(a, b).collect()} == {(10, 20), (12, 22), (13, 23)}
+    rows = got.filter("arm IN ('withdraw', 'insert')").selectExpr("object_id", "coalesce(ordinal, place) AS id", "ref", "arm = 'insert' AS arrived")
+    assert {tuple(r) for r in changes.deferred(rows).collect()} == {(1, 21, 11), (2, 24, 14)}
