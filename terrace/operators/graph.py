@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.operators.steps import cut
+from terrace.operators.steps import by_key, cut
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (the least id in reach). nodes: id; edges: a, b in either direction.
+def components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """id, component (the least id in reach). nodes: id; None: the ends of edges. edges: a, b in either direction.
 
     In a round the lesser neighbours of a node are tied to the least of them and ties jump to where their end is tied; paths
-    halve. Keys are the greater ends, so that a large component is no large group.
+    halve. Keys are the greater ends, so that a large component is no large group. Ties are dealt over tasks by their number.
     """
-    ties = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    given = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    ties = given.filter("a <> b")
     while True:
-        least = cut(ties.groupBy("a").agg(F.min("b").alias("p")))
-        rows = ties.withColumn("p", F.min("b").over(Window.partitionBy("a")))
-        tie = lambda x, new: F.struct(F.col(x).alias("a"), F.col("p").alias("b"), F.lit(new).alias("changed"))
-        hooked = rows.select(F.inline(F.when(F.col("b") == F.col("p"), F.array(tie("a", False))).otherwise(F.array(tie("a", True), tie("b", True)))))
+        rows = ties.count()
+        dealt = by_key(ties, rows, "a").dropDuplicates(["a", "b"])
+        least = cut(dealt.groupBy("a").agg(F.min("b").alias("p")))
         ends = least.select(F.col("a").alias("end"), F.col("p").alias("next"))
-        jumped = hooked.join(ends, F.col("b") == F.col("end"), "left").select("a", F.coalesce("next", "b").alias("b"), (F.col("changed") | F.col("next").isNotNull()).alias("changed"))
-        rows = cut(jumped.groupBy("a", "b").agg(F.bool_or("changed").alias("changed")))
-        ties = rows.select("a", "b")
-        if rows.filter("changed").isEmpty():
+        jump = least.join(ends, F.col("p") == F.col("end"), "left").select(F.col("a").alias("_a"), "p", F.coalesce("next", "p").alias("q"), F.col("next").isNotNull().alias("moved"))
+        tied = dealt.join(by_key(cut(jump), rows, "_a"), F.col("a") == F.col("_a"))
+        tied = cut(tied.select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("q").alias("b"), ((F.col("b") != F.col("p")) | F.col("moved")).alias("changed")))
+        ties = tied.select("a", "b")
+        if tied.filter("changed").isEmpty():
             break
-    return nodes.select("id").join(ties.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
+    stars = ties.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if nodes is not None:
+        return nodes.select("id").join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    own = ties.select(F.col("b").alias("id")).unionByName(given.filter("a = b").select(F.col("a").alias("id"))).distinct().withColumn("component", F.col("id"))
+    return by_key(stars.unionByName(own), rows, "id").groupBy("id").agg(F.min("component").alias("component"))
 
 
 def bounded_closure(edges: DataFrame, roots: DataFrame, hops: int = 3, growth: int = 3, floor: int = 300, most: int = 2000) -> tuple[DataFrame, DataFrame]:

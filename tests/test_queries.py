@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import text
-from terrace.operators import changes, graph, hierarchy, spatial
+from terrace.operators import changes, graph, hierarchy, spatial, steps
 from terrace.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -180,3 +180,14 @@ def test_arms_and_what_waits(spark):
     assert {(r.ordinal, r.place) for r in changes.paired_places(a, b).collect()} == {(10, 20), (12, 22), (13, 23)}
     rows = got.filter("arm IN ('withdraw', 'insert')").selectExpr("object_id", "coalesce(ordinal, place) AS id", "ref", "arm = 'insert' AS arrived")
     assert {tuple(r) for r in changes.deferred(rows).collect()} == {(1, 21, 11), (2, 24, 14)}
+
+
+def test_components_take_more_tasks_for_more_edges(spark, monkeypatch):
+    """However many edges there are, a task has TASK_ROWS of them, or about so."""
+    tasks, cut = [], graph.cut
+    monkeypatch.setattr(steps, "TASK_ROWS", 10)
+    monkeypatch.setattr(graph, "cut", lambda df: tasks.append(df.rdd.getNumPartitions()) or cut(df))
+    edges = [(k, k + 1) for k in range(200) if k % 7] + [(900, 900), (3, 3), (4, 3)]
+    got = {r.id: r.component for r in graph.components(None, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {900: 900} | {k: k - (k - 1) % 7 for k in range(1, 201)}
+    assert max(tasks) >= 17
