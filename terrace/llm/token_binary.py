@@ -22,7 +22,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +40,12 @@ HELD = 95
 HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQ4s")
 FLUSH = 128 * BLOCK
-#: A worker keeps the ids of at most twice so many parts of words of at most so many characters, from task to task.
+#: A worker keeps the ids of at most so many pieces, and of twice so many parts of words of at most so many characters, from task to task.
 WORDS, LONGEST = 500_000, 64
 #: Texts of about so many bytes are encoded at a time.
 BATCH_BYTES = 1 << 22
+#: So many parts of words are encoded as one text.
+LINES = 256
 
 #: White space other than space and newline; a text with it, or with two of any in a row, is encoded whole.
 _UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -53,12 +54,18 @@ _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-
 _encoders: dict = {}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of flat that start there, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts from a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer starts a token at a space, and at and after a newline, that stands between two characters which
-    are no white space. So a text is cut there, the different pieces of a batch are cut into word and signs, and each
-    part that isn't known yet is encoded by the library. A file whose pre-tokenizer is another, or that normalises or adds
+    are no white space. So a text is cut there; the different pieces of a batch are looked up in a table of those
+    asked for lately, the others are cut into word and signs, and each part that isn't known yet is encoded by the library. A file whose pre-tokenizer is another, or that normalises or adds
     to a text, has its texts encoded whole.
     """
 
@@ -68,11 +75,16 @@ class Encoder:
         self.tokenizer, self.words = Tokenizer.from_file(path), WORDS if words is None else words
         made = json.loads(self.tokenizer.to_str())
         first = made.get("pre_tokenizer") or {}
-        self.parts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not made.get("normalizer")
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+        self.parts = self.newline is not None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not made.get("normalizer")
         self.forget()
 
     def forget(self) -> None:
         self.known, self.older, self.long = {}, {}, []
+        # The table: pieces, where their ids stand in flat, how many, and when they were asked for last.
+        self.pieces, self.flat, self.turn = None, np.empty(0, "<u4"), 0
+        self.starts, self.sizes, self.asked = (np.empty(0, np.int64) for _ in range(3))
 
     def learn(self, parts: set[str]) -> None:
         """Makes the ids of parts known; parts that long weren't asked for are forgotten, and long parts at once."""
@@ -83,13 +95,54 @@ class Encoder:
         self.long = [x for x in parts if len(x) > LONGEST]
         fresh = []
         for x in parts.difference(self.known):
-            if x in self.older:
+            if x == "\n":
+                self.known[x] = np.array([self.newline], "<u4").tobytes()
+            elif x in self.older:
                 self.known[x] = self.older[x]
             else:
                 fresh.append(x)
-        if fresh:
-            for x, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.known[x] = array("I", got.ids).tobytes()
+        # Many parts are encoded as the lines of one text, as a newline is always a token of its own.
+        lines = [fresh[k : k + LINES] for k in range(0, len(fresh), LINES)]
+        for group, got in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False) if lines else (), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) * 4
+            if len(ends) != len(group):  # an added token of the file took a newline with it
+                self.known |= {x: np.array(one.ids, "<u4").tobytes() for x, one in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True)}
+                continue
+            data, start = ids.tobytes(), 0
+            for x, end in zip(group, ends.tolist(), strict=True):
+                self.known[x] = data[start:end]
+                start = end + 4
+
+    def placed(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of the different pieces has its own and how many."""
+        table = pieces.slice(0, 0) if self.pieces is None else self.pieces
+        at = pc.fill_null(pc.index_in(pieces, value_set=table), -1).to_numpy().astype(np.int64)
+        missed, self.turn = np.flatnonzero(at < 0), self.turn + 1
+        new = pieces.take(pa.array(missed))
+        cut = [self._parts(x) for x in new.to_pylist()]
+        self.learn({x for parts in cut for x in parts})
+        known = self.known
+        coded = [b"".join([known[x] for x in parts]) for parts in cut]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        self.asked[at[at >= 0]] = self.turn
+        at[missed] = len(self.sizes) + np.arange(len(missed))
+        self.pieces, self.asked = pa.concat_arrays([table, new]), np.append(self.asked, np.full(len(missed), self.turn))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.sizes, self.flat = np.append(self.sizes, lengths), np.append(self.flat, np.frombuffer(b"".join(coded), "<u4"))
+        found = self.flat, self.starts[at], self.sizes[at]
+        short = pc.less_equal(pc.binary_length(new), 2 * LONGEST).to_numpy(zero_copy_only=False)
+        if len(self.sizes) > self.words or not short.all():
+            self._keep(np.append(np.full(len(table), True), short))
+        return found
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Keeps these rows of the table; where they are too many, those asked for last."""
+        rows = np.flatnonzero(kept)
+        if len(rows) > self.words:
+            rows = np.sort(rows[np.argsort(-self.asked[rows], kind="stable")[: self.words // 2]])
+        self.pieces, self.asked = self.pieces.take(pa.array(rows)), self.asked[rows]
+        self.flat, self.starts, self.sizes = gathered(self.flat, self.starts[rows], self.sizes[rows]), np.cumsum(self.sizes[rows]) - self.sizes[rows], self.sizes[rows]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's."""
@@ -99,17 +152,9 @@ class Encoder:
         # The first piece bears a carriage return, those at a newline the newline; others lack their space.
         pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", even, ""), "\n", " \n"), " ")
         words = pieces.flatten().dictionary_encode()
-        cut = [self._parts(x) for x in words.dictionary.to_pylist()]
-        self.learn({x for parts in cut for x in parts})
-        known = self.known
-        coded = [b"".join([known[x] for x in parts]) for parts in cut]
-
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(coded), "<u4")
+        flat, starts, sizes = self.placed(words.dictionary)
         at = words.indices.to_numpy()
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = gathered(flat, starts[at], sizes[at]), np.cumsum(sizes[at])
         bounds = np.append(0, ends)[np.asarray(pieces.offsets)]
         counts = np.diff(bounds)
         if whole:

@@ -83,3 +83,16 @@ def test_a_file_with_other_rules_is_encoded_whole():
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert not encoder.parts and counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert tb.Encoder(public_tokenizers.path("byte_bpe_50k.json")).parts
+
+
+def test_pieces_asked_for_before_are_not_cut_again(monkeypatch):
+    encoder, cut, parts = tb.Encoder(PATH, 50), [], tb.Encoder._parts
+    monkeypatch.setattr(tb.Encoder, "_parts", staticmethod(lambda x: cut.append(x) or parts(x)))
+    text = "Some words, <|endoftext|> and\nlines (of) text " + "x" * 200
+    for k in range(3):
+        assert encoder.encode(pa.array([text]))[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+        assert cut.count("words,") == 1 and cut.count("x" * 200) == k + 1  # long ones aren't kept
+    for k in range(0, 400, 10):
+        text = " ".join(f"{i}!" for i in range(k, k + 10))
+        assert encoder.encode(pa.array([text]))[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+        assert len(encoder.sizes) == len(encoder.pieces) <= 50
