@@ -14,7 +14,10 @@ A document's set holds its distinct shingles of five words. Two documents link w
    of them lost to collisions. The tree is traversed against itself; a pair of nodes is dropped where sizes differ by too
    much, or where the common bits and lost bits can't hold the least overlap needed. Pairs of documents that are left
    are verified on their sets, unless verified links already join them.
-   A block larger than a task should hold is dealt into parts, and each pair of parts is a task of its own.
+   A block larger than a task should hold is cut first: all shingles of its classes are counted within it, which gives a
+   sharper order and shorter chains of shared prefixes, and so on while its blocks get smaller. What stays large is mostly
+   copies of each other. It is dealt into parts, parts are compared within, then one class of each component found meets
+   those of other parts; at last pairs of parts are compared, but for those of one component.
 4. Verified links that join components (never all pairs) are merged over the parts.
 
 Sets are compared by 64-bit hashes of their shingles, classes by 128 bits over their sets.
@@ -32,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import cut, pieces, text_of
+from terrace.llm.common import cut, pieces, small, text_of
 
 WORDS = 5
 #: The similarity is at least NEED / 100.
@@ -46,7 +49,7 @@ SKETCH_BITS, PIECE_BITS = 20, 14
 HOT = 2048
 #: Shingles with 64-bit hashes below this are counted exactly, three in ten; a prefix is about two in ten.
 SAMPLED = 3 * (1 << 64) // 10
-#: A block is dealt into parts of about so many documents and shingles.
+#: A block that can't be cut is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
 #: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
@@ -241,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 class Tree:
     """Signature tree over sets; its leaves are the sets in the order of `order`."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
+    def __init__(self, sets: list[np.ndarray], bits: int, groups: list[int] | None = None):
         least = np.array([x[0] for x in sets], np.uint64)
         sizes = np.array([len(x) for x in sets], np.int64)
         self.order = np.lexsort((least, sizes))
@@ -252,13 +255,13 @@ class Tree:
             np.bitwise_or.at(bitmap[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         sizes = sizes[self.order]
         lost = sizes - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
-        # Levels from the leaves up: bitmaps, least and largest size, most bits lost.
-        self.levels = [(bitmap, sizes, sizes, lost)]
+        group = np.array(range(len(sets)) if groups is None else groups, np.int64)[self.order]
+        # Levels from the leaves up: bitmaps, least and largest size, most bits lost, least and largest group.
+        self.levels = [(bitmap, sizes, sizes, lost, group, group)]
+        folds = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
         while len(self.levels[-1][0]) > 1:
-            maps, low, high, lost = self.levels[-1]
-            starts = np.arange(0, len(maps), FAN)
-            up = (np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(lost, starts))
-            self.levels.append(up)
+            starts = np.arange(0, len(self.levels[-1][0]), FAN)
+            self.levels.append(tuple(f.reduceat(x, starts) for f, x in zip(folds, self.levels[-1], strict=True)))
 
 
 def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
@@ -284,12 +287,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, root: list[int]) -> list[tuple[int, int]]:
     """Links that join components, between sets of left and right, or within left where right is None.
 
-    root: union-find over positions, those of right after those of left; merged along.
+    root: union-find over positions, those of right after those of left; merged along. What it joins at first isn't compared.
     """
     bits = 1 << max(8, int(np.ceil(np.log2(4 * max(len(x) for x in [*left, *(right or [])]) + 1))))
     bits = min(bits, 1 << 16)
-    a = Tree(left, bits)
-    b = a if right is None else Tree(right, bits)
     shift = 0 if right is None else len(left)
 
     def find(x: int) -> int:
@@ -298,11 +299,15 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, root: lis
             x = root[x]
         return x
 
+    a = Tree(left, bits, [find(x) for x in range(len(left))])
+    b = a if right is None else Tree(right, bits, [find(x + shift) for x in range(len(right))])
     out = []
     # Depth first, few pairs of nodes at a time: (level in a, level in b, pairs).
     waiting = [(len(a.levels) - 1, len(b.levels) - 1, np.array([[0, 0]]))]
     while waiting:
         level_a, level_b, pairs = waiting.pop()
+        of_a, of_b = ([x[k][i] for k in (4, 5)] for x, i in ((a.levels[level_a], pairs[:, 0]), (b.levels[level_b], pairs[:, 1])))
+        pairs = pairs[np.minimum(of_a[0], of_b[0]) < np.maximum(of_a[1], of_b[1])]
         pairs = pairs[possible(a.levels[level_a], pairs[:, 0], b.levels[level_b], pairs[:, 1])]
         if not len(pairs):
             continue
@@ -330,13 +335,13 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, root: lis
 
 
 def block_links(members: DataFrame) -> DataFrame:
-    """Edges (a, b) of class numbers: block, p, q (parts of the block), part, node, _text; rows of a task sorted together."""
+    """Edges (a, b) of class numbers: block, p, q (parts of the block), part, node, joined (its component so far), values; rows of a task sorted together."""
 
-    def links(rows: list[tuple[int, int, str]], p: int, q: int) -> list[tuple[int, int]]:
-        rows = sorted({r[:2]: r for r in rows}.values())
-        nodes, sets = [r[1] for r in rows], [shingles(r[2]) for r in rows]
-        n = sum(r[0] == p for r in rows)
-        root = list(range(len(rows)))
+    def links(rows: list[tuple[int, int, int, np.ndarray]], p: int, q: int) -> list[tuple[int, int]]:
+        rows = [r for _, r in sorted({r[:2]: r for r in rows}.items())]
+        nodes, sets = [r[1] for r in rows], [r[3] for r in rows]
+        n, first = sum(r[0] == p for r in rows), {}
+        root = [first.setdefault(r[2], i) for i, r in enumerate(rows)]
         if p == q:
             found = tree_links(sets, None, root) if len(rows) > 1 else []
         elif 0 < n < len(rows):
@@ -348,13 +353,13 @@ def block_links(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in pieces(batches):
-            columns = [batch[c].to_pylist() for c in ("block", "p", "q", "part", "node", "_text")]
+            columns = [batch[c].to_pylist() for c in ("block", "p", "q", "part", "node", "joined")]
             out = []
-            for block, p, q, part, node, text in zip(*columns, strict=True):
+            for block, p, q, part, node, joined, values in zip(*columns, batch["values"], strict=True):
                 if (block, p, q) != key:
                     out += links(rows, *key[1:]) if rows else []
                     key, rows = (block, p, q), []
-                rows.append((part, node, text))
+                rows.append((part, node, joined, values.values.to_numpy().view(np.uint64).copy()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
         out = links(rows, *key[1:]) if rows else []
@@ -362,7 +367,7 @@ def block_links(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     dealt = members.repartition("block", "p", "q").sortWithinPartitions("block", "p", "q")
-    return dealt.select("block", "p", "q", "part", "node", "_text").mapInArrow(run, "a long, b long")
+    return dealt.select("block", "p", "q", "part", "node", "joined", "values").mapInArrow(run, "a long, b long")
 
 
 def texts_of(rows: DataFrame, placed: DataFrame) -> DataFrame:
@@ -373,18 +378,121 @@ def texts_of(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return with_id.unionByName(without.join(placed.filter("first IS NULL"), F.col("_hash") == F.col("hash")).select(*kept, "_text"))
 
 
-def dealt(active: DataFrame) -> DataFrame:
-    """Adds parts and part to rows of node, n, block; blocks of one class go."""
-    sizes = active.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_DOCS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
-    return active.join(sizes.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def sets_of(texts: DataFrame) -> DataFrame:
+    """values, the set, in place of _text, for rows of node, n, block."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("block", pa.int64()), ("values", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [shingles(text).view(np.int64) for text in batch["_text"].to_pylist()]
+            if sets:
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("node", "n", "block")), values], schema=schema)
+
+    return texts.select("node", "n", "block", "_text").mapInArrow(run, "node long, n long, block long, values array<long>")
+
+
+def parts_of(docs: Column, total: Column) -> Column:
+    """How many parts so many documents and shingles make."""
+    return F.greatest(F.lit(1), F.ceil(docs / PART_DOCS), F.ceil(total / PART_SHINGLES)).cast("int")
+
+
+def sized(sets: DataFrame) -> DataFrame:
+    """Adds docs (of the block) and parts; blocks of one class go."""
+    sizes = sets.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
+    return sets.join(sizes.select("block", "docs", parts_of(F.col("docs"), F.col("total")).alias("parts")), "block")
+
+
+def sharper(large: DataFrame) -> DataFrame:
+    """node, block (anew) of the classes of large (node, n, block, values) that share a shingle of their prefixes with another.
+
+    The order common to a block's sets is that of all shingles by how many sets of the block have them.
+    """
+    tokens = large.select("block", "node", "n", F.explode("values").alias("token"))
+    counts = cut(tokens.groupBy("block", "token").agg(F.count("*").alias("sets")).filter("sets > 1"))
+    often, seldom = (counts.filter(F.col("sets") > HOT), counts.filter(F.col("sets") <= HOT))
+    # Frequent shingles are few, so that their rows needn't be dealt by shingle.
+    frequent = tokens.join(small(often), ["block", "token"])
+    shared = cut(frequent.unionByName(tokens.join(small(often).select("block", "token"), ["block", "token"], "left_anti").join(seldom, ["block", "token"])))
+    own = Window.partitionBy("node")
+    # A set's prefix begins with the shingles that no other set has.
+    left = F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1 - (F.col("n") - F.count("*").over(own))
+    chosen = shared.withColumn("left", left).withColumn("rank", F.row_number().over(own.orderBy("sets", "token"))).filter("rank <= left")
+    chosen = cut(chosen.select("block", "token", "node"))
+    least = chosen.groupBy("block", "token").agg(F.min("node").alias("b"), F.count("*").alias("sets")).filter("sets > 1")
+    often, seldom = (least.filter(F.col("sets") > HOT), least.filter(F.col("sets") <= HOT))
+    often = small(cut(often.drop("sets")))
+    edges = chosen.join(often, ["block", "token"]).select("node", "b")
+    edges = edges.unionByName(chosen.join(seldom.drop("sets"), ["block", "token"]).select("node", "b")).distinct()
+    return components(edges.select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("block"))
+
+
+def blocks_in_parts(sets: DataFrame) -> DataFrame:
+    """Rows of node, n, block, values, parts; blocks that are too large for a task are cut while their largest block has less than half of them."""
+    now = cut(sized(sets).withColumn("whole", F.lit(False)))
+    done = now.filter("parts = 1").drop("docs", "whole")
+    while not (large := now.filter("parts > 1 AND NOT whole")).isEmpty():
+        stays = now.filter("parts > 1 AND whole").drop("docs", "whole")
+        placed = sharper(large).withColumnRenamed("block", "_block")
+        anew = sized(large.withColumnsRenamed({"docs": "before"}).drop("block", "parts", "whole").join(placed, "node").withColumnRenamed("_block", "block"))
+        now = cut(anew.withColumn("whole", 2 * F.col("docs") > F.col("before")).drop("before"))
+        done = done.unionByName(stays.select(*done.columns)).unionByName(now.filter("parts = 1").select(*done.columns))
+    return done.unionByName(now.filter("parts > 1").select(*done.columns))
+
+
+def within(sets: DataFrame, seed: int = 0) -> DataFrame:
+    """Links within the parts of the blocks. sets: node, block, joined, values, parts."""
+    part = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int")
+    members = sets.withColumn("part", part).withColumn("p", F.col("part")).withColumn("q", F.col("part"))
+    return block_links(members)
+
+
+def across(sets: DataFrame) -> DataFrame:
+    """Links between components of the blocks. sets: node, n, block, joined, values.
+
+    A component of half a part or more has parts of its own, which need not meet each other; the rest of a block is dealt into others.
+    """
+    sizes = sets.groupBy("block", "joined").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    big = sizes.withColumn("own", F.when((2 * F.col("docs") >= PART_DOCS) | (2 * F.col("total") >= PART_SHINGLES), F.col("joined")))
+    groups = big.groupBy("block", "own").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).withColumn("parts", parts_of(F.col("docs"), F.col("total")))
+    before = F.sum("parts").over(Window.partitionBy("block").orderBy("own")) - F.col("parts")
+    groups = cut(groups.select("block", "own", "parts", before.alias("before")))
+    part = F.col("before") + F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = sets.join(big.select("block", "joined", "own"), ["block", "joined"])
+    placed = cut(placed.join(groups.withColumnsRenamed({"block": "_b", "own": "_o"}), (F.col("block") == F.col("_b")) & F.col("own").eqNullSafe(F.col("_o"))).withColumn("part", part).drop("_b", "_o", "before", "parts"))
+    parts = groups.select("block", "own", F.explode(F.sequence("before", F.col("before") + F.col("parts") - 1)).alias("part"))
+    others = parts.withColumnsRenamed({"own": "other_own", "part": "other"})
+    meet = parts.join(others, "block").filter("own IS NULL OR other_own IS NULL OR own <> other_own").select("block", "part", "other")
+    members = placed.join(meet, ["block", "part"])
+    return block_links(members.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")))
 
 
 def verified_links(rows: DataFrame, active: DataFrame) -> DataFrame:
     """Edges (a, b) of nodes whose sets link, enough to connect all that do. active: node, first, hash, n, block."""
-    texts = texts_of(rows, dealt(active))
-    members = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return block_links(members.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).select("block", "p", "q", "part", "node", "_text"))
+    sets = cut(blocks_in_parts(cut(sets_of(texts_of(rows, active)))).withColumn("joined", F.col("node")))
+    links = cut(within(sets))
+    large = sets.filter("parts > 1")
+    if large.isEmpty():
+        return links
+
+    def joined() -> DataFrame:
+        found = components(links).select("node", "component")
+        return large.drop("joined").join(found, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
+
+    # One class of each component meets those of other parts, while this leaves less than half of them.
+    count, seed = None, 0
+    while True:
+        large = cut(joined())
+        heads = large.filter("node = joined")
+        left = heads.count()
+        if count is not None and 2 * left > count:
+            break
+        count, seed = left, seed + 1
+        few = sized(heads.drop("parts"))
+        links = cut(links.unionByName(within(few, seed)))
+    mixed = large.groupBy("block").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).filter("low < high").select("block")
+    return links.unionByName(across(large.drop("parts").join(mixed, "block")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
