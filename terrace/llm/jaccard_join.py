@@ -52,14 +52,13 @@ SAMPLED = 3 * (1 << 64) // 10
 #: A block that can't be cut is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
 FAN = 8
-#: What a worker holds at a time: hashes of words, pairs of nodes that are looked into.
-KNOWN, PAIRS = 50_000, 4096
+#: What a worker looks into at a time: bytes of texts (or one text), pairs of nodes.
+BYTES, PAIRS = 1 << 18, 4096
 #: Sets that a task knows it has seen, as numbers; beyond, copies are counted and sent once more, which changes an order and nothing else.
 SEEN = 250_000
 
 #: Odd multipliers, one for each word of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_known: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,25 +70,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The set of a text as sorted 64-bit hashes."""
-    words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_known) > KNOWN:
-        _known.clear()
-    hashes = []
-    for w in words:
-        h = _known.get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    a = np.array(hashes, np.uint64)
-    n = max(1, len(a) - WORDS + 1)
-    total = np.full(n, min(len(a), WORDS), np.uint64)
-    for i in range(min(len(a), WORDS)):
-        total += mixed(a[i : i + n] * _MIX[i])
-    return np.unique(mixed(total))
+#: A number for each byte at each of the first PLACES places of a word, capitals A-Z like small letters.
+PLACES = 64
+_LETTERS = mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _MIX[0]).reshape(PLACES, 256)
+_LETTERS[:, 65:91] = _LETTERS[:, 97:123]
+_LETTERS = _LETTERS.reshape(-1)
+_IN_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one after another in data from starts on, and where each word begins."""
+    inside = _IN_WORD[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[starts] = inside[starts]
+    at = np.flatnonzero(inside)
+    heads = np.flatnonzero(first[at])
+    if not len(heads):
+        return np.empty(0, np.uint64), heads
+    begins, lengths = at[heads], np.diff(heads, append=len(at))
+    place = at - np.repeat(begins, lengths)
+    values = _LETTERS[(place % PLACES << 8) | data[at]]
+    if lengths.max() > PLACES:
+        values *= mixed((place // PLACES).astype(np.uint64)) | np.uint64(1)  # 1 for the first places
+    return np.add.reduceat(values, heads), begins
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    n = len(words) - size + 1
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
+        total += mixed(words[i : i + n] * _MIX[i])
+    return mixed(total)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of texts (none null), in their order, as sorted 64-bit hashes; many texts are hashed at once."""
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + BYTES, "right")) - 1)
+        starts = (ends[low : high + 1] - ends[low]).astype(np.int64)
+        words, begins = word_hashes(data[ends[low] : ends[high]], starts[starts < starts[-1]])
+        places = np.searchsorted(begins, starts).tolist()
+        whole = shingle_hashes(words, WORDS) if len(words) >= WORDS else words
+        for start, end in zip(places, places[1:], strict=False):
+            if end - start >= WORDS:
+                values = np.sort(whole[start : end - WORDS + 1])
+                yield values[np.append(True, values[1:] != values[:-1])]
+            else:
+                yield shingle_hashes(words[start:end], end - start) if end > start else words[:0]
+        low = high
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:
@@ -107,8 +143,7 @@ def described(docs: DataFrame) -> DataFrame:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in pieces(batches):
             rows = []
-            for doc_id, digest, text in zip(*(batch[c].to_pylist() for c in ("_id", "_hash", "_text")), strict=True):
-                values = shingles(text)
+            for doc_id, digest, values in zip(batch["_id"].to_pylist(), batch["_hash"].to_pylist(), shingle_sets(batch["_text"]), strict=True):
                 key = set_key(values)
                 rows.append((doc_id, digest, len(values), *key, None, None))
                 if key[1] not in seen:
@@ -157,8 +192,7 @@ def prefix_edges(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         count, seen = shared.value, set()
         for batch in pieces(batches):
             tokens, owners, slacks, salts, often = [], [], [], [], []
-            for text in batch["_text"].to_pylist():
-                values = shingles(text)
+            for values in shingle_sets(batch["_text"]):
                 n, key = len(values), set_key(values)
                 if not n or key in seen:
                     continue
@@ -384,7 +418,7 @@ def sets_of(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [shingles(text).view(np.int64) for text in batch["_text"].to_pylist()]
+            sets = [values.view(np.int64) for values in shingle_sets(batch["_text"])]
             if sets:
                 ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrace.llm import jaccard_join as jj
@@ -164,3 +166,45 @@ def test_tables_with_columns_of_the_same_names(spark):
     kept = jj.one_of_each(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r._own) for r in kept.collect()) == [(0, 8), (1, 5)]
+
+
+@pytest.mark.parametrize("size,kind", [(1 << 18, pa.string()), (50, pa.large_string())])
+def test_sets_of_many_texts_at_once(monkeypatch, size, kind):
+    """Also in slices of a column, of few bytes at a time, with long words, and texts without words between others."""
+    monkeypatch.setattr(jj, "BYTES", size)
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "ba", "É", "é", "x\x1cy", "\u00a0", "q" * 70 + "r", "q" * 70 + "s", "r" + "q" * 70, "q" * 200, "q" * 199]
+    texts = ["", " \n", "one", "ONE", "one two three four", "one two three four five"] + [rng.choice([" ", "\t", "\x0b \r"]).join(rng.choices(words, k=rng.randrange(30))) for _ in range(300)]
+    texts += [x.upper() if x.isascii() else x for x in texts] + ["", " "]
+    got = list(jj.shingle_sets(pa.array(["cut", "off", *texts, "end"], kind).slice(2, len(texts))))
+    want = []
+    for text in texts:
+        w = text.encode().lower().split()
+        want.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all((x[1:] > x[:-1]).all() for x in got)
+    # One hash for each shingle: every pair of texts has as many in common as their words say.
+    for k in range(0, len(texts), 7):
+        assert [len(np.intersect1d(got[k], x)) for x in got] == [len(want[k] & x) for x in want]
+    assert len(set(np.concatenate(got).tolist())) == len(set().union(*want))
+    assert list(jj.shingle_sets(pa.array([], kind))) == [] and [len(x) for x in jj.shingle_sets(pa.array(["", ""], kind))] == [0, 0]
+
+
+def test_sets_take_less_time_than_a_look_at_each_word():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1000)]
+    column = pa.array(texts)
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    def by_word():
+        known = {}
+        for text in texts:
+            for w in text.encode().lower().split():
+                if w not in known:
+                    known[w] = jj.xxhash.xxh3_64_intdigest(w)
+
+    assert min(seconds(lambda: list(jj.shingle_sets(column))) for _ in range(3)) < min(seconds(by_word) for _ in range(3))
