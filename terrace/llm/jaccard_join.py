@@ -51,6 +51,10 @@ HOT = 2048
 SAMPLED = 3 * (1 << 64) // 10
 #: A block that can't be cut is dealt into parts of about so many documents and shingles.
 PART_DOCS, PART_SHINGLES = 1024, 1 << 20
+#: A block that is cut is counted in buckets of about so many shingles.
+BUCKET_SHINGLES = 1 << 17
+#: So many edges at most are joined to components by one task; more in rounds over all tasks.
+FEW_EDGES = 500_000
 FAN = 8
 #: What a worker looks into at a time: bytes of texts (or one text), pairs of nodes.
 BYTES, PAIRS = 1 << 18, 4096
@@ -235,7 +239,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of the nodes of edges (a, b); long.
 
     In each round a node's lesser neighbours are tied to the least of them, and every tie jumps on to where its end is
-    tied, so that paths halve; it ends when nothing changes, whatever the number of partitions.
+    tied, so that paths halve; it ends when nothing changes, whatever the number of partitions. Where partitions leave
+    few edges, one task ends it.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +265,10 @@ def components(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     stars = cut(edges.select("a", "b").mapInArrow(merge, "a long, b long"))
-    while True:
+    few = stars.count() <= FEW_EDGES
+    if few:
+        stars = cut(stars.coalesce(1).mapInArrow(merge, "a long, b long"))
+    while not few:
         parents = cut(stars.groupBy("a").agg(F.min("b").alias("p")))
         rows = stars.repartition("a").dropDuplicates(["a", "b"]).withColumn("p", F.min("b").over(Window.partitionBy("a")))
         tie = lambda x, changed: F.struct(F.col(x).alias("a"), F.col("p").alias("b"), F.lit(changed).alias("changed"))
@@ -433,43 +441,112 @@ def parts_of(docs: Column, total: Column) -> Column:
 
 
 def sized(sets: DataFrame) -> DataFrame:
-    """Adds docs (of the block) and parts; blocks of one class go."""
+    """Adds docs and total (of the block) and parts; blocks of one class go."""
     sizes = sets.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1")
-    return sets.join(sizes.select("block", "docs", parts_of(F.col("docs"), F.col("total")).alias("parts")), "block")
+    return sets.join(sizes.select("block", "docs", "total", parts_of(F.col("docs"), F.col("total")).alias("parts")), "block")
+
+
+def grouped(keys: dict[str, np.ndarray], values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each combination of keys, with the lists of values that have it."""
+    order = np.lexsort([*keys.values()][::-1])
+    keys = {k: x[order] for k, x in keys.items()}
+    starts = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in keys.values()], axis=0)))
+    ends = pa.array(np.append(starts, len(order)), pa.int32())
+    columns = {k: pa.array(x[starts]) for k, x in keys.items()} | {k: pa.ListArray.from_arrays(ends, pa.array(x[order])) for k, x in values.items()}
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """block, buckets and the named lists of each (block, bucket), from rows that are sorted by these."""
+    key, rows = None, []
+
+    def group() -> tuple[int, int, list[np.ndarray]]:
+        return key[0], key[2], [np.concatenate(x) for x in zip(*rows, strict=True)]
+
+    for batch in pieces(batches):
+        lists = [[x.values.to_numpy() for x in batch[c]] for c in names]
+        for *now, row in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "buckets")), zip(*lists, strict=True), strict=True):
+            if now != key:
+                if rows:
+                    yield group()
+                key, rows = now, []
+            rows.append(row)
+    if rows:
+        yield group()
+
+
+def bucket_of(x: np.ndarray, buckets: np.ndarray | int) -> np.ndarray:
+    """Deals numbers over so many buckets."""
+    return (((mixed(x.view(np.uint64)) >> np.uint64(32)) * np.asarray(buckets).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def sharper(large: DataFrame) -> DataFrame:
-    """node, block (anew) of the classes of large (node, n, block, values) that share a shingle of their prefixes with another.
+    """node, block (anew) of the classes of large (node, n, block, total, values) that share a shingle of their prefixes with another.
 
-    The order common to a block's sets is that of all shingles by how many sets of the block have them.
+    The order common to a block's sets is that of all shingles by how many sets of the block have them. A block's shingles
+    are dealt over buckets to be counted, then by set to choose the prefixes, then over buckets again to be tied; rows hold
+    lists of them, so that there are about as many rows as buckets in each piece of the input.
     """
-    tokens = large.select("block", "node", "n", F.explode("values").alias("token"))
-    counts = cut(tokens.groupBy("block", "token").agg(F.count("*").alias("sets")).filter("sets > 1"))
-    often, seldom = (counts.filter(F.col("sets") > HOT), counts.filter(F.col("sets") <= HOT))
-    # Frequent shingles are few, so that their rows needn't be dealt by shingle.
-    frequent = tokens.join(small(often), ["block", "token"])
-    shared = cut(frequent.unionByName(tokens.join(small(often).select("block", "token"), ["block", "token"], "left_anti").join(seldom, ["block", "token"])))
-    own = Window.partitionBy("node")
-    # A set's prefix begins with the shingles that no other set has.
-    left = F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1 - (F.col("n") - F.count("*").over(own))
-    chosen = shared.withColumn("left", left).withColumn("rank", F.row_number().over(own.orderBy("sets", "token"))).filter("rank <= left")
-    chosen = cut(chosen.select("block", "token", "node"))
-    least = chosen.groupBy("block", "token").agg(F.min("node").alias("b"), F.count("*").alias("sets")).filter("sets > 1")
-    often, seldom = (least.filter(F.col("sets") > HOT), least.filter(F.col("sets") <= HOT))
-    often = small(cut(often.drop("sets")))
-    edges = chosen.join(often, ["block", "token"]).select("node", "b")
-    edges = edges.unionByName(chosen.join(seldom.drop("sets"), ["block", "token"]).select("node", "b")).distinct()
-    return components(edges.select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("block"))
+    head = "block long, bucket long, buckets long, nodes array<long>"
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            each = batch["values"].value_lengths().to_numpy()
+            tokens = batch["values"].flatten().to_numpy()
+            if len(tokens):
+                block, buckets, node, n = (np.repeat(batch[c].to_numpy(), each) for c in ("block", "buckets", "node", "n"))
+                yield grouped({"block": block, "bucket": bucket_of(tokens, buckets), "buckets": buckets}, {"nodes": node, "sizes": n, "tokens": tokens})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, buckets, (nodes, sizes, tokens) in whole_groups(batches, ["nodes", "sizes", "tokens"]):
+            _, at, sets = np.unique(tokens, return_inverse=True, return_counts=True)
+            sets = sets[at]
+            nodes, sizes, tokens, sets = (x[sets > 1] for x in (nodes, sizes, tokens, sets))
+            if len(nodes):
+                same = np.ones(len(nodes), np.int64)
+                yield grouped({"block": block * same, "bucket": bucket_of(nodes, buckets), "buckets": buckets * same}, {"nodes": nodes, "sizes": sizes, "tokens": tokens, "sets": sets})
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, buckets, lists in whole_groups(batches, ["nodes", "sizes", "tokens", "sets"]):
+            order = np.lexsort((lists[2], lists[3], lists[0]))
+            nodes, n, tokens, _ = (x[order] for x in lists)
+            _, first, at, shared = np.unique(nodes, return_index=True, return_inverse=True, return_counts=True)
+            # A set's prefix begins with the shingles that no other set has.
+            left = n - -(-NEED * n // 100) + 1 - (n - shared[at])
+            chosen = np.arange(len(nodes)) - first[at] < left
+            if chosen.any():
+                nodes, tokens = nodes[chosen], tokens[chosen]
+                same = np.ones(len(nodes), np.int64)
+                yield grouped({"block": block * same, "bucket": bucket_of(tokens, buckets), "buckets": buckets * same}, {"nodes": nodes, "tokens": tokens})
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, (nodes, tokens) in whole_groups(batches, ["nodes", "tokens"]):
+            order = np.lexsort((nodes, tokens))
+            nodes = nodes[order]
+            _, first, at = np.unique(tokens[order], return_index=True, return_inverse=True)
+            ties = np.unique(np.stack([nodes, nodes[first[at]]]), axis=1)
+            ties = ties[:, ties[0] > ties[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ties], ["a", "b"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("block", "bucket").sortWithinPartitions("block", "bucket")
+
+    buckets = F.ceil(F.col("total") / BUCKET_SHINGLES).cast("long").alias("buckets")
+    tokens = large.select("block", buckets, "node", "n", "values").mapInArrow(scatter, f"{head}, sizes array<long>, tokens array<long>")
+    counted = dealt(tokens).mapInArrow(count, f"{head}, sizes array<long>, tokens array<long>, sets array<long>")
+    chosen = dealt(counted).mapInArrow(choose, f"{head}, tokens array<long>")
+    edges = dealt(chosen).mapInArrow(tie, "a long, b long")
+    return components(edges).select("node", F.col("component").alias("block"))
 
 
 def blocks_in_parts(sets: DataFrame) -> DataFrame:
     """Rows of node, n, block, values, parts; blocks that are too large for a task are cut while their largest block has less than half of them."""
     now = cut(sized(sets).withColumn("whole", F.lit(False)))
-    done = now.filter("parts = 1").drop("docs", "whole")
+    done = now.filter("parts = 1").drop("docs", "total", "whole")
     while not (large := now.filter("parts > 1 AND NOT whole")).isEmpty():
-        stays = now.filter("parts > 1 AND whole").drop("docs", "whole")
+        stays = now.filter("parts > 1 AND whole").drop("docs", "total", "whole")
         placed = sharper(large).withColumnRenamed("block", "_block")
-        anew = sized(large.withColumnsRenamed({"docs": "before"}).drop("block", "parts", "whole").join(placed, "node").withColumnRenamed("_block", "block"))
+        anew = sized(large.withColumnsRenamed({"docs": "before"}).drop("block", "total", "parts", "whole").join(placed, "node").withColumnRenamed("_block", "block"))
         now = cut(anew.withColumn("whole", 2 * F.col("docs") > F.col("before")).drop("before"))
         done = done.unionByName(stays.select(*done.columns)).unionByName(now.filter("parts = 1").select(*done.columns))
     return done.unionByName(now.filter("parts > 1").select(*done.columns))
@@ -504,7 +581,7 @@ def across(sets: DataFrame) -> DataFrame:
 
 def verified_links(rows: DataFrame, active: DataFrame) -> DataFrame:
     """Edges (a, b) of nodes whose sets link, enough to connect all that do. active: node, first, hash, n, block."""
-    sets = cut(blocks_in_parts(cut(sets_of(texts_of(rows, active)))).withColumn("joined", F.col("node")))
+    sets = blocks_in_parts(cut(sets_of(texts_of(rows, active)))).withColumn("joined", F.col("node"))
     links = cut(within(sets))
     large = sets.filter("parts > 1")
     if large.isEmpty():
@@ -519,7 +596,9 @@ def verified_links(rows: DataFrame, active: DataFrame) -> DataFrame:
     while True:
         large = cut(joined())
         heads = large.filter("node = joined")
-        left = heads.count()
+        left, blocks = heads.groupBy("block").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+        if left == blocks:  # each block is one component
+            return links
         if count is not None and 2 * left > count:
             break
         count, seed = left, seed + 1

@@ -208,3 +208,64 @@ def test_sets_take_less_time_than_a_look_at_each_word():
                     known[w] = jj.xxhash.xxh3_64_intdigest(w)
 
     assert min(seconds(lambda: list(jj.shingle_sets(column))) for _ in range(3)) < min(seconds(by_word) for _ in range(3))
+
+
+def test_blocks_are_cut_without_a_row_for_each_shingle(spark, monkeypatch):
+    """Blocks by the order of their own counts, in small buckets, as brute force has them; no plan explodes or joins shingles."""
+    monkeypatch.setattr(jj, "BUCKET_SHINGLES", 40)
+    rng = random.Random(31)
+    whole = [rng.randrange(-(2**63), 2**63) for _ in range(900)]
+    rows = []
+    for node in range(160):
+        low = rng.randrange(0, 800, 60)
+        rows.append((node, node % 3, sorted(rng.sample(whole[low : low + 100], rng.randrange(1, 60)), key=lambda x: x % 2**64)))
+    want = {}
+    for block in range(3):
+        sets = {node: values for node, b, values in rows if b == block}
+        often = {}
+        for values in sets.values():
+            for x in values:
+                often[x] = often.get(x, 0) + 1
+        held = {}
+        for node, values in sets.items():
+            prefix = sorted(values, key=lambda x: (often[x], x))[: len(values) - -(-80 * len(values) // 100) + 1]
+            for x in prefix:
+                held.setdefault(x, []).append(node)
+        root = {node: node for node in sets}
+        for nodes in held.values():
+            for a in nodes[1:]:
+                old, new = sorted((root[a], root[nodes[0]]), reverse=True)
+                root = {k: new if r == old else r for k, r in root.items()}
+        want |= {k: r for k, r in root.items() if sum(x == r for x in root.values()) > 1}
+    plans, joined = [], jj.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return joined(edges)
+
+    monkeypatch.setattr(jj, "components", seen)
+    df = spark.createDataFrame([(node, len(values), block, values) for node, block, values in rows], "node long, n long, block long, values array<long>")
+    large = jj.cut(jj.sized(df).repartition(5))
+    got = {r.node: r.block for r in jj.sharper(large).collect()}
+    assert got == want and len(set(want.values())) > 3
+    assert plans and not any("Generate" in x or "Join" in x for x in plans)
+
+
+def test_few_edges_take_few_jobs_and_many_take_rounds(spark, monkeypatch):
+    rng = random.Random(17)
+    names = rng.sample(range(-(10**6), 10**6), 500)
+    edges = list(zip(names[:300], names[1:300])) + [(names[300], x) for x in names[301:]]
+    want = {x: min(names[:300]) for x in names[:300]} | {x: min(names[300:]) for x in names[300:]}
+    df = jj.cut(spark.createDataFrame(edges, "a long, b long").repartition(20))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for most in (500_000, 0):
+        monkeypatch.setattr(jj, "FEW_EDGES", most)
+        spark.sparkContext.setJobGroup(f"components-{most}", "")
+        try:
+            found = jj.components(df)
+            jobs[most] = len(tracker.getJobIdsForGroup(f"components-{most}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.node: r.component for r in found.collect()} == want
+    assert jobs[500_000] <= 4 < jobs[0]
