@@ -54,6 +54,12 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
+def trigram_words(text: Column) -> Column:
+    """The words of which trigrams() takes trigrams, each once and in order, with a space between them."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.array_join(F.array_sort(F.array_distinct(words)), " ")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Of two sets of trigrams: common by all; 0 for two empty ones."""
     common = F.size(F.array_intersect(a, b)).cast("double")

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import text
-from terrace.operators import entities, hierarchy, matching, ranking
+from terrace.operators import entities, hierarchy, matching, near_sets, ranking
 
 
 def test_claims_are_taken_in_turn(spark):
@@ -152,3 +153,49 @@ def test_names_are_not_broadcast(spark):
     children = spark.createDataFrame([(1, 1, "Anna", 1)], "child long, anchor long, name string, place long")
     for df in (matching.best_children(nodes, children), matching.candidates(nodes, children), matching.child_pairs(nodes, children)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_most_similar_names_keep_no_pairs_but_the_best(spark, monkeypatch):
+    """Names alike by the hundred: what is kept on the way has no more rows than names, not those of pairs that are good but not best."""
+    kept, cut = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: kept.append(df.count()) or cut(df))
+    stored = spark.createDataFrame([(i, f"customer {i:06d}", i % 2) for i in range(0, 1200, 2)], "id long, name string, scope int")
+    nodes = spark.createDataFrame([(i, f"customer {i:06d} province", i % 2) for i in range(0, 1200, 3)], "node long, name string, scope int")
+    got = matching.most_similar(nodes, stored, 5)
+    assert got.count() == 200 * 5 and max(kept) <= 600
+
+
+def test_most_similar_names_in_blocks(spark, monkeypatch):
+    """Blocks of one scope, of both sides, give together what one block gives; names without a scope have no like."""
+    rng = random.Random(9)
+    name = lambda: " ".join("".join(rng.choices("ab1é", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 4)))
+    stored = spark.createDataFrame([(i, name(), "x" if i % 9 else None) for i in range(250)], "id long, name string, scope string")
+    nodes = spark.createDataFrame([(i, name(), "x" if i % 7 else None) for i in range(90)], "node long, name string, scope string")
+    want = ranking.first_per(matching.similar(nodes, stored), ["node"], [F.desc("score"), F.asc("id")], 3)
+    want = {(r.node, r.id, r.score) for r in want.collect()}
+    for asked, held in ((1000, 1000), (20, 30)):
+        monkeypatch.setattr(matching, "ASKED", asked)
+        monkeypatch.setattr(matching, "HELD", held)
+        assert {(r.node, r.id, r.score) for r in matching.most_similar(nodes, stored, 3).collect()} == want
+    assert len(want) > 150
+
+
+@pytest.mark.parametrize("step,batch,words", [(3, 16, 1), (1 << 18, 512, 4)])
+def test_nearest_sets_against_brute_force(monkeypatch, step, batch, words):
+    """Whatever the sizes of steps, batches and signatures; with characters beyond 16 bits and ids in any order."""
+    for name, value in (("STEP", step), ("BATCH", batch), ("WORDS", words)):
+        monkeypatch.setattr(near_sets, name, value)
+    rng = random.Random(step)
+    grams = lambda name: {f"  {w} "[k : k + 3] for w in name.split(" ") for k in range(len(w) + 1)}
+    for letters in ("ab", "0123456789", "aé漢𝄞"):
+        name = lambda: " ".join(sorted({"".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 3))} | ({"customer"} if rng.random() < 0.6 else set())))  # noqa: B023, E731
+        asked, held = [name() for _ in range(60)], [name() for _ in range(120)]
+        ids_of = np.repeat(np.arange(len(held)), [rng.randrange(1, 4) for _ in held])
+        rank, want = np.array(rng.sample(range(len(ids_of)), len(ids_of))), set()
+        for i, mine in enumerate(map(grams, asked)):
+            scores = [len(mine & theirs) / len(mine | theirs) for theirs in map(grams, held)]
+            ids = sorted((-scores[h], rank[j], j) for j, h in enumerate(ids_of) if scores[h] > 0.3)
+            want |= {(i, j, -s) for s, _, j in ids[:5]}
+        got = list(zip(*(c.tolist() for c in near_sets.nearest(asked, held, ids_of, rank, 5, 0.3)), strict=True))
+        assert set(got) == want and len(got) == len(want)
+    assert [len(c) for c in near_sets.nearest([], ["a"], np.array([0]), np.array([0]), 5, 0.3)] == [0, 0, 0]
