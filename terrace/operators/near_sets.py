@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: 64-bit words of a set's signature, cells of the table of a batch's trigrams, sets looked at in one step.
-WORDS, CELLS, STEP = 4, 1 << 20, 1 << 18
-BATCH = 512
+#: Sets asked at a time, cells of the table of their tokens, sets looked at in one step.
+BATCH, CELLS, STEP = 512, 1 << 20, 1 << 18
+#: 64-bit words of a signature; a token has a bit if it is in one of so many held sets at most.
+WORDS, SELDOM = 2, 4
+#: Scores above which the best are looked for first.
+LEVELS = (0.8, 0.65, 0.5, 0.4)
 
 
 def codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -24,16 +27,19 @@ def codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sets:
-    """Sets as rows of one array: at, size, tokens, and the signature, of which a bit that only one of two sets has is a token the other lacks."""
+    """Sets of tokens, one after the other: owner and place (within its set) of each token; at, size and signature (by word) of each set.
 
-    def __init__(self, owner: np.ndarray, token: np.ndarray, n: int):
-        self.token, self.size = token, np.bincount(owner, minlength=n)
-        self.at = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+    A bit that one of two signatures has and the other has not is a token that the other set lacks. Only the `telling` first
+    tokens have bits: those that most sets have would fill them.
+    """
+
+    def __init__(self, owner: np.ndarray, token: np.ndarray, n: int, telling: int):
+        self.owner, self.token, self.size = owner, token, np.bincount(owner, minlength=n)
+        self.at = np.cumsum(self.size) - self.size
         self.place = np.arange(len(token)) - self.at[owner]
-        self.owner = owner
         bits = np.zeros((n, WORDS * 64), bool)
-        bits[owner, token % (WORDS * 64)] = True
-        self.signature = np.packbits(bits, axis=1).view(np.uint64)
+        bits[owner[token < telling], token[token < telling] % (WORDS * 64)] = True
+        self.signature = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
 
 
 def ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -58,7 +64,8 @@ def sets_of(asked: list[str], held: list[str]) -> tuple[Sets, Sets, np.ndarray]:
     rank = np.empty(v, np.int64)
     rank[order] = np.arange(v)
     keys = [np.sort(p // v * v + rank[p % v]) for p in pairs]
-    a, b = (Sets(k // v, k % v, n) for k, n in zip(keys, (len(asked), len(held)), strict=True))
+    telling = np.count_nonzero(often * SELDOM <= len(held))
+    a, b = (Sets(k // v, k % v, n, telling) for k, n in zip(keys, (len(asked), len(held)), strict=True))
     return a, b, often[order]
 
 
@@ -77,6 +84,7 @@ def nearest(asked: list[str], held: list[str], ids_of: np.ndarray, rank: np.ndar
     keys = (b.token * len(sizes) + np.searchsorted(sizes, b.size)[b.owner]) * width + b.place
     order = np.argsort(keys)
     keys, holder = keys[order], b.owner[order]
+    signature = b.signature[:, holder]
     copies = np.bincount(ids_of, minlength=len(held))
     first_id = np.cumsum(copies) - copies
     none = a.size.max() + 1
@@ -92,21 +100,15 @@ def nearest(asked: list[str], held: list[str], ids_of: np.ndarray, rank: np.ndar
         table[filled] = a.place[cells]
         score, found = np.full((len(rows), most), -1.0), np.full((len(rows), most), -1)
         # Tokens that no held set has come first, and are passed over.
-        step = np.add.reduceat(often[a.token[cells]] == 0, np.cumsum(size) - size)
+        begun = np.add.reduceat(often[a.token[cells]] == 0, np.cumsum(size) - size)
+        step, floor = begun.copy(), np.zeros(len(rows))
 
         def good(common: np.ndarray, q: np.ndarray, other: np.ndarray) -> np.ndarray:
             s = common / (size[q] + other - common)  # noqa: B023
-            return (s > least) & (s >= score[q, -1])  # noqa: B023
+            return (s > least) & (s >= np.maximum(score[q, -1], floor[q]))  # noqa: B023
 
         def look(q: np.ndarray, h: np.ndarray) -> None:
             """Scores pairs of which each set asked has the token at its step, if none before it is common."""
-            mine, theirs = a.signature[rows[q]], b.signature[h]  # noqa: B023
-            lacking = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-            reach = np.minimum(size[q] - lacking(mine, theirs), b.size[h] - lacking(theirs, mine))  # noqa: B023
-            keep = np.flatnonzero(good(reach, q, b.size[h]))
-            q, h = q[keep], h[keep]
-            if not len(q):
-                return
             n = b.size[h]
             places, heads = table.take(np.repeat(q * len(often), n) + b.token.take(ragged(b.at[h], n))), np.cumsum(n) - n
             common, earliest = np.add.reduceat(places < none, heads, dtype=np.int64), np.minimum.reduceat(places, heads)
@@ -122,23 +124,33 @@ def nearest(asked: list[str], held: list[str], ids_of: np.ndarray, rank: np.ndar
             keep = nth < most
             score[q[keep], nth[keep]], found[q[keep], nth[keep]] = s[keep], ids[keep]  # noqa: B023
 
-        # Each set asked looks for sets of each size for as long as one of those could be among its best.
-        live, k = np.repeat(rows - begin, len(sizes)), np.tile(np.arange(len(sizes)), len(rows))
-        while True:
-            left, other = size[live] - step[live], sizes[k]
-            keep = np.flatnonzero((left > 0) & good(np.minimum(left, other), live, other))
-            live, k, other = live[keep], k[keep], other[keep]
-            if not len(live):
-                break
-            share = np.maximum(score[live, -1], least)
-            need = np.maximum(np.ceil(share / (1 + share) * (size[live] + other) - 1e-6).astype(np.int64), 1)
-            head = (a.token[at[live] + step[live]] * len(sizes) + k) * width
-            low, high = np.searchsorted(keys, head), np.searchsorted(keys, head + other - need, "right")
-            ends = np.cumsum(high - low)
-            for some in np.split(np.arange(len(live)), np.searchsorted(ends, np.arange(STEP, ends[-1], STEP))):
-                n = (high - low)[some]
-                look(np.repeat(live[some], n), holder[ragged(low[some], n)])
-            step[distinct(live)] += 1
+        # Each set asked looks for sets of each size for as long as one of those could be among its best; where too few are
+        # above a level, it begins again for the next one.
+        for level in (*[x for x in LEVELS if x > least], least):
+            few = np.flatnonzero(score[:, -1] < 0)
+            step[few], floor[few], score[few], found[few] = begun[few], level, -1.0, -1
+            live, k = np.repeat(few, len(sizes)), np.tile(np.arange(len(sizes)), len(few))
+            while True:
+                left, other = size[live] - step[live], sizes[k]
+                keep = np.flatnonzero((left > 0) & good(np.minimum(left, other), live, other))
+                live, k, other = live[keep], k[keep], other[keep]
+                if not len(live):
+                    break
+                share = np.maximum(score[live, -1], level)
+                need = np.maximum(np.ceil(share / (1 + share) * (size[live] + other) - 1e-6).astype(np.int64), 1)
+                head = (a.token[at[live] + step[live]] * len(sizes) + k) * width
+                low, high = np.searchsorted(keys, head), np.searchsorted(keys, head + other - need, "right")
+                ends = np.cumsum(high - low)
+                for some in np.split(np.arange(len(live)), np.searchsorted(ends, np.arange(STEP, ends[-1], STEP))):
+                    n, own = (high - low)[some], rows[live[some]]
+                    cells, lacking, more = ragged(low[some], n), 0, 0
+                    for a_word, b_word in zip(a.signature, signature, strict=True):
+                        mine, theirs = np.repeat(a_word[own], n), b_word[cells]
+                        lacking, more = lacking + np.bitwise_count(mine & ~theirs), more + np.bitwise_count(theirs & ~mine)
+                    near = np.flatnonzero((lacking <= np.repeat((size[live] - need)[some], n)) & (more <= np.repeat((other - need)[some], n)))
+                    if len(near):
+                        look(np.repeat(live[some], n)[near], holder[cells[near]])
+                step[distinct(live)] += 1
         table[filled] = none
         q, nth = np.nonzero(found >= 0)
         out.append((rows[q], found[q, nth], score[q, nth]))
